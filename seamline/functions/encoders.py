@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,9 +37,6 @@ def hash_encoder(buckets: int = HASH_BUCKETS) -> Encoder:
 
     Spark tokenises and hashes; one Arrow call per batch counts the buckets.
     """
-    import numpy as np
-    import pyarrow as pa
-
     @F.arrow_udf("array<float>")
     def count(hashed: pa.Array) -> pa.Array:
         rows = np.repeat(np.arange(len(hashed)), hashed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -55,11 +55,6 @@ def model_encoder(load: Callable[[], Any], batch_size: int = 32) -> Encoder:
     batch. Spark hands over Arrow batches; the model sees ``batch_size`` texts
     at a time.
     """
-    from collections.abc import Iterator
-
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()

@@ -36,34 +36,32 @@ def dialogue_stats(labels: DataFrame, preds: Sequence[str] = ()) -> DataFrame:
     """
     names = list(preds)
 
-    def without_last(flag: Column) -> Column:
+    def without_last(flag: str, name: str) -> Column:
         # The parity of the largest 2*turn+flag is the flag of the last turn.
-        return F.sum(flag) - F.max(F.col("turn") * 2 + flag) % 2
+        return F.expr(f"sum({flag}) - max(turn * 2 + {flag}) % 2 AS {name}")
 
     stats = labels.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("rows"),
         (F.max("turn") + 1).alias("n"),
-        without_last(F.col("gold")).alias("b"),
+        without_last("gold", "b"),
         F.count_if(not_binary(names)).alias("bad"),
-        F.count_if(unpaired(labels, names)).alias("unpaired"),
-        *[without_last(F.col(p)).alias(f"b_{p}") for p in names],
-        *[without_last(F.col("gold") * F.col(p)).alias(f"hit_{p}") for p in names],
+        F.count_if(unpaired(names)).alias("unpaired"),
+        *[without_last(p, f"b_{p}") for p in names],
+        *[without_last(f"gold * {p}", f"hit_{p}") for p in names],
     )
     checks = (
-        (F.col("unpaired") > 0, "gold and predicted labels must cover the same turns"),
-        (F.col("bad") > 0, "labels must be 0 or 1"),
-        (F.col("rows") != F.col("n"), "turn must number each dialogue 0..n-1; see dense_turns"),
-        (F.col("n") < 2, "each dialogue needs at least two turns"),
+        ("unpaired > 0", "gold and predicted labels must cover the same turns"),
+        ("bad > 0", "labels must be 0 or 1"),
+        ("rows <> n", "turn must number each dialogue 0..n-1; see dense_turns"),
+        ("n < 2", "each dialogue needs at least two turns"),
     )
-    n = F.when(F.lit(False), F.lit(0).cast("bigint"))
-    for wrong, message in checks:
-        n = n.when(wrong, F.raise_error(F.lit(message)).cast("bigint"))
-    return stats.withColumn("n", n.otherwise(F.col("n"))).select(
-        "conv_id",
-        "n",
-        F.col("b").cast("bigint").alias("b"),
-        window_size(F.col("n"), F.col("b")).alias("k"),
-        *[F.col(f"{what}_{p}").cast("bigint") for p in names for what in ("b", "hit")],
+    cases = " ".join(f"WHEN {wrong} THEN bigint(raise_error('{message}'))" for wrong, message in checks)
+    return (
+        stats.withColumn("n", F.expr(f"CASE {cases} ELSE n END"))
+        .withColumn("k", window_size(F.col("n"), F.col("b")))
+        .selectExpr(
+            "conv_id", "n", "bigint(b) AS b", "k", *[f"{what}_{p}" for p in names for what in ("b", "hit")]
+        )
     )
 
 
@@ -85,76 +83,59 @@ def dialogue_metrics(
 
     # One row of figures per chunk, not per dialogue: a long dialogue must not
     # meet its figures in a single join partition.
-    chunk = chunk_of(F.col("turn"), chunk_turns)
-    chunks = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("n") - 1, F.lit(chunk_turns)))
-    per_chunk = stats.select("conv_id", "n", "k", F.explode(chunks).alias("chunk"))
-    sized = labels.withColumn("chunk", chunk).join(per_chunk, ["conv_id", "chunk"])
-    inner = F.col("turn") < F.col("n") - 1
+    chunks = F.expr(f"explode(sequence(0L, (n - 1) div {chunk_turns}))").alias("chunk")
+    sized = labels.withColumn("chunk", chunk_of(F.col("turn"), chunk_turns)).join(
+        stats.select("conv_id", "n", "k", chunks), ["conv_id", "chunk"]
+    )
     totals = running(
         sized,
-        {f"upto_{c}": ("sum", F.when(inner, F.col(c)).otherwise(0)) for c in ["gold", *names]},
+        {f"upto_{c}": ("sum", f"if(turn < n - 1, {c}, 0)") for c in ["gold", *names]},
         longest,
         chunk_turns,
     )
 
     sides = [f"upto_{c}" for c in ["gold", *names]]
-    here = F.col("turn")
-    ends = F.struct(
-        (here - F.col("k") + 1).alias("window"), F.lit(True).alias("ends"), *sides
+    # The totals of a turn count for the window it ends, and against the window
+    # that starts after it.
+    roles = F.expr(
+        "explode(array(named_struct('window', turn - k + 1, 'sign', 1L),"
+        " named_struct('window', turn + 1, 'sign', -1L))) AS role"
     )
-    precedes = F.struct((here + 1).alias("window"), F.lit(False).alias("ends"), *sides)
-    last_window = F.col("n") - F.col("k")
-    handed = totals.select(
-        "conv_id", "n", "k", F.explode(F.array(ends, precedes)).alias("x")
-    ).where((F.col("x.window") >= 0) & (F.col("x.window") <= last_window))
-    windows = handed.groupBy("conv_id", F.col("x.window").alias("window")).agg(
-        *[
-            F.sum(F.when(F.col("x.ends"), F.col(f"x.{s}")).otherwise(-F.col(f"x.{s}"))).alias(s)
-            for s in sides
-        ]
+    windows = (
+        totals.select("conv_id", "n", "k", *sides, roles)
+        .where("role.window BETWEEN 0 AND n - k")
+        .groupBy("conv_id", F.col("role.window").alias("window"))
+        .agg(*[F.expr(f"sum(role.sign * {s}) AS {s}") for s in sides])
     )
-    gold = F.col("upto_gold")
     misses = windows.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("windows"),
-        *[F.count_if((gold > 0) != (F.col(f"upto_{p}") > 0)).alias(f"pk_{p}") for p in names],
-        *[F.count_if(gold != F.col(f"upto_{p}")).alias(f"wd_{p}") for p in names],
+        *[F.expr(f"count_if((upto_gold > 0) <> (upto_{p} > 0)) AS pk_{p}") for p in names],
+        *[F.expr(f"count_if(upto_gold <> upto_{p}) AS wd_{p}") for p in names],
     )
-
-    def f1(p: str) -> Column:
-        return F.coalesce(
-            F.try_divide(2.0 * F.col(f"hit_{p}"), F.col("b") + F.col(f"b_{p}")), F.lit(0.0)
-        )
-
-    return stats.join(misses, "conv_id").select(
+    return stats.join(misses, "conv_id").selectExpr(
         "conv_id",
         "n",
         "k",
-        *[(F.col(f"pk_{p}") / F.col("windows")).alias(f"pk_{p}") for p in names],
-        *[(F.col(f"wd_{p}") / F.col("windows")).alias(f"wd_{p}") for p in names],
-        *[f1(p).alias(f"f1_{p}") for p in names],
+        *[f"{m}_{p} / windows AS {m}_{p}" for m in ("pk", "wd") for p in names],
+        *[f"coalesce(try_divide(2D * hit_{p}, b + b_{p}), 0D) AS f1_{p}" for p in names],
     )
 
 
 def corpus_metrics(per_dialogue: DataFrame, preds: Sequence[str]) -> DataFrame:
-    """Unweighted means over dialogues, one row per prediction."""
+    """Unweighted means over dialogues, one row per prediction; ``ordinal`` is
+    the place of the prediction in ``preds``."""
     none = F.raise_error(F.lit("there are no dialogues to evaluate")).cast("bigint")
     count = F.count(F.lit(1))
     means = per_dialogue.agg(
         F.when(count > 0, count).otherwise(none).alias("n"),
-        *[F.avg(f"{m}_{p}").alias(f"{m}_{p}") for p in preds for m in ("pk", "wd", "f1")],
+        *[F.expr(f"avg({m}_{p}) AS {m}_{p}") for p in preds for m in ("pk", "wd", "f1")],
     )
-    rows = [
-        F.struct(
-            F.lit(p).alias("pred"),
-            *[F.col(f"{m}_{p}").alias(m) for m in ("pk", "wd", "f1")],
-        )
-        for p in preds
-    ]
+    rows = ", ".join(f"struct(pk_{p} AS pk, wd_{p} AS wd, f1_{p} AS f1)" for p in preds)
     score = 0.5 * F.col("f1") + 0.25 * (1 - F.col("pk")) + 0.25 * (1 - F.col("wd"))
     return (
-        means.select("n", F.explode(F.array(*rows)).alias("x"))
-        .select("x.*", "n")
-        .select("pred", "pk", "wd", "f1", score.alias("score"), "n")
+        means.select("n", F.expr(f"posexplode(array({rows})) AS (ordinal, x)"))
+        .select("ordinal", "x.*", "n")
+        .select("ordinal", "pk", "wd", "f1", score.alias("score"), "n")
     )
 
 

@@ -23,13 +23,14 @@ LEVEL_BITS = (21, 21)
 #: Bits of the raw order value that share a block while turns are numbered.
 BLOCK_BITS = 14
 
-_MERGE = {
-    "sum": lambda carried, own: F.coalesce(carried, F.lit(0)) + own,
-    "max": lambda carried, own: F.greatest(carried, own),
-}
 _FOLD = {"sum": F.sum, "max": F.max}
 
 
+def _merged(fold: str, carried_in: str, own: str) -> str:
+    """SQL that puts what is carried in (null: nothing) and the own value together."""
+    return f"coalesce({carried_in}, 0) + {own}" if fold == "sum" else f"greatest({carried_in}, {own})"
+
+
 @dataclass(frozen=True)
 class TurnProfile:
     """What the key columns of a turn table say about it."""
@@ -117,10 +118,8 @@ def carried(blocks: DataFrame, folds: dict[str, str], level_bits: tuple[int, ...
     here = blocks.select("*", parent).select(
         "conv_id", "block", "parent", *[_FOLD[f](n).over(earlier).alias(n) for n, f in folds.items()]
     )
-    return here.join(above, ["conv_id", "parent"], "left").select(
-        "conv_id",
-        "block",
-        *[F.coalesce(_MERGE[f](F.col(f"up_{n}"), F.col(n)), f"up_{n}").alias(n) for n, f in folds.items()],
+    return here.join(above, ["conv_id", "parent"], "left").selectExpr(
+        "conv_id", "block", *[f"coalesce({_merged(f, f'up_{n}', n)}, up_{n}) AS {n}" for n, f in folds.items()]
     )
 
 
@@ -130,39 +129,37 @@ def _earlier(*keys: str):
 
 def running(
     df: DataFrame,
-    values: dict[str, tuple[str, Column]],
+    values: dict[str, tuple[str, str]],
     longest: int,
     chunk_turns: int = DEFAULT_CHUNK_TURNS,
     level_bits: tuple[int, ...] = LEVEL_BITS[:1],
 ) -> DataFrame:
     """Add, per dialogue in turn order, the running fold of each value.
 
-    ``values`` maps a new column to ``("sum" | "max", expression)``. ``turn``
+    ``values`` maps a new column to ``("sum" | "max", SQL expression)``. ``turn``
     must be dense; the window that is there anyway also checks it.
     """
     split = longest > chunk_turns
-    chunk = chunk_of(F.col("turn"), chunk_turns) if split else F.lit(0).cast("bigint")
-    source = df.select("*", *[e.alias(f"_own_{n}") for n, (_, e) in values.items()])
-    source = (store(source, "running") if split else source).withColumn("block", chunk)
-    keys = ["conv_id", "block"] if split else ["conv_id"]
-    inside = Window.partitionBy(*keys).orderBy("turn")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    first = F.col("turn") == F.col("block") * chunk_turns
-    before = F.lag("turn").over(inside)
-    in_order = F.when(first, before.isNull()).otherwise(F.coalesce(before == F.col("turn") - 1, F.lit(False)))
-    ordered = source.select(
+    folds = {n: f for n, (f, _) in values.items()}
+    source = df.selectExpr("*", *[f"{sql} AS _own_{n}" for n, (_, sql) in values.items()])
+    source = (store(source, "running") if split else source).selectExpr(
+        "*", f"turn div {chunk_turns} AS block" if split else "0L AS block"
+    )
+    window = f"(PARTITION BY conv_id{', block' if split else ''} ORDER BY turn)"
+    upto = window[:-1] + " ROWS UNBOUNDED PRECEDING)"
+    before = f"lag(turn) OVER {window}"
+    ordered = source.selectExpr(
         "*",
-        in_order.alias("_in_order"),
-        *[_FOLD[f](f"_own_{n}").over(upto).alias(n) for n, (f, _) in values.items()],
+        f"coalesce({before}, block * {chunk_turns} - 1) = turn - 1 AS _in_order",
+        *[f"{f}(_own_{n}) OVER {upto} AS {n}" for n, f in folds.items()],
     )
+    complaint = "bigint(raise_error('turn must number each dialogue 0..n-1; see dense_turns'))"
 
-    def checked(value: Column) -> Column:
-        complaint = F.raise_error(F.lit("turn must number each dialogue 0..n-1; see dense_turns"))
-        return F.when(F.col("_in_order"), value).otherwise(complaint.cast("bigint"))
+    def checked(value: str, name: str) -> str:
+        return f"if(_in_order, {value}, {complaint}) AS {name}"
 
     if not split:
-        return ordered.select(*df.columns, *[checked(F.col(n)).alias(n) for n in values])
-    folds = {n: f for n, (f, _) in values.items()}
+        return ordered.selectExpr(*df.columns, *[checked(n, n) for n in folds])
     totals = (
         source.groupBy("conv_id", "block")
         .agg(F.count(F.lit(1)).alias("rows"), *[_FOLD[f](f"_own_{n}").alias(n) for n, f in folds.items()])
@@ -174,12 +171,9 @@ def running(
     past = carried(shifted, folds, level_bits).select(
         "conv_id", "block", *[F.col(n).alias(f"past_{n}") for n in folds]
     )
-    entering = shifted.join(past, ["conv_id", "block"]).select(
-        "conv_id",
-        "block",
-        *[_MERGE[f](F.col(f"past_{n}"), F.col(n)).alias(f"in_{n}") for n, f in folds.items()],
+    entering = shifted.join(past, ["conv_id", "block"]).selectExpr(
+        "conv_id", "block", *[f"{_merged(f, f'past_{n}', n)} AS in_{n}" for n, f in folds.items()]
     )
-    return ordered.join(entering, ["conv_id", "block"], "left").select(
-        *df.columns,
-        *[checked(_MERGE[f](F.col(f"in_{n}"), F.col(n))).alias(n) for n, f in folds.items()],
+    return ordered.join(entering, ["conv_id", "block"], "left").selectExpr(
+        *df.columns, *[checked(_merged(f, f"in_{n}", n), n) for n, f in folds.items()]
     )

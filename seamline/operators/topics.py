@@ -48,12 +48,11 @@ def assign_topics(
         is_boundary(config.delta_star).alias("is_boundary"),
         graded_score(config.delta_star).alias("graded_score"),
     )
-    starts = F.when(F.col("is_boundary") | (F.col("turn") == 0), F.col("turn"))
     return running(
         flagged,
         {
-            "topic_id": ("sum", F.col("is_boundary").cast("bigint")),
-            "topic_start": ("max", starts),
+            "topic_id": ("sum", "bigint(is_boundary)"),
+            "topic_start": ("max", "if(is_boundary OR turn = 0, turn, NULL)"),
         },
         longest=config.chunk_turns + 1 if longest is None else longest,
         chunk_turns=config.chunk_turns,

@@ -38,19 +38,14 @@ def paired_labels(gold: DataFrame, pred: DataFrame) -> DataFrame:
     )
 
 
-def unpaired(pairs: DataFrame, preds: list[str]) -> Column:
+def unpaired(preds: list[str]) -> Column:
     """True where one side has a turn the other lacks."""
-    missing = F.col("gold").isNull()
-    for name in preds:
-        missing = missing | F.col(name).isNull()
-    return missing
+    return F.expr(" OR ".join(f"{c} IS NULL" for c in ["gold", *preds]))
 
 
 def not_binary(preds: list[str]) -> Column:
-    bad = ~F.col("gold").isin(0, 1)
-    for name in preds:
-        bad = bad | ~F.col(name).isin(0, 1)
-    return F.coalesce(bad, F.lit(False))
+    """True where a label is there and neither 0 nor 1."""
+    return F.expr(" OR ".join(f"coalesce({c} NOT IN (0, 1), false)" for c in ["gold", *preds]))
 
 
 def label_violations(pairs: DataFrame) -> DataFrame:
@@ -64,7 +59,7 @@ def label_violations(pairs: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count_if(not_binary(["pred"])).alias("bad_labels"),
-            F.count_if(unpaired(pairs, ["pred"])).alias("unpaired"),
+            F.count_if(unpaired(["pred"])).alias("unpaired"),
         )
         .where("n < 2 OR bad_labels > 0 OR unpaired > 0")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seamline.config import DEFAULT_CHUNK_TURNS
 from seamline.operators.evaluation import METRICS, corpus_metrics, dialogue_metrics
-from seamline.operators.topics import label_at, next_scores
+from seamline.operators.topics import next_scores
 from seamline.plans.quantiles import exact_percentiles
 from seamline.storage import store
 
@@ -36,16 +36,20 @@ def check_percentiles(percentiles: Sequence[float]) -> None:
 def threshold_candidates(
     scored: DataFrame, percentiles: Sequence[float] = DEFAULT_PERCENTILES
 ) -> DataFrame:
-    """Percentiles of all scores but each dialogue's first, positive ones only."""
+    """``(percentile, delta_star)``: percentiles of all scores but each
+    dialogue's first, positive ones only."""
     check_percentiles(percentiles)
-    pool = scored.where("turn > 0")
-    return (
-        exact_percentiles(pool, "delta_eff", percentiles)
-        .withColumnRenamed("value", "delta_star")
-        .where("delta_star > 0")
+    scores = store(scored.select("conv_id", "turn", "delta_eff"), "scores")
+    return scored.sparkSession.createDataFrame(
+        _thresholds(scores, percentiles), "percentile double, delta_star double"
     )
 
 
+def _thresholds(scores: DataFrame, percentiles: Sequence[float]) -> list[tuple[float, float]]:
+    found = exact_percentiles(scores.where("turn > 0"), "delta_eff", percentiles)
+    return [(row.percentile, row.value) for row in found if row.value > 0]
+
+
 def calibrate(
     scored: DataFrame,
     labels: DataFrame,
@@ -65,33 +69,28 @@ def calibrate(
         raise ValueError(f"metric must be one of {SELECTION_METRICS}")
     check_percentiles(percentiles)
     scores = store(scored.select("conv_id", "turn", "delta_eff"), "scores")
-    grid = sorted(threshold_candidates(scores, percentiles).collect())
+    grid = _thresholds(scores, percentiles)
     if not grid:
         raise ValueError("no percentile of the calibration scores is positive")
 
-    preds = [f"p{row.ordinal}" for row in grid]
+    preds = [f"p{i}" for i in range(len(grid))]
     ahead = next_scores(scores, longest=longest, chunk_turns=chunk_turns).withColumn("scored", F.lit(True))
     gold = labels.select("conv_id", "turn", F.col("label").alias("gold"))
-    predicted = gold.join(ahead, ["conv_id", "turn"], "full").select(
+    predicted = gold.join(ahead, ["conv_id", "turn"], "full").selectExpr(
         "conv_id",
         "turn",
         "gold",
-        *[F.when(F.col("scored"), label_at(row.delta_star)).alias(p) for p, row in zip(preds, grid)],
+        *[
+            f"CASE WHEN scored THEN int(coalesce(ahead >= {delta!r}D, false)) END AS {p}"
+            for p, (_, delta) in zip(preds, grid)
+        ],
     )
     per_dialogue = dialogue_metrics(predicted, preds, longest=longest, chunk_turns=chunk_turns)
-    thresholds = F.array(
-        *[
-            F.struct(
-                F.lit(row.ordinal).alias("ordinal"),
-                F.lit(row.percentile).alias("percentile"),
-                F.lit(row.delta_star).alias("delta_star"),
-            )
-            for row in grid
-        ]
+    at = ", ".join(f"named_struct('percentile', {p!r}D, 'delta_star', {delta!r}D)" for p, delta in grid)
+    candidates = corpus_metrics(per_dialogue, preds).select(
+        "ordinal", F.expr(f"element_at(array({at}), ordinal + 1)").alias("at"), *METRICS, "n"
     )
-    tried = corpus_metrics(per_dialogue, preds)
-    at = F.filter(thresholds, lambda t: F.concat(F.lit("p"), t["ordinal"]) == F.col("pred"))
-    candidates = tried.withColumn("at", at[0]).select("at.*", *METRICS, "n")
+    candidates = candidates.select("ordinal", "at.*", *METRICS, "n")
     # Sums of floats may differ in the last digit from run to run; without the
     # rounding such noise, not the order of the percentiles, would break ties.
     best = candidates.orderBy(F.round(metric, 12).desc(), "ordinal").limit(1)

@@ -2,98 +2,109 @@
 
 Spark's exact ``percentile`` keeps every distinct value in one task. Here the
 wanted ranks are narrowed down digit by digit: count the values per leading
-digit, find the digits that hold the ranks, count the next digit among those
-only, and look at single values last. Each pass aggregates before it shuffles,
-and no window group holds more than about two million rows.
+digit, find the digits that hold the ranks, and go on inside those only, until
+so few values are left that single ones can be looked at. Each pass aggregates
+before it shuffles; the driver sees two rows per percentile and pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-#: Binary digits told apart by each pass before single values are looked at.
+#: Binary digits told apart by each pass.
 DIGIT_BITS = (20, 20)
 
+#: With at most this many values left single ones are looked at.
+FEW_VALUES = 1_000_000
+
 
 def exact_percentiles(
-    pool: DataFrame, column: str, percentiles: Sequence[float], digit_bits: Sequence[int] = DIGIT_BITS
-) -> DataFrame:
-    """``(ordinal, percentile, value)``, linearly interpolated between ranks.
+    pool: DataFrame,
+    column: str,
+    percentiles: Sequence[float],
+    digit_bits: Sequence[int] = DIGIT_BITS,
+    few_values: int = FEW_VALUES,
+) -> list[Row]:
+    """Rows ``(percentile, value)``, linearly interpolated between ranks.
 
     Values should lie within a few units of zero, as distances do. ``pool`` is
-    read once per pass; give a table, not a long computation. Percentiles
-    of nothing are no rows.
+    read once per pass; give a table, not a long computation. Percentiles of
+    nothing are no rows.
     """
     values = pool.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
-    digits, rest = [], F.col("x")
+    digits, rest = [], "x"
     for bits in digit_bits:
         # Scaling by a power of two and dropping the integer part are exact.
-        scaled = rest * float(1 << bits)
-        digits.append(F.floor(scaled))
-        rest = scaled - F.floor(scaled)
+        digits.append(f"floor({rest} * {1 << bits}D)")
+        rest = f"({rest} * {1 << bits}D - {digits[-1]})"
 
     keys: list[str] = []
-    for level, digit in enumerate([*digits, F.col("x")]):
-        name = f"digit_{level}" if level < len(digits) else "value"
-        values = values.withColumn(name, digit)
-        if level == 0:
-            # Percentile positions follow from the total, known here first.
-            counts = values.groupBy(name).agg(F.count(F.lit(1)).alias("rows"))
-            counts = counts.withColumn("total", F.sum("rows").over(Window.partitionBy()))
-            counts = counts.withColumn("targets", _targets(F.col("total"), percentiles))
-        else:
-            # At most two rows per percentile are wanted, however large the pool.
-            values = values.join(F.broadcast(wanted), keys)
-            counts = values.groupBy(*keys, name).agg(
-                F.count(F.lit(1)).alias("rows"), F.any_value("targets").alias("targets")
-            )
-            values = values.drop("targets")
-        upto = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("past", F.sum("rows").over(upto) - F.col("rows"))
-        inside = F.filter(
-            F.col("targets"),
-            lambda t: (t["rank"] >= F.col("past")) & (t["rank"] < F.col("past") + F.col("rows")),
-        )
-        local = F.transform(inside, lambda t: t.withField("rank", t["rank"] - F.col("past")))
+    wanted: DataFrame | None = None
+    for level, digit in enumerate([*digits, "x"]):
+        name = "value" if digit == "x" else f"digit_{level}"
+        found = _locate(values.withColumn(name, F.expr(digit)), keys, name, wanted, percentiles)
+        if not found or name == "value":
+            return _interpolated(found, percentiles)
         keys = [*keys, name]
-        wanted = counts.select(*keys, local.alias("targets")).where(F.size("targets") > 0)
-    return _interpolated(wanted)
+        left = sum({tuple(r[k] for k in keys): r["rows"] for r in found}.values())
+        columns = [*keys, "ordinal", "side", "rank", "share"]
+        targets = pa.table({c: [r[c] for r in found] for c in columns})
+        wanted = values.sparkSession.createDataFrame(targets)
+        values = values.withColumn(name, F.expr(digit))
+        # Two rows per percentile at most, so this side is small by construction.
+        values = values.join(F.broadcast(wanted.select(*keys).distinct()), keys)
+        if left <= few_values:
+            found = _locate(values.withColumn("value", F.col("x")), keys, "value", wanted, percentiles)
+            return _interpolated(found, percentiles)
+    raise AssertionError("the last pass returns")
+
+
+def _locate(
+    values: DataFrame, keys: list[str], name: str, wanted: DataFrame | None, percentiles: Sequence[float]
+) -> list[Row]:
+    """The groups ``keys + name`` that hold the wanted ranks, with the rank of
+    each inside its group."""
+    counts = values.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("rows"))
+    upto = Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("past", F.sum("rows").over(upto) - F.col("rows"))
+    if wanted is None:
+        # Percentile positions follow from the total, known here first.
+        total = F.sum("rows").over(Window.partitionBy())
+        counts = counts.withColumn("total", total).withColumn("t", F.expr(_targets(percentiles)))
+        counts = counts.select("*", F.explode(F.expr(_INSIDE)).alias("at")).select(*keys, name, "rows", "past", "at.*")
+    else:
+        counts = counts.join(F.broadcast(wanted), keys).where("rank >= past AND rank < past + rows")
+    return counts.select(
+        *keys, name, "rows", "ordinal", "side", (F.col("rank") - F.col("past")).alias("rank"), "share"
+    ).collect()
+
 
+_INSIDE = "filter(t, x -> x.rank >= past AND x.rank < past + rows)"
 
-def _targets(total: Column, percentiles: Sequence[float]) -> Column:
+
+def _targets(percentiles: Sequence[float]) -> str:
     """The two ranks each percentile lies between, and how far from the lower."""
-    targets = []
+    points = ", ".join(f"{p / 100.0!r}D" for p in percentiles)
+    position = "(total - 1) * p"
+    upper = f"least(floor({position}) + 1, total - 1)"
+    item = "named_struct('ordinal', i, 'side', '{}', 'rank', cast({} AS bigint), 'share', {} - floor({}))"
+    low = item.format("low", f"floor({position})", position, position)
+    high = item.format("high", upper, position, position)
+    return f"flatten(transform(array({points}), (p, i) -> array({low}, {high})))"
+
+
+def _interpolated(found: list[Row], percentiles: Sequence[float]) -> list[Row]:
+    ends = {(r["ordinal"], r["side"]): r for r in found}
+    rows = []
     for ordinal, p in enumerate(percentiles):
-        position = (total - 1) * F.lit(p / 100.0)
-        lower = F.floor(position)
-        for side, rank in (("low", lower), ("high", F.least(lower + 1, total - 1))):
-            targets.append(
-                F.struct(
-                    F.lit(ordinal).alias("ordinal"),
-                    F.lit(float(p)).alias("percentile"),
-                    F.lit(side).alias("side"),
-                    rank.cast("bigint").alias("rank"),
-                    (position - lower).alias("share"),
-                )
-            )
-    return F.array(*targets)
-
-
-def _interpolated(wanted: DataFrame) -> DataFrame:
-    found = wanted.select(F.col("value").alias("x"), F.explode("targets").alias("t"))
-    low, high = F.col("low"), F.col("high")
-    value = F.when(F.col("share") < 0.5, low + (high - low) * F.col("share")).otherwise(
-        high - (high - low) * (1 - F.col("share"))
-    )
-    return (
-        found.groupBy(F.col("t.ordinal").alias("ordinal"), F.col("t.percentile").alias("percentile"))
-        .agg(
-            F.max(F.when(F.col("t.side") == "low", F.col("x"))).alias("low"),
-            F.max(F.when(F.col("t.side") == "high", F.col("x"))).alias("high"),
-            F.max("t.share").alias("share"),
-        )
-        .select("ordinal", "percentile", value.alias("value"))
-    )
+        if (ordinal, "low") not in ends:
+            continue
+        low, high = ends[ordinal, "low"]["value"], ends[ordinal, "high"]["value"]
+        share = ends[ordinal, "low"]["share"]
+        step = (high - low) * share if share < 0.5 else (high - low) * (1 - share)
+        rows.append(Row(percentile=float(p), value=low + step if share < 0.5 else high - step))
+    return rows
