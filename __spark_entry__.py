@@ -163,8 +163,9 @@ def _invalid_embeddings(spark, folder):
 
 def _invalid_text_turns(spark, folder):
     """Lines of each document, and those of them without a token."""
-    turns = _document_lines(spark, folder).withColumn("embedding", sl.hash_encoder()(F.col("text")))
-    bad = sl.invalid_embeddings(turns, dim=256).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_invalid"))
+    turns = _document_lines(spark, folder)
+    bad = sl.invalid_embeddings(turns, dim=256, encoder=sl.hash_encoder())
+    bad = bad.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_invalid"))
     lines = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     return lines.join(bad, "conv_id", "left").select(
         "conv_id", "n", F.coalesce("n_invalid", F.lit(0)).alias("n_invalid")
@@ -309,8 +310,9 @@ def _segment_text(spark, folder):
 
 def _document_segments(spark, folder):
     """Segments of the documents' lines, lines without a token set aside."""
-    lines = _document_lines(spark, folder).withColumn("embedding", sl.hash_encoder()(F.col("text")))
-    return sl.segment(sl.valid_embeddings(lines, TEXT.dim), TEXT).segments()
+    encoder = sl.hash_encoder()
+    turns, _ = sl.set_aside(_document_lines(spark, folder), TEXT.dim, encoder=encoder)
+    return sl.segment(turns, TEXT, encoder=encoder).segments()
 
 
 def _corpus_counts(spark, folder):

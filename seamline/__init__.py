@@ -16,7 +16,7 @@ from seamline.operators.topics import (
     strength_histogram,
     strength_rollup,
 )
-from seamline.operators.validation import invalid_embeddings, label_violations, valid_embeddings
+from seamline.operators.validation import invalid_embeddings, label_violations, set_aside
 from seamline.plans.calibration import calibrate, threshold_candidates
 from seamline.plans.segmentation import Segmentation, segment
 from seamline.sources.json_files import as_json, calibration_set, evaluation_set, write_json
@@ -50,6 +50,7 @@ __all__ = [
     "segment_text",
     "segments",
     "sentence_encoder",
+    "set_aside",
     "strength_histogram",
     "strength_rollup",
     "threshold_candidates",
@@ -58,6 +59,5 @@ __all__ = [
     "turns_from_matrices",
     "turns_from_sessions",
     "turns_from_text",
-    "valid_embeddings",
     "write_json",
 ]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,32 +22,33 @@ DEFAULT_MODEL_REVISION = "17997f24dca0df1a4fed68894fb0e1e133e60482"
 HASH_BUCKETS = 256
 
 
-def token_buckets(text: Column, buckets: int = HASH_BUCKETS) -> Column:
-    """The bucket of every token of a text, in order.
-
-    A token is a run of the letters a-z in the lower-cased text; its bucket is
-    the first 32 bits of its MD5 modulo the number of buckets.
-    """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
-    return F.transform(
-        tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
-    )
-
-
 def hash_encoder(buckets: int = HASH_BUCKETS) -> Encoder:
     """Counts of hashed tokens, an encoder that needs no model.
 
-    Spark tokenises and hashes; one Arrow call per batch counts the buckets.
+    A token is a run of the letters a-z in the lower-cased text; its bucket is
+    the first 32 bits of its MD5 modulo the number of buckets. Tokens are split
+    and counted for a whole Arrow batch at a time, and each distinct token of a
+    batch is hashed once.
     """
+
     @F.arrow_udf("array<float>")
-    def count(hashed: pa.Array) -> pa.Array:
-        rows = np.repeat(np.arange(len(hashed)), hashed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        cells = rows * buckets + hashed.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(cells.astype(np.int64), minlength=len(hashed) * buckets).astype(np.float32)
-        ends = np.arange(len(hashed) + 1, dtype=np.int32) * buckets
+    def count(texts: pa.Array) -> pa.Array:
+        tokens = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("")), "[^a-z]+")
+        row = np.repeat(np.arange(len(texts)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+        coded = tokens.flatten().dictionary_encode()
+        # A text that begins or ends between tokens yields empty ones.
+        bucket = np.array([_bucket(t) % buckets if t else -1 for t in coded.dictionary.to_pylist()], np.int64)
+        bucket = bucket[coded.indices.to_numpy(zero_copy_only=False)]
+        cell = (row * buckets + bucket)[bucket >= 0]
+        counts = np.bincount(cell, minlength=len(texts) * buckets).astype(np.float32)
+        ends = np.arange(len(texts) + 1, dtype=np.int32) * buckets
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(counts))
 
-    return lambda text: count(token_buckets(text, buckets))
+    return count
+
+
+def _bucket(token: str) -> int:
+    return int.from_bytes(hashlib.md5(token.encode(), usedforsecurity=False).digest()[:4], "big")
 
 
 def model_encoder(load: Callable[[], Any], batch_size: int = 32) -> Encoder:

@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamline.functions.vectors import problem
+from seamline.functions.encoders import Encoder
+from seamline.functions.vectors import problem, problem_by_batch
+from seamline.storage import store
 
 
-def invalid_embeddings(turns: DataFrame, dim: int | None = None) -> DataFrame:
-    """The rows that cannot be scored, with the reason."""
-    return turns.withColumn("reason", problem(F.col("embedding"), dim)).where("reason IS NOT NULL")
+def invalid_embeddings(
+    turns: DataFrame, dim: int | None = None, *, encoder: Encoder | None = None, engine: str = "arrow"
+) -> DataFrame:
+    """The rows that cannot be scored, with the ``reason``. With an encoder the
+    vectors are those of ``text``."""
+    vector = F.col("embedding") if encoder is None else encoder(F.col("text"))
+    find = problem_by_batch if engine == "arrow" else problem
+    return turns.withColumn("reason", find(vector, dim)).where("reason IS NOT NULL")
 
 
-def valid_embeddings(turns: DataFrame, dim: int | None = None) -> DataFrame:
-    """The rows that can be scored. Dropping rows leaves gaps in ``turn``;
-    ``dense_turns`` closes them."""
-    return turns.where(problem(F.col("embedding"), dim).isNull())
+def set_aside(
+    turns: DataFrame, dim: int | None = None, *, encoder: Encoder | None = None, engine: str = "arrow"
+) -> tuple[DataFrame, DataFrame]:
+    """The turns that can be scored, and ``(conv_id, turn, reason)`` of the others.
+
+    The keys of the unfit rows are written once; what follows then tells the fit
+    rows by key, without reading or making a vector. Leaving rows out makes gaps
+    in ``turn``, which ``segment`` closes.
+    """
+    found = invalid_embeddings(turns, dim, encoder=encoder, engine=engine)
+    invalid = store(found.select("conv_id", "turn", "reason"), "invalid")
+    return turns.join(invalid.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti"), invalid
 
 
 def mixed_dimensions(turns: DataFrame) -> DataFrame:

@@ -14,8 +14,15 @@ _PATH = "_metadata.file_path"
 def lines_of(text: Column) -> Column:
     """The lines of a text. Blank lines count, and the end of the last line
     starts no further one; an empty text has no lines."""
-    body = F.regexp_replace(text, r"(\r\n|\r|\n)\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(body, "\r\n|\r|\n"))
+    plain = F.when(
+        F.contains(text, F.lit("\r")),
+        F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")),
+    ).otherwise(text)
+    # Splitting at one plain character takes no regular expression. The piece
+    # after the last line end is empty, and so is the only one of an empty text.
+    pieces = F.split(plain, "\n")
+    empty_last = F.endswith(plain, F.lit("\n")) | (plain == "")
+    return F.when(empty_last, F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
 
 
 def turns_from_documents(df: DataFrame, key: str, text: str = "text") -> DataFrame:

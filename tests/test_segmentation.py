@@ -12,8 +12,7 @@ from seamline import (
     segment,
     segment_text,
     strength_rollup,
-    valid_embeddings,
-    invalid_embeddings,
+    set_aside,
 )
 from seamline.operators.validation import mixed_dimensions
 
@@ -234,14 +233,19 @@ def test_bad_vectors_stop_the_job(spark, engine, reason):
         score_turns(table, SegmenterConfig(dim=2, engine=engine)).collect()
 
 
-def test_bad_vectors_can_be_set_aside(spark):
-    rows = [(0, t, v) for t, v in enumerate([[1.0, 0.0], *BAD.values(), [float("inf"), 0.0], [1.0, 0.0]])]
+@pytest.mark.parametrize("engine", ENGINES)
+def test_bad_vectors_can_be_set_aside(spark, engine):
+    vectors = [[1.0, 0.0], *BAD.values(), [float("inf"), 0.0], [1e200, 1e200], [None, 1.0], [], [1.0, 0.0]]
+    rows = [(0, t, v) for t, v in enumerate(vectors)]
     table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, embedding array<double>")
-    found = {r.turn: r.reason for r in invalid_embeddings(table, dim=2).collect()}
-    assert found == {1: "zero", 2: "not_finite", 3: "dimension", 4: "missing", 5: "not_finite"}
-    done = segment(valid_embeddings(table, dim=2), SegmenterConfig(ctx_window=1))
+    valid, invalid = set_aside(table, dim=2, engine=engine)
+    unfit = ["zero", "not_finite", "dimension", "missing", *["not_finite"] * 3, "dimension"]
+    assert {r.turn: r.reason for r in invalid.collect()} == dict(enumerate(unfit, 1))
+    done = segment(valid, SegmenterConfig(ctx_window=1))
     assert models.gather(done.topics, "delta_eff") == {0: [0.0, 0.0]}
     assert [r.conv_id for r in mixed_dimensions(table.where("embedding IS NOT NULL")).collect()] == [0]
+    other = {r.turn: r.reason for r in set_aside(table, engine=engine)[1].collect()}
+    assert 3 not in other and other[8] == "dimension"
 
 
 @pytest.mark.parametrize("engine", ENGINES)
