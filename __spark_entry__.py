@@ -4,16 +4,13 @@ each of them is checked against."""
 from __future__ import annotations
 
 import sys
-import tempfile
-import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ROOT = Path(__file__).resolve().parent
-sys.path.insert(0, str(ROOT))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle  # noqa: E402
 import seamline as sl  # noqa: E402
@@ -41,21 +38,8 @@ def oracle_sql() -> dict[str, str]:
 # -------------------------------------------------------------------- inputs
 
 
-def _ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, wherever they run."""
-    context = spark.sparkContext
-    if getattr(context, "_seamline_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="seamline-code-")) / "seamline.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(ROOT.glob("seamline/**/*.py")):
-            out.write(source, source.relative_to(ROOT))
-    context.addPyFile(str(archive))
-    context._seamline_shipped = True
-
-
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    _ship(spark)
+    sl.ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -351,7 +335,7 @@ def _calibration(spark, folder, metric="score"):
 
 def _stream_segment(spark, folder):
     """Feed the vectors to the online operator until the source is exhausted."""
-    _ship(spark)
+    sl.ship(spark)
     schema = spark.read.parquet(f"{folder}/embeddings.parquet").schema
     feed = spark.readStream.schema(schema).parquet(f"{folder}/embeddings*.parquet")
     out, state = new_path(spark, "stream"), new_path(spark, "stream-state")

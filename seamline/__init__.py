@@ -1,6 +1,7 @@
 """Topic segmentation of dialogues on Spark."""
 
 from seamline.config import SegmenterConfig
+from seamline.deploy import ship
 from seamline.functions.encoders import hash_encoder, model_encoder, sentence_encoder
 from seamline.operators.evaluation import evaluate
 from seamline.operators.prefix import dense_turns, number_turns
@@ -51,6 +52,7 @@ __all__ = [
     "segments",
     "sentence_encoder",
     "set_aside",
+    "ship",
     "strength_histogram",
     "strength_rollup",
     "threshold_candidates",

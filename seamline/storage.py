@@ -19,17 +19,18 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    Only a local session may do without the setting; it then gets a folder of
-    its own, because every task runs on the same machine.
+    What a job leaves there may be deleted once its results are read. Only a
+    local session may do without the setting; it then gets a folder of its own,
+    because every task runs on the same machine.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{CHECKPOINT_DIR} must name a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="seamline-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="seamline-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
