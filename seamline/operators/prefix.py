@@ -133,11 +133,14 @@ def running(
     longest: int,
     chunk_turns: int = DEFAULT_CHUNK_TURNS,
     level_bits: tuple[int, ...] = LEVEL_BITS[:1],
+    folded: bool = False,
 ) -> DataFrame:
     """Add, per dialogue in turn order, the running fold of each value.
 
     ``values`` maps a new column to ``("sum" | "max", SQL expression)``. ``turn``
-    must be dense; the window that is there anyway also checks it.
+    must be dense; the window that is there anyway also checks it. ``folded``
+    says that the expressions are running folds of each chunk already, of values
+    that are not negative, and that the order is checked; no window is needed.
     """
     split = longest > chunk_turns
     folds = {n: f for n, (f, _) in values.items()}
@@ -150,8 +153,10 @@ def running(
     before = f"lag(turn) OVER {window}"
     ordered = source.selectExpr(
         "*",
-        f"coalesce({before}, block * {chunk_turns} - 1) = turn - 1 AS _in_order",
-        *[f"{f}(_own_{n}) OVER {upto} AS {n}" for n, f in folds.items()],
+        "true AS _in_order"
+        if folded
+        else f"coalesce({before}, block * {chunk_turns} - 1) = turn - 1 AS _in_order",
+        *[f"_own_{n} AS {n}" if folded else f"{f}(_own_{n}) OVER {upto} AS {n}" for n, f in folds.items()],
     )
     complaint = "bigint(raise_error('turn must number each dialogue 0..n-1; see dense_turns'))"
 
@@ -162,7 +167,10 @@ def running(
         return ordered.selectExpr(*df.columns, *[checked(n, n) for n in folds])
     totals = (
         source.groupBy("conv_id", "block")
-        .agg(F.count(F.lit(1)).alias("rows"), *[_FOLD[f](f"_own_{n}").alias(n) for n, f in folds.items()])
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[_FOLD["max" if folded else f](f"_own_{n}").alias(n) for n, f in folds.items()],
+        )
         .where(F.col("rows") == chunk_turns)  # only a full chunk has a successor
     )
     shifted = totals.select("conv_id", (F.col("block") + 1).alias("block"), *folds)

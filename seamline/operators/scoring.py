@@ -31,6 +31,7 @@ from seamline.functions.vectors import MIN_NORM, dot, doubles, norm, problem, sc
 from seamline.operators.prefix import chunk_of
 
 DISTANCES = ("d_prev", "d_ctx", "delta_eff")
+MARKS = ("chunk_topic", "chunk_start")
 NOT_DENSE = "turn must number each dialogue 0..n-1; see dense_turns"
 BAD_VECTOR = "embeddings must be finite, nonzero and of one dimension"
 
@@ -45,19 +46,24 @@ def score_turns(
     longest: int | None = None,
     encoder: Encoder | None = None,
     keep: Sequence[str] = (),
+    mark: bool = False,
 ) -> DataFrame:
     """Score a turn table. ``longest`` is the length of the longest dialogue if
     it is known (``dense_turns`` reports it); ``keep`` names columns to pass on.
 
     With an ``encoder`` the texts are shuffled and encoded afterwards, because
     they are smaller than their vectors.
+
+    ``mark`` adds, for ``config.delta_star`` and while a chunk is at hand in
+    order, ``chunk_topic``, the boundaries so far in the chunk, and
+    ``chunk_start``, the turn of the last one. ``assign_topics`` builds on them.
     """
     payload = [c for c in keep if c not in ("conv_id", "turn")]
     vector = "embedding" if encoder is None else "text"
     columns = dict.fromkeys(["conv_id", "turn", vector, *payload])
     chunks = _with_chunks(turns.select(*columns), config, longest)
     score = _score_arrow if config.engine == "arrow" else _score_jvm
-    return score(chunks, config, encoder, payload)
+    return score(chunks, config, encoder, payload, mark)
 
 
 def _with_chunks(turns: DataFrame, config: SegmenterConfig, longest: int | None) -> DataFrame:
@@ -74,15 +80,16 @@ def _with_chunks(turns: DataFrame, config: SegmenterConfig, longest: int | None)
 
 
 def _score_arrow(
-    chunks: DataFrame, config: SegmenterConfig, encoder: Encoder | None, payload: list[str]
+    chunks: DataFrame, config: SegmenterConfig, encoder: Encoder | None, payload: list[str], mark: bool
 ) -> DataFrame:
     placed = chunks.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn")
     if encoder is not None:
         placed = placed.withColumn("embedding", encoder(F.col("text")))
     placed = placed.select("conv_id", "chunk", "turn", "embedding", *payload)
     fields = [placed.schema["conv_id"], placed.schema["turn"], *[placed.schema[c] for c in payload]]
-    schema = T.StructType([*fields, *[T.StructField(d, T.DoubleType()) for d in DISTANCES]])
-    return placed.mapInArrow(_Scorer(config), schema)
+    fields += [T.StructField(d, T.DoubleType()) for d in DISTANCES]
+    fields += [T.StructField(name, T.LongType()) for name in MARKS if mark]
+    return placed.mapInArrow(_Scorer(config, mark), T.StructType(fields))
 
 
 class _Scorer:
@@ -91,8 +98,9 @@ class _Scorer:
     What it holds between two blocks is the last m vectors of the open chunk.
     """
 
-    def __init__(self, config: SegmenterConfig) -> None:
+    def __init__(self, config: SegmenterConfig, mark: bool = False) -> None:
         self.config = config
+        self.mark = mark
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
@@ -115,11 +123,11 @@ class _Scorer:
         opens = np.ones(n, dtype=bool)
         opens[1:] = pc.not_equal(conv.slice(1), conv.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         opens[1:] |= chunk[1:] != chunk[:-1]
-        if tail is not None and tail["key"] == (conv[0].as_py(), chunk[0]):
-            opens[0] = False
-            past, last_turn = tail["units"], tail["turn"]
+        if tail is None or tail["key"] != (conv[0].as_py(), chunk[0]):
+            tail = {"units": units[:0], "turn": -1, "topic": 0, "start": -1}
         else:
-            past, last_turn = units[:0], -1
+            opens[0] = False
+        past, last_turn = tail["units"], tail["turn"]
         if past.size and past.shape[1] != units.shape[1]:
             raise ValueError(BAD_VECTOR)
 
@@ -159,11 +167,17 @@ class _Scorer:
             pa.array(delta),
         ]
         names = [*kept.schema.names, *DISTANCES]
+        state = {"topic": 0, "start": -1}
+        if self.mark:
+            topic, began = _marks(opens, own, turn, delta >= cfg.delta_star, tail)
+            columns += [pa.array(topic), pa.array(began, mask=began < 0)]
+            names += MARKS
+            state = {"topic": int(topic[-1]), "start": int(began[-1])}
         scored = pa.RecordBatch.from_arrays(columns, names=names)
         if not own.all():
             scored = scored.filter(pa.array(own))
         reach = min(m, int(row[-1] - group[-1]) + 1)
-        state = {
+        state |= {
             "key": (conv[n - 1].as_py(), chunk[-1]),
             "turn": int(turn[-1]),
             "units": window[len(window) - reach :].copy(),
@@ -171,6 +185,22 @@ class _Scorer:
         return scored, state
 
 
+def _marks(
+    opens: np.ndarray, own: np.ndarray, turn: np.ndarray, reached: np.ndarray, tail: dict
+) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries so far in the chunk of each row and the turn of the last one,
+    -1 where the chunk has had none yet."""
+    at = np.arange(len(turn))
+    boundary = own & (turn > 0) & reached
+    so_far = np.cumsum(boundary)
+    opened = np.maximum.accumulate(np.where(opens, at, -1))
+    continues = opened < 0
+    before = np.where(continues, -tail["topic"], (so_far - boundary)[opened])
+    last = np.maximum.accumulate(np.where(boundary | (own & (turn == 0)), at, -1))
+    began = np.where(last >= np.maximum(opened, 0), turn[last], np.where(continues, tail["start"], -1))
+    return so_far - before, began
+
+
 def unit_rows(vectors: pa.Array, dim: int | None) -> np.ndarray:
     """The vectors of an Arrow list column as rows of unit length."""
     widths = pc.unique(pc.list_value_length(vectors)).to_pylist()
@@ -194,7 +224,7 @@ def _row_dots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _score_jvm(
-    chunks: DataFrame, config: SegmenterConfig, encoder: Encoder | None, payload: list[str]
+    chunks: DataFrame, config: SegmenterConfig, encoder: Encoder | None, payload: list[str], mark: bool
 ) -> DataFrame:
     """The same scores from built-in functions only, for clusters without
     Python workers."""
@@ -244,15 +274,19 @@ def _score_jvm(
         d_ctx = F.when(F.col("turn") < m, d_prev).otherwise(d_ctx)
     a = config.ctx_blend_a
     blend = a * F.col("d_prev") + (1 - a) * F.col("d_ctx")
-    return (
+    scored = (
         rows.withColumn("d_prev", d_prev)
         .withColumn("d_ctx", d_ctx)
-        .select(
-            "conv_id",
-            "turn",
-            *payload,
-            "d_prev",
-            "d_ctx",
-            F.coalesce(blend, F.col("d_prev"), F.lit(0.0)).alias("delta_eff"),
-        )
+        .withColumn("delta_eff", F.coalesce(blend, F.col("d_prev"), F.lit(0.0)))
+    )
+    wanted = ["conv_id", "turn", *payload, *DISTANCES]
+    if not mark:
+        return scored.select(wanted)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    boundary = (F.col("turn") > 0) & (F.col("delta_eff") >= config.delta_star)
+    start = F.when(boundary | (F.col("turn") == 0), F.col("turn"))
+    return scored.select(
+        *wanted,
+        F.sum(boundary.cast("bigint")).over(upto).alias("chunk_topic"),
+        F.max(start).over(upto).alias("chunk_start"),
     )

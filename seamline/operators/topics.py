@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seamline.config import DEFAULT_CHUNK_TURNS, SegmenterConfig
 from seamline.operators.prefix import chunk_of, running
+from seamline.operators.scoring import MARKS
 from seamline.storage import store
 
 #: Upper ends of the strength bands of a graded score (fixed values).
@@ -42,21 +43,25 @@ def assign_topics(
 
     Dialogues longer than ``config.chunk_turns`` are summed chunk by chunk, for
     which the scores are written once. Without ``longest`` that is assumed.
+    Scores that were marked at the same threshold are not shuffled again.
     """
+    marked = set(MARKS) <= set(scored.columns)
     flagged = scored.select(
         "*",
         is_boundary(config.delta_star).alias("is_boundary"),
         graded_score(config.delta_star).alias("graded_score"),
     )
+    if marked:
+        topic, start = MARKS
+    else:
+        topic, start = "bigint(is_boundary)", "if(is_boundary OR turn = 0, turn, NULL)"
     return running(
         flagged,
-        {
-            "topic_id": ("sum", "bigint(is_boundary)"),
-            "topic_start": ("max", "if(is_boundary OR turn = 0, turn, NULL)"),
-        },
+        {"topic_id": ("sum", topic), "topic_start": ("max", start)},
         longest=config.chunk_turns + 1 if longest is None else longest,
         chunk_turns=config.chunk_turns,
-    )
+        folded=marked,
+    ).drop(*MARKS)
 
 
 def history(topics: DataFrame) -> DataFrame:

@@ -64,5 +64,5 @@ def segment(
     whether any dialogue is long enough to be split.
     """
     turns, longest = dense_turns(turns)
-    scored = score_turns(turns, config, longest=longest, encoder=encoder, keep=keep)
+    scored = score_turns(turns, config, longest=longest, encoder=encoder, keep=keep, mark=True)
     return Segmentation(reports.assign_topics(scored, config, longest=longest), longest, config)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import models
 from seamline import (
     SegmenterConfig,
+    assign_topics,
     corpus_counts,
     end_turn_labels,
     score_turns,
@@ -98,10 +99,18 @@ def test_scale_of_a_vector_is_irrelevant(spark, turns):
     assert all(one[c] == pytest.approx(two[c], abs=1e-12) for c in one)
 
 
-@pytest.mark.parametrize("chunk", (16384, 4))
-def test_topics_and_reports(turns, dialogues, chunk):
+@pytest.mark.parametrize("engine,chunk", (("arrow", 16384), ("arrow", 4), ("jvm", 5)))
+def test_topics_and_reports(spark, turns, dialogues, engine, chunk):
     delta = 0.95
-    done = segment(turns, SegmenterConfig(delta_star=delta, chunk_turns=chunk))
+    config = SegmenterConfig(delta_star=delta, chunk_turns=chunk, engine=engine)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        done = segment(turns, config)
+        marked = done.topics.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = assign_topics(score_turns(turns, config), config)
+    assert sorted(marked) == sorted(plain.collect())
     topic_ids = models.gather(done.topics, "topic_id")
     starts = models.gather(done.topics, "topic_start")
     labels = models.gather(done.end_turn_labels(), "label")
