@@ -142,28 +142,13 @@ class _Scorer:
         group = np.maximum.accumulate(np.where(opens, row, m - len(past) if not opens[0] else m))
         depth = np.minimum(row - group, m)
 
-        has_past = depth >= 1
-        d_prev = 1.0 - _row_dots(window[m - 1 : m - 1 + n], units)
-        context = np.zeros_like(units)
-        for i in range(1, m + 1):
-            weight = np.where(depth >= i, cfg.ctx_decay ** (i - 1), 0.0)
-            context += weight[:, None] * window[m - i : m - i + n]
-        length = np.sqrt(_row_dots(context, context))
-        has_ctx = has_past & (length > MIN_NORM)
-        d_ctx = 1.0 - _row_dots(context, units) / np.where(has_ctx, length, 1.0)
-        if cfg.warmup == "paper":
-            warming = turn < m
-            d_ctx = np.where(warming, d_prev, d_ctx)
-            has_ctx = np.where(warming, has_past, has_ctx)
-        blend = cfg.ctx_blend_a * d_prev + (1.0 - cfg.ctx_blend_a) * d_ctx
-        delta = np.where(has_past, np.where(has_ctx, blend, d_prev), 0.0)
-
+        d_prev, d_ctx, delta = distances(window, units, depth, cfg)
         own = turn // size == chunk
         kept = block.select([0, 2, *range(4, block.num_columns)])
         columns = [
             *kept.columns,
-            pa.array(d_prev, mask=~has_past),
-            pa.array(d_ctx, mask=~has_ctx),
+            pa.array(d_prev, mask=np.isnan(d_prev)),
+            pa.array(d_ctx, mask=np.isnan(d_ctx)),
             pa.array(delta),
         ]
         names = [*kept.schema.names, *DISTANCES]
@@ -185,6 +170,31 @@ class _Scorer:
         return scored, state
 
 
+def distances(
+    window: np.ndarray, units: np.ndarray, depth: np.ndarray, config: SegmenterConfig
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``d_prev``, ``d_ctx`` (NaN: there is none) and ``delta_eff`` of unit vectors.
+
+    ``window`` is the m vectors before the first one, then the vectors
+    themselves; ``depth`` says how many of the m before each one belong to its
+    dialogue.
+    """
+    m, n = config.ctx_window, len(units)
+    d_prev = np.where(depth >= 1, 1.0 - _row_dots(window[m - 1 : m - 1 + n], units), np.nan)
+    context = np.zeros_like(units)
+    for i in range(1, m + 1):
+        weight = np.where(depth >= i, config.ctx_decay ** (i - 1), 0.0)
+        context += weight[:, None] * window[m - i : m - i + n]
+    length = np.sqrt(_row_dots(context, context))
+    there = length > MIN_NORM
+    d_ctx = np.where(there, 1.0 - _row_dots(context, units) / np.where(there, length, 1.0), np.nan)
+    if config.warmup == "paper":
+        d_ctx = np.where(depth < m, d_prev, d_ctx)
+    blend = config.ctx_blend_a * d_prev + (1.0 - config.ctx_blend_a) * d_ctx
+    delta = np.where(depth >= 1, np.where(np.isnan(d_ctx), d_prev, blend), 0.0)
+    return d_prev, d_ctx, delta
+
+
 def _marks(
     opens: np.ndarray, own: np.ndarray, turn: np.ndarray, reached: np.ndarray, tail: dict
 ) -> tuple[np.ndarray, np.ndarray]:

@@ -24,12 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from seamline.config import SegmenterConfig
-from seamline.functions.vectors import MIN_NORM
-from seamline.operators.scoring import unit_rows
+from seamline.operators.scoring import distances, unit_rows
 
 STATE = "seen bigint, topic_id bigint, last_turn bigint, dim int, recent array<double>"
 READOUT = "topic_id bigint, is_boundary boolean, delta_eff double, graded_score double, late boolean"
 COLUMNS = ["conv_id", "input_turn", "turn", "topic_id", "is_boundary", "delta_eff", "graded_score", "late"]
+NULLABLE = {
+    "turn": "Int64",
+    "topic_id": "Int64",
+    "is_boundary": "boolean",
+    "delta_eff": "float64",
+    "graded_score": "float64",
+}
 
 
 def segment_stream(
@@ -67,41 +73,34 @@ def _stepper(config: SegmenterConfig, idle_timeout_ms: int | None) -> Callable[.
             state.remove()
             return
         seen, topic, last_turn, dim, flat = state.get if state.exists else (0, 0, None, 0, [])
-        recent = [np.array(v) for v in np.reshape(flat, (-1, dim))] if dim else []
         rows = pd.concat(batches).sort_values("turn", kind="stable")
-        out = []
-        for value, embedding in zip(rows["turn"], rows["embedding"]):
-            if last_turn is not None and value <= last_turn:
-                out.append((key[0], value, None, None, None, None, None, True))
-                continue
-            unit = unit_rows(pa.array([embedding]), config.dim or dim or None)[0]
-            score = _score(unit, recent, config)
-            boundary = seen > 0 and score >= config.delta_star
-            topic += int(boundary)
-            out.append(
-                (key[0], value, seen, topic, boundary, score, score / config.delta_star, False)
+        turn = rows["turn"].to_numpy()
+        fresh = np.ones(len(turn), dtype=bool) if last_turn is None else turn > last_turn
+        fresh[1:] &= turn[1:] > turn[:-1]
+        out = pd.DataFrame({"conv_id": rows["conv_id"].to_numpy(), "input_turn": turn})
+        out = out.reindex(columns=COLUMNS).astype(NULLABLE)
+        out["late"] = ~fresh
+        count = int(fresh.sum())
+        if count:
+            m = config.ctx_window
+            units = unit_rows(pa.array(rows["embedding"][fresh].tolist()), config.dim or dim or None)
+            past = np.reshape(flat, (-1, units.shape[1]))
+            window = np.concatenate([np.zeros((m - len(past), units.shape[1])), past, units])
+            place = seen + np.arange(count)
+            _, _, delta = distances(window, units, np.minimum(place, m), config)
+            boundary = (place > 0) & (delta >= config.delta_star)
+            topics = topic + np.cumsum(boundary)
+            out.loc[fresh, "turn"] = place
+            out.loc[fresh, "topic_id"] = topics
+            out.loc[fresh, "is_boundary"] = boundary
+            out.loc[fresh, "delta_eff"] = delta
+            out.loc[fresh, "graded_score"] = delta / config.delta_star
+            recent = window[len(window) - min(m, seen + count) :]
+            state.update(
+                (seen + count, int(topics[-1]), int(turn[fresh][-1]), units.shape[1], recent.ravel().tolist())
             )
-            recent = [*recent, unit][-config.ctx_window :]
-            seen, last_turn, dim = seen + 1, int(value), len(unit)
-        state.update((seen, topic, last_turn, dim, np.concatenate(recent).tolist()))
         if idle_timeout_ms is not None:
             state.setTimeoutDuration(idle_timeout_ms)
-        frame = pd.DataFrame(out, columns=COLUMNS)
-        yield frame.astype({"turn": "Int64", "topic_id": "Int64", "is_boundary": "boolean"})
+        yield out
 
     return step
-
-
-def _score(unit: np.ndarray, recent: list[np.ndarray], config: SegmenterConfig) -> float:
-    if not recent:
-        return 0.0
-    previous = 1.0 - float(recent[-1] @ unit)
-    context = previous
-    if config.warmup == "legacy" or len(recent) >= config.ctx_window:
-        weights = config.ctx_decay ** np.arange(len(recent) - 1, -1, -1)
-        total = weights @ np.stack(recent)
-        length = float(np.linalg.norm(total))
-        if length <= MIN_NORM:
-            return previous
-        context = 1.0 - float(total @ unit) / length
-    return config.ctx_blend_a * previous + (1.0 - config.ctx_blend_a) * context
