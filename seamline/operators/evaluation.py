@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from seamline.config import DEFAULT_CHUNK_TURNS
 from seamline.operators.prefix import chunk_of, running
 from seamline.operators.validation import not_binary, paired_labels, unpaired
+from seamline.storage import store
 
 METRICS = ("pk", "wd", "f1", "score")
 
@@ -79,6 +80,10 @@ def dialogue_metrics(
     """
     names = list(preds)
     longest = chunk_turns + 1 if longest is None else longest
+    split = longest > chunk_turns
+    if split:
+        # Read several times below; the labels may come from scores.
+        labels = store(labels.select("conv_id", "turn", "gold", *names), "labels")
     stats = dialogue_stats(labels, names)
 
     # One row of figures per chunk, not per dialogue: a long dialogue must not
@@ -92,6 +97,7 @@ def dialogue_metrics(
         {f"upto_{c}": ("sum", f"if(turn < n - 1, {c}, 0)") for c in ["gold", *names]},
         longest,
         chunk_turns,
+        stored=split,
     )
 
     sides = [f"upto_{c}" for c in ["gold", *names]]

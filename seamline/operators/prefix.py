@@ -134,6 +134,7 @@ def running(
     chunk_turns: int = DEFAULT_CHUNK_TURNS,
     level_bits: tuple[int, ...] = LEVEL_BITS[:1],
     folded: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """Add, per dialogue in turn order, the running fold of each value.
 
@@ -141,11 +142,14 @@ def running(
     must be dense; the window that is there anyway also checks it. ``folded``
     says that the expressions are running folds of each chunk already, of values
     that are not negative, and that the order is checked; no window is needed.
+
+    A table that is split is read twice, so it is written first; ``stored`` says
+    that reading ``df`` twice is cheap as it is.
     """
     split = longest > chunk_turns
     folds = {n: f for n, (f, _) in values.items()}
     source = df.selectExpr("*", *[f"{sql} AS _own_{n}" for n, (_, sql) in values.items()])
-    source = (store(source, "running") if split else source).selectExpr(
+    source = (store(source, "running") if split and not stored else source).selectExpr(
         "*", f"turn div {chunk_turns} AS block" if split else "0L AS block"
     )
     window = f"(PARTITION BY conv_id{', block' if split else ''} ORDER BY turn)"

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of a matrix read by one call.
 RANGE_BYTES = 16 << 20
 
+#: Bytes of matrices read by one task.
+TASK_BYTES = 128 << 20
+
 
 def turns_from_matrices(
     spark: SparkSession, paths: str | list[str], range_bytes: int = RANGE_BYTES
@@ -21,11 +24,14 @@ def turns_from_matrices(
     One pass reads the headers and lists row ranges, a second reads the ranges,
     so a large matrix is read by many tasks. Pickled files are refused.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path")
-    ranges = files.mapInPandas(
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    size = files.agg({"length": "sum"}).first()[0] or 0
+    ranges = files.select("path").mapInPandas(
         lambda parts: _list_ranges(parts, range_bytes), "path string, start bigint, stop bigint"
     )
-    spread = ranges.repartition("path", "start")
+    # The rows are small and what they stand for is not, so the number of tasks
+    # is given here and not left to the size of the rows.
+    spread = ranges.repartition(max(1, -(-size // TASK_BYTES)), "path", "start")
     return spread.mapInArrow(_read_ranges, "conv_id string, turn bigint, embedding array<double>")
 
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -47,20 +48,40 @@ def test_window_size_rounds_halves_to_even(spark):
     assert [r.k for r in rows] == [2, 4]
 
 
+# Several stages of one job may fail at once, which arrives as a Java error.
+FAILED = (PySparkException, Py4JJavaError)
+
+
 @pytest.mark.parametrize(
-    "gold,pred",
-    [([[0, 1]], [[0, 2]]), ([[0, 0, 1]], [[0, 0]]), ([[0]], [[0]]), ([[0, 1], [0, 0]], [[0, 1]]), ([[0, 1]], [[0, None]])],
+    "gold,pred,message",
+    [
+        ([[0, 1]], [[0, 2]], "labels must be 0 or 1"),
+        ([[0, 0, 1]], [[0, 0]], "cover the same turns"),
+        ([[0]], [[0]], "at least two turns"),
+        ([[0, 1], [0, 0]], [[0, 1]], "cover the same turns"),
+        ([[0, 1]], [[0, None]], "cover the same turns"),
+    ],
 )
-def test_unusable_labels_are_refused(spark, gold, pred):
+@pytest.mark.parametrize("longest", (3, None))
+def test_unusable_labels_are_refused(spark, gold, pred, message, longest):
     a, b = models.label_table(spark, gold), models.label_table(spark, pred)
-    with pytest.raises(PySparkException):
-        evaluate(a, b).collect()
+    with pytest.raises(FAILED, match=message):
+        evaluate(a, b, longest=longest).collect()
     assert label_violations(paired_labels(a, b)).count() == 1
 
 
+@pytest.mark.parametrize("turns", ([0, 2], [0, 1, 1], [1, 2], [0, 0, 2]))
+def test_labels_must_be_numbered(spark, turns):
+    table = spark.createDataFrame([(0, t, 0) for t in turns], "conv_id bigint, turn bigint, gold int")
+    table = table.withColumn("pred", F.col("gold"))
+    for longest in (3, None):
+        with pytest.raises(FAILED, match="turn must number"):
+            dialogue_metrics(table, ["pred"], longest=longest).collect()
+
+
 def test_nothing_to_evaluate(spark):
     none = models.label_table(spark, [[0, 1]]).where("turn < 0")
-    with pytest.raises(PySparkException):
+    with pytest.raises(FAILED, match="no dialogues"):
         evaluate(none, none).collect()
 
 
@@ -134,6 +155,6 @@ def test_calibration_refuses(spark):
     same = score_turns(models.turn_table(spark, [[[1, 0], [1, 0]]]))
     with pytest.raises(ValueError):
         calibrate(same, gold)
-    with pytest.raises(PySparkException):
+    with pytest.raises(FAILED, match="cover the same turns"):
         calibrate(scored, models.label_table(spark, [[0, 0, 0]])).candidates.collect()
     assert threshold_candidates(scored, [50]).first().delta_star == pytest.approx(1.0)
