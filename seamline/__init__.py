@@ -18,7 +18,7 @@ from seamline.operators.topics import (
     strength_rollup,
 )
 from seamline.operators.validation import invalid_embeddings, label_violations, set_aside
-from seamline.plans.calibration import calibrate, threshold_candidates
+from seamline.plans.calibration import calibrate, calibrate_turns, threshold_candidates
 from seamline.plans.segmentation import Segmentation, segment
 from seamline.sources.json_files import as_json, calibration_set, evaluation_set, write_json
 from seamline.sources.matrix import turns_from_matrices
@@ -32,6 +32,7 @@ __all__ = [
     "as_json",
     "assign_topics",
     "calibrate",
+    "calibrate_turns",
     "calibration_set",
     "corpus_counts",
     "dense_turns",

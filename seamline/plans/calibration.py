@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.config import DEFAULT_CHUNK_TURNS
+from seamline.config import DEFAULT_CHUNK_TURNS, SegmenterConfig
+from seamline.functions.encoders import Encoder
 from seamline.operators.evaluation import METRICS, corpus_metrics, dialogue_metrics
+from seamline.operators.prefix import dense_turns
+from seamline.operators.scoring import score_turns
 from seamline.operators.topics import next_scores
 from seamline.plans.quantiles import exact_percentiles
 from seamline.storage import store
@@ -20,11 +23,13 @@ SELECTION_METRICS = ("score", "f1")
 
 @dataclass(frozen=True)
 class Calibration:
-    """``candidates`` has one row per threshold tried, ``selected`` the best."""
+    """``candidates`` has one row per threshold tried, ``selected`` the best;
+    ``config`` is what the scores were made with, if known."""
 
     candidates: DataFrame
     selected: DataFrame
     selection_metric: str
+    config: SegmenterConfig | None = None
     label_source: str = "user-supplied pseudo labels; provenance required"
 
 
@@ -50,6 +55,26 @@ def _thresholds(scores: DataFrame, percentiles: Sequence[float]) -> list[tuple[f
     return [(row.percentile, row.value) for row in found if row.value > 0]
 
 
+def calibrate_turns(
+    turns: DataFrame,
+    labels: DataFrame,
+    config: SegmenterConfig = SegmenterConfig(),
+    percentiles: Sequence[float] = DEFAULT_PERCENTILES,
+    metric: str = "score",
+    *,
+    encoder: Encoder | None = None,
+) -> Calibration:
+    """Score a turn table and calibrate on it. Turns and labels are matched by
+    their position in the dialogue."""
+    turns, longest = dense_turns(turns)
+    labels, _ = dense_turns(labels)
+    scored = score_turns(turns, config, longest=longest, encoder=encoder)
+    found = calibrate(
+        scored, labels, percentiles, metric, longest=longest, chunk_turns=config.chunk_turns
+    )
+    return replace(found, config=config)
+
+
 def calibrate(
     scored: DataFrame,
     labels: DataFrame,
@@ -90,7 +115,8 @@ def calibrate(
     candidates = corpus_metrics(per_dialogue, preds).select(
         "ordinal", F.expr(f"element_at(array({at}), ordinal + 1)").alias("at"), *METRICS, "n"
     )
-    candidates = candidates.select("ordinal", "at.*", *METRICS, "n")
+    # A row per percentile; written so that it is not computed for each reader.
+    candidates = store(candidates.select("ordinal", "at.*", *METRICS, "n"), "candidates")
     # Sums of floats may differ in the last digit from run to run; without the
     # rounding such noise, not the order of the percentiles, would break ties.
     best = candidates.orderBy(F.round(metric, 12).desc(), "ordinal").limit(1)

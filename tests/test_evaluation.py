@@ -5,7 +5,15 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import models
-from seamline import SegmenterConfig, calibrate, evaluate, label_violations, score_turns, threshold_candidates
+from seamline import (
+    SegmenterConfig,
+    calibrate,
+    calibrate_turns,
+    evaluate,
+    label_violations,
+    score_turns,
+    threshold_candidates,
+)
 from seamline.operators.evaluation import dialogue_metrics
 from seamline.operators.validation import paired_labels
 from seamline.plans.quantiles import exact_percentiles
@@ -113,8 +121,7 @@ def test_calibration_by_hand(spark):
     assert result.candidates.count() == 1
 
 
-@pytest.mark.parametrize("metric", ("score", "f1"))
-@pytest.mark.parametrize("longest,chunk", ((40, 16384), (None, 16)))
+@pytest.mark.parametrize("metric,longest,chunk", (("score", 40, 16384), ("f1", None, 16)))
 def test_calibration_grid_matches_the_loops(spark, metric, longest, chunk):
     rng = np.random.default_rng(5)
     dialogues = [rng.normal(size=(n, 5)) for n in rng.integers(2, 40, 15)]
@@ -139,6 +146,14 @@ def test_calibration_grid_matches_the_loops(spark, metric, longest, chunk):
     assert result.selection_metric == metric
 
 
+def test_turns_and_labels_are_matched_by_position(spark):
+    table = models.turn_table(spark, [[[1, 0], [1, 0], [0, 1], [0, 1]]]).withColumn("turn", F.col("turn") * 3 + 1)
+    gold = models.label_table(spark, [[0, 1, 0, 0]])
+    config = SegmenterConfig(ctx_window=1)
+    result = calibrate_turns(table, gold, config, percentiles=[50, 75])
+    assert result.selected.first().score == 1.0 and result.config == config
+
+
 def test_first_percentile_wins_a_tie(spark):
     table = models.turn_table(spark, [[[1, 0], [1, 0], [0, 1], [0, 1]]])
     scored = score_turns(table, SegmenterConfig(ctx_window=1))
