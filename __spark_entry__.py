@@ -20,6 +20,14 @@ from seamline.operators.evaluation import dialogue_metrics, dialogue_stats  # no
 from seamline.operators.validation import paired_labels  # noqa: E402
 from seamline.storage import new_path  # noqa: E402
 
+try:
+    import corpus_pipeline  # noqa: E402
+    from seamline.llm import queries as llm_queries  # noqa: E402
+    from seamline.llm import sql as llm_sql  # noqa: E402
+except ImportError:
+    # The subpackage and its pipeline are optional.
+    corpus_pipeline = None
+
 #: Parameters of the queries on the ``embeddings`` table, whose vectors are far apart.
 EMB = sl.SegmenterConfig(delta_star=0.95)
 #: Parameters of the queries on hashed texts.
@@ -32,7 +40,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements()
+    statements = oracle.statements()
+    if corpus_pipeline:
+        statements |= llm_sql.statements()
+        if corpus_pipeline.ORACLE_SQL:
+            statements["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return statements
 
 
 # -------------------------------------------------------------------- inputs
@@ -353,6 +366,10 @@ def _stream_segment(spark, folder):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | ({"pipeline": corpus_pipeline.run} | llm_queries.queries() if corpus_pipeline else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "turns_from_text": _turns_from_text,
         "text_file_turns": _text_file_turns,
