@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamline.storage import store
+
 #: A word: a run of characters other than space and U+0009 to U+000D (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,3 +23,9 @@ def text_of(column: str | Column) -> Column:
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` written once, with a broadcast hint only if it has at most ``rows`` rows."""
+    written = store(df, "small")
+    return F.broadcast(written) if written.count() <= rows else written

@@ -8,7 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 import seamline as sl
 from seamline.llm.common import table
+from seamline.llm import quality
 from seamline.llm.minhash import near_duplicates
+from seamline.llm.packing import pack, pieces
+
+
+#: Where the public tokenizer lies on every machine.
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _op1(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack(pieces(table(spark, folder, "documents"), _tokenizer(), digest=True))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _op6(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", *[f"_measured.{c}" for c in quality.COUNTS], "base_failed", "kept")
 
 
 def _op9(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +35,8 @@ def _op9(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _QUERIES = {
+    "op1_packing": _op1,
+    "op6_quality": _op6,
     "op9_minhash": _op9,
 }
 
