@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import seamline as sl
 from seamline.llm.common import table
 from seamline.llm import quality
+from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
 from seamline.llm.packing import pack, pieces
 
@@ -25,6 +26,10 @@ def _op1(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _op4(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).select("doc_id", "_mix.*")
+
+
 def _op6(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", *[f"_measured.{c}" for c in quality.COUNTS], "base_failed", "kept")
@@ -36,6 +41,7 @@ def _op9(spark: SparkSession, folder: str) -> DataFrame:
 
 _QUERIES = {
     "op1_packing": _op1,
+    "op4_mixing": _op4,
     "op6_quality": _op6,
     "op9_minhash": _op9,
 }

@@ -27,6 +27,37 @@ WITH RECURSIVE words AS (
 SELECT doc_id, n AS n_shingles, root AS component_id, doc_id = root AS kept FROM members
 """
 
+OP4 = r"""
+WITH sized AS (
+    SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
+    FROM sized GROUP BY source
+), limits AS (
+    SELECT *, [5.0::DOUBLE, 2.0, 1.0][(place - 1) % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS most FROM sources
+), levels AS (
+    SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+        - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+    FROM limits
+), targets AS (
+    SELECT source, source_size, place, least(most, weight * max(level) OVER ()) AS target FROM levels
+), timed AS (
+    SELECT d.*, t.source_size, t.target, t.place,
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key)::BIGINT AS total
+    FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), turns AS (
+    SELECT *, CASE WHEN target > 0 THEN (source_size * round + total) / target ELSE 0 END AS finish
+    FROM timed, (VALUES (0), (1)) r(round)
+), queued AS (
+    SELECT *, sum(size) OVER (ORDER BY finish, place, round, key) AS so_far,
+        1.5 * sum(size) OVER () / 2 AS budget FROM turns
+)
+SELECT doc_id, size, source_size, target, sum(CASE WHEN so_far <= budget THEN size ELSE 0 END)::BIGINT AS taken
+FROM queued GROUP BY doc_id, key, size, source, source_size, target
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op9_minhash": OP9}
+    return {"op4_mixing": OP4, "op9_minhash": OP9}
