@@ -1,25 +1,81 @@
-"""A training-data pipeline over ``documents``, one operator per stage."""
+"""A training-data pipeline over ``documents``, one operator per stage.
+
+All stages but the last return the columns of ``documents``. Rows without an id and
+rows repeated with one id are fine at every stage; deduplication keeps one of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import seamline as sl
+from seamline.llm import quality
 from seamline.llm.minhash import near_duplicates
+from seamline.llm.mixing import mix
+from seamline.llm.packing import pack, pieces
+from seamline.llm.pii import replace_entities
+from seamline.llm.queries import SURROGATE_KEY, tokenizer_path
 from seamline.storage import store
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judge(_whole(docs, "doc_id", "text", "lang"), labels, keep=["row"]).where("kept").select("row.*")
+
+
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    sl.ship(spark)
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    once = docs.dropDuplicates(["doc_id"])
-    return once.join(kept, once["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One document of each group of near-duplicates: that with the smallest id.
+
+    Of rows with one id the one with the smallest text stays; rows without an id are
+    no group and all stay.
+    """
+    whole = _whole(docs, "doc_id", "text")
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    # Joined and counted by id: texts are shuffled once.
+    named = whole.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = named.select("row", nth.alias("nth")).where("nth = 1").select("row.*")
+    return once.union(docs.where("doc_id IS NULL"))
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates for personal data, and their new lengths."""
+    replaced = replace_entities(docs, SURROGATE_KEY)
+    return replaced.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mix(_whole(docs, "doc_id", "text", "source"), keep=["row"])
+    times = F.when(F.col("_mix.size") > 0, F.expr("_mix.taken div _mix.size")).otherwise(0).cast("int")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of the mixed documents and their places in the sequences."""
+    return pack(pieces(docs, tokenizer_path(), digest=True))
+
+
+def _whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows as one column ``row`` beside the named ones, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def _shipped(stage):
+    """The stage, with the package known to the workers."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sl.ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 STAGES = [
-    ("minhash_near_dedup", minhash_near_dedup),
+    (stage.__name__, _shipped(stage))
+    for stage in (quality_rules, minhash_near_dedup, pii_surrogates, source_mix, best_fit_packing)
 ]
 
 #: Surrogates, packing and thresholds are not expressible in SQL.

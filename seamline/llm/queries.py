@@ -12,17 +12,22 @@ from seamline.llm import quality
 from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
 from seamline.llm.packing import pack, pieces
+from seamline.llm.pii import replace_entities
 
 
-#: Where the public tokenizer lies on every machine.
-def _tokenizer() -> str:
+#: The key of the registered queries; a real corpus has a secret one of its own.
+SURROGATE_KEY = b"registered query"
+
+
+def tokenizer_path() -> str:
+    """Where the public tokenizer lies on every machine."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _op1(spark: SparkSession, folder: str) -> DataFrame:
-    packed = pack(pieces(table(spark, folder, "documents"), _tokenizer(), digest=True))
+    packed = pack(pieces(table(spark, folder, "documents"), tokenizer_path(), digest=True))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -35,6 +40,11 @@ def _op6(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[f"_measured.{c}" for c in quality.COUNTS], "base_failed", "kept")
 
 
+def _op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return replace_entities(docs, SURROGATE_KEY, count_column="n_replaced")
+
+
 def _op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -43,6 +53,7 @@ _QUERIES = {
     "op1_packing": _op1,
     "op4_mixing": _op4,
     "op6_quality": _op6,
+    "op7_pii": _op7,
     "op9_minhash": _op9,
 }
 
