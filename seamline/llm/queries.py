@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import seamline as sl
-from seamline.llm.common import table
-from seamline.llm import quality
+from seamline.llm import language, quality, toxicity
+from seamline.llm.common import remainder, table
 from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
 from seamline.llm.packing import pack, pieces
@@ -31,6 +32,18 @@ def _op1(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def _held_out(modulus: int, value: int) -> Column:
+    """Whether the crc32 of the id has this remainder; a null id is not held out."""
+    return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False)).alias("held_out")
+
+
+def _op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(remainder("doc_id", 4) != 2))
+    rows = docs.select("doc_id", _held_out(4, 2), "text")
+    return language.identify(rows, model)
+
+
 def _op4(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "_mix.*")
 
@@ -45,15 +58,24 @@ def _op7(spark: SparkSession, folder: str) -> DataFrame:
     return replace_entities(docs, SURROGATE_KEY, count_column="n_replaced")
 
 
+def _op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(remainder("doc_id", 5) != 0)
+    network = toxicity.fit(docs, labels)
+    return toxicity.score(docs.select("doc_id", _held_out(5, 0), "text"), network)
+
+
 def _op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
 _QUERIES = {
     "op1_packing": _op1,
+    "op2_language": _op2,
     "op4_mixing": _op4,
     "op6_quality": _op6,
     "op7_pii": _op7,
+    "op8_toxicity": _op8,
     "op9_minhash": _op9,
 }
 
