@@ -14,6 +14,8 @@ from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
 from seamline.llm.packing import pack, pieces
 from seamline.llm.pii import replace_entities
+from seamline.llm.warc import read_archives, with_originals, write_archives
+from seamline.storage import new_path, store
 
 
 #: The key of the registered queries; a real corpus has a secret one of its own.
@@ -69,6 +71,13 @@ def _op9(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def _op10(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    write_archives(table(spark, folder, "pages"), path)
+    records = with_originals(store(read_archives(spark, path, payloads=False), "records"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 _QUERIES = {
     "op1_packing": _op1,
     "op2_language": _op2,
@@ -77,6 +86,7 @@ _QUERIES = {
     "op7_pii": _op7,
     "op8_toxicity": _op8,
     "op9_minhash": _op9,
+    "op10_warc": _op10,
 }
 
 

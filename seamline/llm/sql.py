@@ -58,6 +58,22 @@ SELECT doc_id, size, source_size, target, sum(CASE WHEN so_far <= budget THEN si
 FROM queued GROUP BY doc_id, key, size, source, source_size, target
 """
 
+OP10 = r"""
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), digests AS (
+    SELECT page_id, payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS original
+    FROM payloads
+)
+SELECT page_id, payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + ((('0x' || substr(hex, 1 + (i // 4) * 5, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '')
+        AS payload_digest,
+    CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> original THEN original END AS refers_to
+FROM digests
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op9_minhash": OP9}
+    return {"op4_mixing": OP4, "op9_minhash": OP9, "op10_warc": OP10}
