@@ -14,6 +14,7 @@ from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
 from seamline.llm.packing import pack, pieces
 from seamline.llm.pii import replace_entities
+from seamline.llm.vectors import similar_vectors
 from seamline.llm.warc import read_archives, with_originals, write_archives
 from seamline.storage import new_path, store
 
@@ -50,6 +51,10 @@ def _op4(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "_mix.*")
 
 
+def _op5(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors(table(spark, folder, "embeddings"))
+
+
 def _op6(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.select("doc_id", *[f"_measured.{c}" for c in quality.COUNTS], "base_failed", "kept")
@@ -82,6 +87,7 @@ _QUERIES = {
     "op1_packing": _op1,
     "op2_language": _op2,
     "op4_mixing": _op4,
+    "op5_vectors": _op5,
     "op6_quality": _op6,
     "op7_pii": _op7,
     "op8_toxicity": _op8,

@@ -74,6 +74,28 @@ SELECT page_id, payload_bytes,
 FROM digests
 """
 
+OP5 = r"""
+WITH RECURSIVE sound AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other
+), roots AS (
+    SELECT node, min(other) AS root FROM reach GROUP BY node
+), degrees AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, r.root AS component_id, e.vec_id = r.root AS kept
+FROM embeddings e JOIN roots r ON r.node = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op9_minhash": OP9, "op10_warc": OP10}
+    return {"op4_mixing": OP4, "op5_vectors": OP5, "op9_minhash": OP9, "op10_warc": OP10}
