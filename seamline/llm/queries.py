@@ -14,6 +14,7 @@ from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
 from seamline.llm.packing import pack, pieces
 from seamline.llm.pii import replace_entities
+from seamline.llm.urls import filter_urls
 from seamline.llm.vectors import similar_vectors
 from seamline.llm.warc import read_archives, with_originals, write_archives
 from seamline.storage import new_path, store
@@ -47,6 +48,10 @@ def _op2(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(rows, model)
 
 
+def _op3(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_urls(table(spark, folder, "pages"))
+
+
 def _op4(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "_mix.*")
 
@@ -86,6 +91,7 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
 _QUERIES = {
     "op1_packing": _op1,
     "op2_language": _op2,
+    "op3_urls": _op3,
     "op4_mixing": _op4,
     "op5_vectors": _op5,
     "op6_quality": _op6,

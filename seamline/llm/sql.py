@@ -97,5 +97,64 @@ FROM embeddings e JOIN roots r ON r.node = e.vec_id LEFT JOIN degrees d ON d.a =
 """
 
 
+def _op3(iterations: int = 20) -> str:
+    """Rules, then both walks, one table per step."""
+    walk = "".join(
+        f"""
+), ranks{n + 1} AS MATERIALIZED (
+    SELECT s.kind, s.host, 0.15 * s.seed + 0.85 * coalesce(sum(e.share * r.rank), 0) AS rank
+    FROM starts s LEFT JOIN shares e ON e.kind = s.kind AND e.goal = s.host
+    LEFT JOIN ranks{n} r ON r.kind = e.kind AND r.host = e.origin GROUP BY s.kind, s.host, s.seed"""
+        for n in range(iterations)
+    )
+    return rf"""
+WITH rests AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest,
+        html FROM pages
+), parts AS (
+    SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+), rules(verdict, rhost, rpath) AS (
+    VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+        ('allow', 'org', '/fr/')
+), judged AS MATERIALIZED (
+    SELECT p.page_id, p.host, p.path, p.html,
+        (SELECT arg_max(struct_pack(rule := rhost || rpath, verdict := verdict), length(rhost || rpath)) FROM rules
+         WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS r
+    FROM parts p
+), seeds AS (
+    SELECT host, count(*) FILTER (r.verdict = 'allow') / count(*) AS trust,
+        count(*) FILTER (r.verdict = 'block') / count(*) AS distrust FROM judged WHERE host <> '' GROUP BY host
+), found AS (
+    SELECT host AS source, translate(unnest(regexp_extract_all(html,
+        '(?i)href\s*=\s*["'']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]+)', 1)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS target FROM judged WHERE host <> ''
+), links AS MATERIALIZED (
+    SELECT source, target, count(*) AS n FROM found WHERE source <> target GROUP BY ALL
+), steps AS (
+    SELECT 'trust' AS kind, source AS origin, target AS goal, n FROM links
+    UNION ALL SELECT 'distrust', target, source, n FROM links
+), hosts AS (
+    SELECT host FROM seeds UNION SELECT source FROM links UNION SELECT target FROM links
+), starts AS MATERIALIZED (
+    SELECT 'trust' AS kind, h.host, coalesce(s.trust, 0) AS seed FROM hosts h LEFT JOIN seeds s USING (host)
+    UNION ALL SELECT 'distrust', h.host, coalesce(s.distrust, 0) FROM hosts h LEFT JOIN seeds s USING (host)
+), shares AS MATERIALIZED (
+    SELECT kind, origin, goal, n / sum(n) OVER (PARTITION BY kind, origin) AS share FROM steps
+    UNION ALL SELECT kind, host, host, 1 FROM starts s
+    WHERE NOT EXISTS (SELECT 1 FROM steps e WHERE e.kind = s.kind AND e.origin = s.host)
+), ranks0 AS MATERIALIZED (
+    SELECT kind, host, seed AS rank FROM starts{walk}
+), blocked AS (
+    SELECT host FROM ranks{iterations} GROUP BY host
+    HAVING max(rank) FILTER (kind = 'distrust') > 0.5
+        AND max(rank) FILTER (kind = 'distrust') > max(rank) FILTER (kind = 'trust')
+)
+SELECT page_id, j.host, path, r.rule AS rule,
+    coalesce(r.verdict, CASE WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j LEFT JOIN blocked b ON b.host = j.host
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op5_vectors": OP5, "op9_minhash": OP9, "op10_warc": OP10}
+    return {"op4_mixing": OP4, "op3_urls": _op3(), "op5_vectors": OP5, "op9_minhash": OP9, "op10_warc": OP10}
