@@ -12,7 +12,9 @@ dissolved, and their pieces are dealt into fewer shards and evolved again.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,9 +69,15 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same vocabulary for parts that need no more than lower case.
+        self.bare = None
+        if _splits_as_expected(path):
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -87,17 +95,59 @@ class Encoder:
         return [b"".join(map(ids, words)) for words in parts]
 
     def _learn(self, words: list[bytes]) -> None:
-        if not words:
-            return
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        """Encode parts; those of letters, with a comma or stop at most, by their letters."""
+        odd, simple, stems = [], [], {}
+        for word in words:
+            text = word.decode("utf-8", "replace")
+            end = text[-1] if text[-1] in ",." else ""
+            stem = text.removesuffix(end) if end else text
+            if self.bare and stem.isalpha() and _plain(stem):
+                stem = stem.lower()
+                simple.append((word, stem, end))
+                stems[stem] = None
+            else:
+                odd.append((word, text))
+        found = self._ids(self.tokenizer, [text for _, text in odd] + [",", "."])
+        self.young.update(zip((word for word, _ in odd), found))
+        ends = {"": b"", ",": found[-2], ".": found[-1]}
+        new = []
+        for stem in stems:
+            stems[stem] = self.young.get(stem.encode()) or self.old.get(stem.encode())
+            if stems[stem] is None:
+                new.append(stem)
+        if new:
+            stems.update(zip(new, self._ids(self.bare, new)))
+        self.young.update((word, stems[stem] + ends[end]) for word, stem, end in simple)
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        found = tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
         raw = np.array(found.ids, "<u4").tobytes()
-        owners = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-        ends = np.searchsorted(owners, np.arange(len(words)), side="right") * 4
-        start = 0
-        for word, end in zip(words, ends.tolist()):
-            self.young[word] = raw[start:end]
-            start = end
+        ends = (np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(texts)), side="right") * 4).tolist()
+        return [raw[start:end] for start, end in zip([0, *ends], ends)]
+
+
+#: The steps before the merges of tokenizers for which runs of letters stand
+#: alone and only their case changes.
+_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _splits_as_expected(path: str) -> bool:
+    with open(path, encoding="utf-8") as file:
+        steps = json.load(file)
+    before, split = steps.get("normalizer") or {}, steps.get("pre_tokenizer") or {}
+    kinds = ([x["type"] for x in before.get("normalizers", [])], [x["type"] for x in split.get("pretokenizers", [])])
+    return kinds == _STEPS and split["pretokenizers"][0]["pattern"] == {"Regex": _PATTERN}
+
+
+def _plain(letters: str) -> bool:
+    """Whether case is all that normalising changes, letter by letter."""
+    if letters.isascii():
+        return True
+    # A capital sigma is lower-cased by its place; some capitals become more than letters.
+    return unicodedata.is_normalized("NFC", letters) and "Σ" not in letters and letters.lower().isalpha()
 
 
 def pieces(
