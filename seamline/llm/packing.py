@@ -21,13 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamline.llm.minhash import mixed
 from seamline.storage import store
 
-#: Distinct texts between spaces a worker remembers per generation of its cache.
-_REMEMBERED = 300_000
+#: Parts between spaces that a worker remembers.
+_REMEMBERED = 1_000_000
+#: The encoder of a worker, by the path of its tokenizer: it outlives a task.
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
 @dataclass(frozen=True)
@@ -59,12 +64,14 @@ class Packing:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit words.
-
-    The tokenizers this is for never merge across white space, so a text's ids are
-    those of its space-separated parts one after another. Parts are remembered in
-    two generations: when the younger is full it becomes the older one, and what is
-    used again moves up. So a worker's memory is bounded and frequent parts stay.
+    """Token ids of many whole texts at once, with vector operations over their bytes.
+
+    The tokenizers this is for never merge across white space, so a text's ids are those
+    of its space-separated parts one after another, and most parts occur again and
+    again. Parts of up to sixteen bytes are two numbers; a sorted table of them says
+    which have been encoded before, and only new ones meet the tokenizer. Hashes order
+    the table, equality is decided on the bytes. A full table keeps what was used last,
+    so a worker's memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -78,24 +85,117 @@ class Encoder:
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = None
             self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        #: Bytes of each known part, place and number of its ids, and when it was last met.
+        self.low, self.high = np.empty((2, 0), np.uint64)
+        self.size, self.at, self.count, self.met = np.empty((4, 0), np.int64)
+        self.pool = np.empty(0, np.uint32)
+        #: Hashes in order, and whose they are.
+        self.hashes, self.order = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.now = 0
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        needed = set().union(*parts).difference(self.young)
-        if len(self.young) > _REMEMBERED:
-            self.old, self.young = self.young, {}
-            needed = set().union(*parts)
-        if needed:
-            known = needed.intersection(self.old)
-            self.young.update((w, self.old[w]) for w in known)
-            self._learn(list(needed.difference(known)))
-        ids = self.young.__getitem__
-        return [b"".join(map(ids, words)) for words in parts]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode parts; those of letters, with a comma or stop at most, by their letters."""
+        ends = np.cumsum([0, *map(len, texts)])
+        ids, stops = self.flat(np.frombuffer(b"".join(texts), np.uint8), ends)
+        return [ids[a:b].tobytes() for a, b in zip(np.append(0, stops[:-1]), stops)]
+
+    def flat(self, data: np.ndarray, ends: np.ndarray, separator: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between ``ends`` in ``data``, end to end, and where each one's end.
+
+        With a separator each text is followed by it.
+        """
+        self.now += 1
+        start, stop, first = _parts(data, ends)
+        entry = self._known(data, start, stop)
+        if separator is not None:
+            # A part of no bytes stands for the separator and has its id alone.
+            sign = len(self.size)
+            self._append([b""], [np.array([separator], "<u4").tobytes()])
+            entry = np.insert(entry, first[1:], sign)
+            first = first + np.arange(len(first))
+        count = self.count[entry]
+        before = np.cumsum(count) - count
+        ids = self.pool[np.repeat(self.at[entry] - before, count) + np.arange(count.sum())]
+        stops = np.append(before, count.sum())[first[1:]]
+        if separator is not None:
+            self._drop_last()
+        return ids, stops
+
+    def _known(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The entry of every part, after new ones have been encoded."""
+        size = stop - start
+        padded = np.concatenate((data, np.zeros(16, np.uint8)))
+        # Eight bytes from each place, though places are not aligned.
+        eight = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
+        low = eight[start] & _MASKS[np.minimum(size, 8)]
+        high = eight[np.minimum(start + 8, len(data))] & _MASKS[np.clip(size - 8, 0, 8)]
+        hashed = _hashed(low, high, size)
+        long = np.flatnonzero(size > 16)
+        if len(long):
+            # The rest of a long part enters through a hash of the whole of it.
+            whole = [xxhash.xxh3_128_intdigest(data[a:b].tobytes()) for a, b in zip(start[long], stop[long])]
+            low[long] = [w >> 64 for w in whole]
+            high[long] = [w & (1 << 64) - 1 for w in whole]
+            hashed[long] = _hashed(low[long], high[long], size[long])
+        distinct, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+        exact = all((x[where][inverse] == x).all() for x in (low, high, size))
+        if not exact:  # two parts with one hash: tell them apart by their bytes
+            keys = np.stack((low, high, size.astype(np.uint64)), axis=1)
+            _, where, inverse = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+            inverse, distinct = inverse.reshape(-1), hashed[where]
+        entry = np.full(len(where), -1, np.int64)
+        place = np.searchsorted(self.hashes, distinct)
+        fits = place < len(self.hashes)
+        candidate = self.order[place[fits]]
+        own = where[fits]
+        same = (self.low[candidate] == low[own]) & (self.high[candidate] == high[own])
+        entry[fits] = np.where(same & (self.size[candidate] == size[own]), candidate, -1)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            if len(self.size) + len(new) > _REMEMBERED:
+                entry = self._forget(entry)
+            at = where[new]
+            parts = [data[a:b].tobytes() for a, b in zip(start[at].tolist(), stop[at].tolist())]
+            entry[new] = len(self.size) + np.arange(len(new))
+            self._append(parts, self._learn(parts), low[at], high[at], size[at])
+            order = np.argsort(distinct[new], kind="stable")
+            spot = np.searchsorted(self.hashes, distinct[new][order])
+            self.hashes = np.insert(self.hashes, spot, distinct[new][order])
+            self.order = np.insert(self.order, spot, entry[new][order])
+        self.met[entry] = self.now
+        return entry[inverse]
+
+    def _append(self, parts, ids: list[bytes], low=(0,), high=(0,), size=(0,)) -> None:
+        count = np.array([len(i) // 4 for i in ids], np.int64)
+        self.at = np.append(self.at, len(self.pool) + np.cumsum(count) - count)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4").astype(np.uint32))
+        self.count, self.size = np.append(self.count, count), np.append(self.size, np.asarray(size, np.int64))
+        self.low = np.append(self.low, np.asarray(low, np.uint64))
+        self.high = np.append(self.high, np.asarray(high, np.uint64))
+        self.met = np.append(self.met, np.full(len(ids), self.now))
+
+    def _drop_last(self) -> None:
+        self.pool = self.pool[: len(self.pool) - self.count[-1]]
+        for name in ("at", "count", "size", "low", "high", "met"):
+            setattr(self, name, getattr(self, name)[:-1])
+
+    def _forget(self, entry: np.ndarray) -> np.ndarray:
+        """Keep the half of the table met last, and what ``entry`` needs now."""
+        keep = np.zeros(len(self.size), bool)
+        keep[np.argsort(-self.met, kind="stable")[: _REMEMBERED // 2]] = True
+        keep[entry[entry >= 0]] = True
+        number = np.cumsum(keep) - 1
+        count = self.count[keep]
+        before = np.cumsum(count) - count
+        self.pool = self.pool[np.repeat(self.at[keep] - before, count) + np.arange(count.sum())]
+        self.at, self.count = before, count
+        for name in ("size", "low", "high", "met"):
+            setattr(self, name, getattr(self, name)[keep])
+        held = keep[self.order]
+        self.hashes, self.order = self.hashes[held], number[self.order[held]]
+        return np.where(entry >= 0, number[entry], -1)
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Ids of new parts; those of letters, with a comma or stop at most, by their letters."""
         odd, simple, stems = [], [], {}
         for word in words:
             text = word.decode("utf-8", "replace")
@@ -103,21 +203,17 @@ class Encoder:
             stem = text.removesuffix(end) if end else text
             if self.bare and stem.isalpha() and _plain(stem):
                 stem = stem.lower()
-                simple.append((word, stem, end))
-                stems[stem] = None
+                simple.append((stem, end))
+                stems[stem] = b""
             else:
-                odd.append((word, text))
-        found = self._ids(self.tokenizer, [text for _, text in odd] + [",", "."])
-        self.young.update(zip((word for word, _ in odd), found))
+                simple.append(None)
+                odd.append(text)
+        found = self._ids(self.tokenizer, odd + [",", "."])
         ends = {"": b"", ",": found[-2], ".": found[-1]}
-        new = []
-        for stem in stems:
-            stems[stem] = self.young.get(stem.encode()) or self.old.get(stem.encode())
-            if stems[stem] is None:
-                new.append(stem)
-        if new:
-            stems.update(zip(new, self._ids(self.bare, new)))
-        self.young.update((word, stems[stem] + ends[end]) for word, stem, end in simple)
+        if stems:
+            stems = dict(zip(stems, self._ids(self.bare, list(stems))))
+        rest = iter(found)
+        return [next(rest) if s is None else stems[s[0]] + ends[s[1]] for s in simple]
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[bytes]:
@@ -128,6 +224,27 @@ class Encoder:
         return [raw[start:end] for start, end in zip([0, *ends], ends)]
 
 
+#: Low bytes of a number, by how many.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _parts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and stop of each part between white space, and the number of parts before each text."""
+    solid = ~_SPACE[data]
+    joined = np.zeros(len(data) + 1, bool)
+    joined[1:-1] = solid[1:] & solid[:-1]
+    # A part ends with its text.
+    joined[ends] = False
+    start = np.flatnonzero(solid & ~joined[:-1])
+    stop = np.flatnonzero(solid & ~joined[1:]) + 1
+    return start, stop, np.searchsorted(start, ends)
+
+
+def _hashed(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mixed(mixed(low + size.astype(np.uint64)) + high * np.uint64(0x9E3779B97F4A7C15))
+
+
 #: The steps before the merges of tokenizers for which runs of letters stand
 #: alone and only their case changes.
 _STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
@@ -150,6 +267,14 @@ def _plain(letters: str) -> bool:
     return unicodedata.is_normalized("NFC", letters) and "Σ" not in letters and letters.lower().isalpha()
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array without nulls, and where each value ends."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return whole[ends[0] : ends[-1]], ends - ends[0]
+
+
 def pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -173,25 +298,29 @@ def pieces(
     last = "ids_crc32 bigint" if digest else "ids array<int>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([separator], "<u4").tobytes()
+        encoder = _ENCODERS.get(tokenizer) or Encoder(tokenizer)
+        _ENCODERS[tokenizer] = encoder
         for batch in batches:
-            for first in range(0, batch.num_rows, 250):
-                part = batch.slice(first, 250)
-                texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
-                encoded = [ids + end for ids in encoder.encode(texts)]
-                sizes = np.array([len(e) // 4 for e in encoded], np.int64)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                # One copy without gaps for null texts, whose places may hold anything.
+                texts = pc.fill_null(part.column(1).cast(pa.large_binary()), b"")
+                data, ends = _bytes_of(texts)
+                ids, stops = encoder.flat(data, ends, separator)
+                begins = np.append(0, stops[:-1])
+                sizes = stops - begins
                 counts = -(-sizes // capacity)
                 owner = np.repeat(np.arange(len(sizes)), counts)
                 number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
                 start = number * capacity
                 length = np.minimum(sizes[owner] - start, capacity)
                 if digest:
-                    cuts = zip(owner.tolist(), (start * 4).tolist(), ((start + length) * 4).tolist())
-                    values = pa.array([zlib.crc32(encoded[o][a:b]) for o, a, b in cuts], pa.int64())
+                    view = memoryview(ids.astype("<u4")).cast("B")
+                    cuts = zip(((begins[owner] + start) * 4).tolist(), ((begins[owner] + start + length) * 4).tolist())
+                    values = pa.array([zlib.crc32(view[a:b]) for a, b in cuts], pa.int64())
                 else:
-                    ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
-                    flat = np.frombuffer(b"".join(encoded), "<i4")
-                    values = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                    bounds = np.append(0, np.cumsum(length)).astype(np.int32)
+                    values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(start)]
                     + [pa.array(length), values],
