@@ -17,7 +17,7 @@ from seamline.operators.topics import (
     strength_histogram,
     strength_rollup,
 )
-from seamline.operators.validation import invalid_embeddings, label_violations, set_aside
+from seamline.operators.validation import invalid_embeddings, label_violations, mixed_dimensions, set_aside
 from seamline.plans.calibration import calibrate, calibrate_turns, threshold_candidates
 from seamline.plans.segmentation import Segmentation, segment
 from seamline.sources.json_files import as_json, calibration_set, evaluation_set, write_json
@@ -44,6 +44,7 @@ __all__ = [
     "history",
     "invalid_embeddings",
     "label_violations",
+    "mixed_dimensions",
     "model_encoder",
     "number_turns",
     "score_turns",

@@ -28,6 +28,7 @@ class SegmenterConfig:
     change a result.
     """
 
+    # The defaults.
     delta_star: float = 0.5594
     ctx_window: int = 2
     ctx_decay: float = 0.7
@@ -55,4 +56,5 @@ class SegmenterConfig:
     @classmethod
     def for_sessions(cls, **overrides: Any) -> "SegmenterConfig":
         """Defaults of the session job: 768-wide vectors and a threshold of 0.30."""
+        # Fixed values.
         return cls(**{"dim": 768, "delta_star": 0.30, **overrides})

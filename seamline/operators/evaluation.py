@@ -10,7 +10,7 @@ is summed, and any number of predictions is evaluated in the same pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,8 @@ from seamline.operators.validation import not_binary, paired_labels, unpaired
 from seamline.storage import store
 
 METRICS = ("pk", "wd", "f1", "score")
+#: Metrics of one dialogue.
+PER_DIALOGUE = ("pk", "wd", "f1")
 
 
 def window_size(n: Column, boundaries: Column) -> Column:
@@ -29,26 +31,33 @@ def window_size(n: Column, boundaries: Column) -> Column:
     return F.greatest(F.lit(2), F.bround(half).cast("int"))
 
 
-def dialogue_stats(labels: DataFrame, preds: Sequence[str] = ()) -> DataFrame:
+def _expressions(preds: Sequence[str] | Mapping[str, str]) -> dict[str, str]:
+    """SQL for every prediction: a column, or made of one when it is needed."""
+    return dict(preds) if isinstance(preds, Mapping) else {p: p for p in preds}
+
+
+def dialogue_stats(labels: DataFrame, preds: Sequence[str] | Mapping[str, str] = ()) -> DataFrame:
     """Per dialogue ``n``, gold boundaries ``b`` and window size ``k``, and per
     prediction its boundaries and hits, the last turn's labels taken as 0.
 
     Labels the metrics are not defined for are an error.
     """
-    names = list(preds)
+    of = _expressions(preds)
+    names = list(of)
 
     def without_last(flag: str, name: str) -> Column:
         # The parity of the largest 2*turn+flag is the flag of the last turn.
         return F.expr(f"sum({flag}) - max(turn * 2 + {flag}) % 2 AS {name}")
 
+    checked = [f"({x})" for x in of.values()]
     stats = labels.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("rows"),
         (F.max("turn") + 1).alias("n"),
         without_last("gold", "b"),
-        F.count_if(not_binary(names)).alias("bad"),
-        F.count_if(unpaired(names)).alias("unpaired"),
-        *[without_last(p, f"b_{p}") for p in names],
-        *[without_last(f"gold * {p}", f"hit_{p}") for p in names],
+        F.count_if(not_binary(checked)).alias("bad"),
+        F.count_if(unpaired(checked)).alias("unpaired"),
+        *[without_last(x, f"b_{p}") for p, x in zip(names, checked)],
+        *[without_last(f"gold * {x}", f"hit_{p}") for p, x in zip(names, checked)],
     )
     checks = (
         ("unpaired > 0", "gold and predicted labels must cover the same turns"),
@@ -68,23 +77,32 @@ def dialogue_stats(labels: DataFrame, preds: Sequence[str] = ()) -> DataFrame:
 
 def dialogue_metrics(
     labels: DataFrame,
-    preds: Sequence[str],
+    preds: Sequence[str] | Mapping[str, str],
     *,
+    metrics: Sequence[str] = PER_DIALOGUE,
     longest: int | None = None,
     chunk_turns: int = DEFAULT_CHUNK_TURNS,
 ) -> DataFrame:
-    """``pk``, ``wd`` and ``f1`` per dialogue for every prediction column.
-
-    ``labels`` has ``conv_id, turn, gold`` and the columns named in ``preds``;
-    the result has ``n``, ``k`` and ``pk_<pred>, wd_<pred>, f1_<pred>``.
+    """``metrics`` (``pk``, ``wd``, ``f1``) per dialogue for every prediction.
+
+    ``labels`` has ``conv_id, turn, gold`` and the columns named in ``preds``, or
+    those that its SQL expressions are made of: many predictions may come from one
+    column, and are made where they are summed. The result has ``n``, ``k`` and
+    ``pk_<pred>, wd_<pred>, f1_<pred>``. The labels are written once, as they may
+    come from scores and are read for the sizes and for the windows; ``f1`` alone
+    needs no windows and reads them once.
     """
-    names = list(preds)
+    if unknown := set(metrics) - set(PER_DIALOGUE):
+        raise ValueError(f"unknown metrics: {sorted(unknown)}")
+    of = _expressions(preds)
+    names = list(of)
+    f1 = [f"coalesce(try_divide(2D * hit_{p}, b + b_{p}), 0D) AS f1_{p}" for p in names if "f1" in metrics]
+    windowed = [m for m in ("pk", "wd") if m in metrics]
+    if not windowed:
+        return dialogue_stats(labels, of).selectExpr("conv_id", "n", "k", *f1)
     longest = chunk_turns + 1 if longest is None else longest
-    split = longest > chunk_turns
-    if split:
-        # Read several times below; the labels may come from scores.
-        labels = store(labels.select("conv_id", "turn", "gold", *names), "labels")
-    stats = dialogue_stats(labels, names)
+    labels = store(labels, "labels")
+    stats = dialogue_stats(labels, of)
 
     # One row of figures per chunk, not per dialogue: a long dialogue must not
     # meet its figures in a single join partition.
@@ -92,15 +110,16 @@ def dialogue_metrics(
     sized = labels.withColumn("chunk", chunk_of(F.col("turn"), chunk_turns)).join(
         stats.select("conv_id", "n", "k", chunks), ["conv_id", "chunk"]
     )
+    flags = {"gold": "gold", **of}
     totals = running(
         sized,
-        {f"upto_{c}": ("sum", f"if(turn < n - 1, {c}, 0)") for c in ["gold", *names]},
+        {f"upto_{c}": ("sum", f"if(turn < n - 1, {x}, 0)") for c, x in flags.items()},
         longest,
         chunk_turns,
-        stored=split,
+        stored=True,
     )
 
-    sides = [f"upto_{c}" for c in ["gold", *names]]
+    sides = [f"upto_{c}" for c in flags]
     # The totals of a turn count for the window it ends, and against the window
     # that starts after it.
     roles = F.expr(
@@ -122,8 +141,8 @@ def dialogue_metrics(
         "conv_id",
         "n",
         "k",
-        *[f"{m}_{p} / windows AS {m}_{p}" for m in ("pk", "wd") for p in names],
-        *[f"coalesce(try_divide(2D * hit_{p}, b + b_{p}), 0D) AS f1_{p}" for p in names],
+        *[f"{m}_{p} / windows AS {m}_{p}" for m in windowed for p in names],
+        *f1,
     )
 
 

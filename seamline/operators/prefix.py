@@ -4,7 +4,7 @@ A plain window partitioned by dialogue puts the whole dialogue in one task.
 Here a dialogue is cut into chunks by its order column; a window runs inside
 each chunk, and what the earlier chunks add up to is carried in by a join on
 ``(conv_id, chunk)``. The carries are themselves summed level by level, so no
-window group holds more than ``2**21`` rows.
+window group below the last holds more than ``2**21`` rows.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from seamline.config import DEFAULT_CHUNK_TURNS
 from seamline.storage import store
 
-#: Bits of the block number folded by each carry level.
-LEVEL_BITS = (21, 21)
+#: Bits of the block number folded by each carry level. With a level of 21 above blocks
+#: of 14 bits the last window holds at most 2**28 rows of a dialogue of any 63-bit order.
+LEVEL_BITS = (21,)
 
 #: Bits of the raw order value that share a block while turns are numbered.
 BLOCK_BITS = 14
 
+NULL_KEY = "conv_id and turn must not be null"
+
 _FOLD = {"sum": F.sum, "max": F.max}
 
 
@@ -45,14 +48,20 @@ def chunk_of(turn: Column, chunk_turns: int) -> Column:
 
 def profile_turns(df: DataFrame) -> TurnProfile:
     """Read ``conv_id`` and ``turn`` only and report whether every dialogue is
-    numbered 0..n-1, and how long the longest one is."""
+    numbered 0..n-1, and how long the longest one is. Null keys are refused."""
     per_dialogue = df.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("turn").alias("lo"), F.max("turn").alias("hi")
+        F.count(F.lit(1)).alias("n"),
+        F.min("turn").alias("lo"),
+        F.max("turn").alias("hi"),
+        F.count_if(F.col("conv_id").isNull() | F.col("turn").isNull()).alias("nulls"),
     )
     row = per_dialogue.agg(
         F.bool_and((F.col("lo") == 0) & (F.col("hi") + 1 == F.col("n"))).alias("dense"),
         F.max("n").alias("longest"),
+        F.sum("nulls").alias("nulls"),
     ).first()
+    if row["nulls"]:
+        raise ValueError(NULL_KEY)
     return TurnProfile(dense=row["dense"] is not False, longest=row["longest"] or 0)
 
 
@@ -72,21 +81,29 @@ def number_turns(
 ) -> DataFrame:
     """Replace ``turn`` by the row's position in its dialogue, gaps closed.
 
-    The counts per block come from the key columns alone. Two rows of a dialogue
-    with the same ``turn`` have no order, so they are an error.
+    The counts per block come from the key columns alone and are written once: they
+    are few, and every level of carries is folded from them. Two rows of a dialogue
+    with the same ``turn`` have no order, so they are an error, and so is a null key.
     """
     block = F.shiftright(F.col("turn"), block_bits)
-    counts = (
+    counts = store(
         df.select("conv_id", block.alias("block"))
         .groupBy("conv_id", "block")
-        .agg(F.count(F.lit(1)).alias("_before"))
+        .agg(F.count(F.lit(1)).alias("_before")),
+        "counts",
     )
     before = carried(counts, {"_before": "sum"}, level_bits).where("_before > 0")
     inside = Window.partitionBy("conv_id", "block").orderBy("turn")
-    position = F.when(
-        F.lag("turn").over(inside) == F.col("turn"),
-        F.raise_error(F.lit("a dialogue has two rows with the same turn")).cast("bigint"),
-    ).otherwise(F.row_number().over(inside) - 1)
+    position = (
+        F.when(
+            F.col("conv_id").isNull() | F.col("turn").isNull(), F.raise_error(F.lit(NULL_KEY)).cast("bigint")
+        )
+        .when(
+            F.lag("turn").over(inside) == F.col("turn"),
+            F.raise_error(F.lit("a dialogue has two rows with the same turn")).cast("bigint"),
+        )
+        .otherwise(F.row_number().over(inside) - 1)
+    )
     ranked = df.withColumn("block", block).withColumn("_inside", position)
     return ranked.join(before, ["conv_id", "block"], "left").select(
         *[

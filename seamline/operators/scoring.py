@@ -33,7 +33,9 @@ from seamline.operators.prefix import chunk_of
 DISTANCES = ("d_prev", "d_ctx", "delta_eff")
 MARKS = ("chunk_topic", "chunk_start")
 NOT_DENSE = "turn must number each dialogue 0..n-1; see dense_turns"
-BAD_VECTOR = "embeddings must be finite, nonzero and of one dimension"
+BAD_VECTOR = "embeddings must be finite, nonzero and of one dimension in a dialogue"
+
+TOO_LONG = "a dialogue is longer than `longest` says"
 
 #: Values of a matrix worked on at a time, so that it stays in the CPU cache.
 BLOCK_VALUES = 1 << 18
@@ -49,7 +51,9 @@ def score_turns(
     mark: bool = False,
 ) -> DataFrame:
     """Score a turn table. ``longest`` is the length of the longest dialogue if
-    it is known (``dense_turns`` reports it); ``keep`` names columns to pass on.
+    it is known (``dense_turns`` reports it); a longer dialogue than it says stops
+    the job. ``keep`` names columns to pass on. Vectors must have one length in a
+    dialogue, not in the table.
 
     With an ``encoder`` the texts are shuffled and encoded afterwards, because
     they are smaller than their vectors.
@@ -76,6 +80,13 @@ def _with_chunks(turns: DataFrame, config: SegmenterConfig, longest: int | None)
     return turns.select("*", F.explode(chunks).alias("chunk"))
 
 
+def own_turns(own: Column, copied: Column) -> Column:
+    """Filter for the turns of a chunk itself. What is neither its own nor there as
+    a copy would vanish, which happens if a chunk is longer than was said."""
+    lost = F.raise_error(F.lit(TOO_LONG)).cast("boolean")
+    return F.when(own, True).when(copied, False).otherwise(lost)
+
+
 # --------------------------------------------------------------------- arrow
 
 
@@ -105,13 +116,11 @@ class _Scorer:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None
         for batch in batches:
-            start = 0
-            while start < batch.num_rows:
-                width = pc.list_value_length(batch.column(3).slice(start, 1))[0].as_py() or 1
-                block = batch.slice(start, max(64, BLOCK_VALUES // width))
-                scored, tail = self._block(block, tail)
-                yield scored
-                start += block.num_rows
+            for start, stop, width in _runs(batch.column(3)):
+                step = max(64, BLOCK_VALUES // max(width, 1))
+                for begin in range(start, stop, step):
+                    scored, tail = self._block(batch.slice(begin, min(step, stop - begin)), tail)
+                    yield scored
 
     def _block(self, block: pa.RecordBatch, tail: dict | None) -> tuple[pa.RecordBatch, dict]:
         cfg, n = self.config, block.num_rows
@@ -144,6 +153,9 @@ class _Scorer:
 
         d_prev, d_ctx, delta = distances(window, units, depth, cfg)
         own = turn // size == chunk
+        # Only the last m turns before a chunk come with it; anything else would be lost.
+        if not (own | ((turn < chunk * size) & (turn >= chunk * size - m))).all():
+            raise ValueError(TOO_LONG)
         kept = block.select([0, 2, *range(4, block.num_columns)])
         columns = [
             *kept.columns,
@@ -170,6 +182,15 @@ class _Scorer:
         return scored, state
 
 
+def _runs(vectors: pa.Array) -> Iterator[tuple[int, int, int]]:
+    """Stretches of vectors of one length: dialogues may differ in it."""
+    widths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(widths)) + 1
+    for start, stop in zip([0, *cuts], [*cuts, len(widths)]):
+        if stop > start:
+            yield int(start), int(stop), int(widths[start])
+
+
 def distances(
     window: np.ndarray, units: np.ndarray, depth: np.ndarray, config: SegmenterConfig
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +294,7 @@ def _score_jvm(
                 1 - dot(vector, F.col("vector_1")) / (F.col("length") * F.col("length_1")),
             ).otherwise(F.raise_error(F.lit(f"{NOT_DENSE}, and {BAD_VECTOR}")).cast("double")),
         )
-        .where(chunk_of(F.col("turn"), size) == F.col("chunk"))
+        .where(own_turns(chunk_of(F.col("turn"), size) == F.col("chunk"), F.col("turn") < F.col("chunk") * size))
         .withColumn("context", context)
         .withColumn("along", dot(F.col("context"), vector) / F.col("length"))
         .withColumn("reach", norm(F.col("context")))

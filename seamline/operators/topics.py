@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 from seamline.config import DEFAULT_CHUNK_TURNS, SegmenterConfig
 from seamline.operators.prefix import chunk_of, running
-from seamline.operators.scoring import MARKS
+from seamline.operators.scoring import MARKS, TOO_LONG, own_turns
 from seamline.storage import store
 
 #: Upper ends of the strength bands of a graded score (fixed values).
 BANDS = {"very_weak": 0.7, "weak": 1.0, "normal": 1.3, "strong": float("inf")}
 
+#: Turns per row of the reports with arrays. Part of their result, unlike the size of a chunk.
+PART_TURNS = 16_384
+
 HISTORY = ("turn", "topic_id", "is_boundary", "delta_eff", "graded_score")
 
 
@@ -76,7 +79,7 @@ def segments(topics: DataFrame) -> DataFrame:
     )
 
 
-def segment_text(topics: DataFrame, part_turns: int = DEFAULT_CHUNK_TURNS) -> DataFrame:
+def segment_text(topics: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """The texts of every segment, in order.
 
     A segment of more than ``part_turns`` turns continues in further rows, told
@@ -98,12 +101,14 @@ def in_turn_order(column: str, only: Column | None = None) -> Column:
 
 
 def dialogue_summary(
-    topics: DataFrame, *, longest: int | None = None, part_turns: int = DEFAULT_CHUNK_TURNS
+    topics: DataFrame, *, longest: int | None = None, part_turns: int = PART_TURNS
 ) -> DataFrame:
     """Boundaries, segments and scores of each dialogue as arrays.
 
     One row covers up to ``part_turns`` turns; a longer dialogue has several,
-    numbered by ``part``. A segment is listed in the part it starts in.
+    numbered by ``part``. A segment is listed in the part it starts in. The rows
+    depend on ``part_turns`` alone; ``longest`` only spares a dialogue that fits
+    one part the join of its segments.
     """
     split = longest is None or longest > part_turns
     if split:
@@ -130,6 +135,8 @@ def dialogue_summary(
         parts = parts.join(ends, ["conv_id", "part"], "left")
         intervals = F.coalesce("intervals", none)
     else:
+        fits = F.when(F.col("n") <= part_turns, F.col("n")).otherwise(F.raise_error(F.lit(TOO_LONG)).cast("bigint"))
+        parts = parts.withColumn("n", fits)
         starts = F.concat(F.array(F.lit(0).cast("bigint")), F.col("boundaries"))
         stops = F.concat(F.col("boundaries"), F.array("n"))
         intervals = F.zip_with(
@@ -176,14 +183,15 @@ def next_scores(
     own = chunk_of(F.col("turn"), chunk_turns)
     if longest is not None and longest <= chunk_turns:
         rows = rows.withColumn("chunk", F.lit(0).cast("bigint"))
-        keys = ["conv_id"]
+        keys, copied = ["conv_id"], F.lit(False)
     else:
         edge = (F.col("turn") % chunk_turns == 0) & (F.col("turn") > 0)
         both = F.when(edge, F.array(own - 1, own)).otherwise(F.array(own))
         rows = rows.withColumn("chunk", F.explode(both))
-        keys = ["conv_id", "chunk"]
+        keys, copied = ["conv_id", "chunk"], F.col("turn") == (F.col("chunk") + 1) * chunk_turns
     following = F.lead("delta_eff").over(Window.partitionBy(*keys).orderBy("turn"))
-    return rows.withColumn("ahead", following).where(own == F.col("chunk")).select("conv_id", "turn", "ahead")
+    kept = rows.withColumn("ahead", following).where(own_turns(own == F.col("chunk"), copied))
+    return kept.select("conv_id", "turn", "ahead")
 
 
 def label_at(delta_star: float) -> Column:

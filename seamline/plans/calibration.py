@@ -30,7 +30,7 @@ class Calibration:
     selected: DataFrame
     selection_metric: str
     config: SegmenterConfig | None = None
-    label_source: str = "user-supplied pseudo labels; provenance required"
+    label_source: str = "labels given by the caller, who answers for where they come from"
 
 
 def check_percentiles(percentiles: Sequence[float]) -> None:
@@ -98,21 +98,19 @@ def calibrate(
     if not grid:
         raise ValueError("no percentile of the calibration scores is positive")
 
-    preds = [f"p{i}" for i in range(len(grid))]
-    ahead = next_scores(scores, longest=longest, chunk_turns=chunk_turns).withColumn("scored", F.lit(True))
+    # A turn ends a segment at every threshold its next score reaches. Thresholds are
+    # nested, so one number says at how many: it goes through the joins, and is
+    # spread to one label per threshold where labels are summed.
+    ladder = sorted(delta for _, delta in grid)
+    rungs = " + ".join(f"int(coalesce(ahead >= {delta!r}D, false))" for delta in ladder)
+    preds = {f"p{i}": f"int(reached > {ladder.index(delta)})" for i, (_, delta) in enumerate(grid)}
+    ahead = next_scores(scores, longest=longest, chunk_turns=chunk_turns)
+    ahead = ahead.selectExpr("conv_id", "turn", f"{rungs} AS reached")
     gold = labels.select("conv_id", "turn", F.col("label").alias("gold"))
-    predicted = gold.join(ahead, ["conv_id", "turn"], "full").selectExpr(
-        "conv_id",
-        "turn",
-        "gold",
-        *[
-            f"CASE WHEN scored THEN int(coalesce(ahead >= {delta!r}D, false)) END AS {p}"
-            for p, (_, delta) in zip(preds, grid)
-        ],
-    )
+    predicted = gold.join(ahead, ["conv_id", "turn"], "full")
     per_dialogue = dialogue_metrics(predicted, preds, longest=longest, chunk_turns=chunk_turns)
     at = ", ".join(f"named_struct('percentile', {p!r}D, 'delta_star', {delta!r}D)" for p, delta in grid)
-    candidates = corpus_metrics(per_dialogue, preds).select(
+    candidates = corpus_metrics(per_dialogue, list(preds)).select(
         "ordinal", F.expr(f"element_at(array({at}), ordinal + 1)").alias("at"), *METRICS, "n"
     )
     # A row per percentile; written so that it is not computed for each reader.

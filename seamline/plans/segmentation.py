@@ -28,13 +28,11 @@ class Segmentation:
     def segments(self) -> DataFrame:
         return reports.segments(self.topics)
 
-    def segment_text(self) -> DataFrame:
-        return reports.segment_text(self.topics, self.config.chunk_turns)
+    def segment_text(self, part_turns: int = reports.PART_TURNS) -> DataFrame:
+        return reports.segment_text(self.topics, part_turns)
 
-    def summary(self) -> DataFrame:
-        return reports.dialogue_summary(
-            self.topics, longest=self.longest, part_turns=self.config.chunk_turns
-        )
+    def summary(self, part_turns: int = reports.PART_TURNS) -> DataFrame:
+        return reports.dialogue_summary(self.topics, longest=self.longest, part_turns=part_turns)
 
     def strength_histogram(self) -> DataFrame:
         return reports.strength_histogram(self.topics)
