@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamline.llm.common import if_small
+
 _EDGES = b".,;:!?\"'()[]{}*_-<>"
 #: Words whose inputs a worker remembers before it starts afresh.
 _REMEMBERED = 200_000
@@ -369,7 +371,9 @@ def fit(
     rows = docs.select(
         F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text")
     ).where(F.size(F.split("text", r"[\x20\x09-\x0D]+")) <= config.longest)
-    known = rows.join(truth.where(keep), "id").withColumn("hash", F.xxhash64("id", "text"))
+    # A few times the sample at most, so texts are not shuffled to meet their labels.
+    drawn_ids = if_small(truth.where(keep), 8 * config.sample + 1000)
+    known = rows.join(drawn_ids, "id").withColumn("hash", F.xxhash64("id", "text"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("hash", "text"))
     drawn = known.select("label", "hash", "text", rank.alias("rank")).where(F.col("rank") <= half)
     sample = sorted((r["hash"], r["label"], r["text"].encode("utf-8", "replace")) for r in drawn.collect())
