@@ -4,6 +4,7 @@ each of them is checked against."""
 from __future__ import annotations
 
 import sys
+import tempfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -14,11 +15,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle  # noqa: E402
 import seamline as sl  # noqa: E402
-from seamline.functions.vectors import norm, scaled  # noqa: E402
+from seamline.functions.vectors import norm, problem_by_batch, scaled  # noqa: E402
 from seamline.operators import topics as reports  # noqa: E402
 from seamline.operators.evaluation import dialogue_metrics, dialogue_stats  # noqa: E402
 from seamline.operators.validation import paired_labels  # noqa: E402
-from seamline.storage import new_path  # noqa: E402
+from seamline.storage import CHECKPOINT_DIR, new_path  # noqa: E402
 
 try:
     import corpus_pipeline  # noqa: E402
@@ -36,7 +37,7 @@ TEXT = sl.SegmenterConfig(delta_star=0.55, dim=256)
 
 def entry(spark: SparkSession) -> DataFrame:
     """Topic segments of the conversations, from their texts."""
-    return _conversation_segments(spark, "/root/testdata/sf0.001")
+    return _prepared(_conversation_segments)(spark, "/root/testdata/sf0.001")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -51,8 +52,24 @@ def oracle_sql() -> dict[str, str]:
 # -------------------------------------------------------------------- inputs
 
 
+def _prepared(query):
+    """The query, with the package on the workers and a folder for stored tables.
+
+    On a cluster the session names the folder; a local session gets one here.
+    """
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        context = spark.sparkContext
+        unset = not (spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir())
+        if unset and context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="seamline-"))
+        sl.ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    sl.ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -115,10 +132,10 @@ def _turns_from_text(spark, folder):
 
 
 def _text_file_turns(spark, folder):
-    """Write the conversations as sixteen text files and read those."""
+    """Write the conversations as text files, a range of them in each, and read those."""
     path = new_path(spark, "text")
     lines = _conversations(spark, folder).select(
-        (F.col("conv_id") % 16).alias("bucket"),
+        F.expr("conv_id div 64").alias("bucket"),
         "conv_id",
         "turn",
         F.regexp_replace("text", r"[\r\n]+", " ").alias("value"),
@@ -130,6 +147,70 @@ def _text_file_turns(spark, folder):
     return turns.select(bucket.alias("bucket"), "turn", "text")
 
 
+def _session_turns(spark, folder):
+    """Turns of sessions held as arrays; those nobody asked anything in are empty."""
+    asked = F.when(F.col("role") == "user", F.struct("turn", "text"))
+    sessions = (
+        _table(spark, folder, "conversations")
+        .groupBy(F.col("conv_id").alias("session_id"))
+        .agg(F.sort_array(F.collect_list(asked)).alias("items"))
+    )
+    return sl.turns_from_arrays(sessions.select("session_id", F.col("items.text").alias("exchanges")))
+
+
+def _matrix_turns(spark, folder):
+    """Write each dialogue's vectors as a matrix file and read those."""
+    path = new_path(spark, "matrices")
+
+    def write(rows):
+        from io import BytesIO
+
+        import numpy as np
+        from pyarrow import fs
+
+        rows = rows.sort_values("turn")
+        content = BytesIO()
+        np.save(content, np.stack(rows["embedding"].to_list()).astype("float32"))
+        name = f"{path}/{rows['conv_id'].iloc[0]}.npy"
+        system, place = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
+        system.create_dir(place.rpartition("/")[0])
+        with system.open_output_stream(place) as out:
+            out.write(content.getvalue())
+        return rows[["conv_id"]].head(1)
+
+    written = _embeddings(spark, folder).groupBy("conv_id").applyInPandas(write, "conv_id bigint")
+    written.write.format("noop").mode("overwrite").save()
+    turns = sl.turns_from_matrices(spark, f"{path}/*.npy")
+    conv = F.regexp_extract("conv_id", r"(\d+)\.npy$", 1).cast("bigint")
+    return turns.select(conv.alias("conv_id"), "turn", F.size("embedding").alias("dim"), _r(F.col("embedding")[0]).alias("first"))
+
+
+def _calibration_json(spark, folder):
+    """Write dialogues as JSON lines of vectors and labels and read those."""
+    path = new_path(spark, "calibration")
+    gold, _ = _gold(spark, folder)
+    turns, _ = sl.dense_turns(_embeddings(spark, folder).select("conv_id", "turn", "embedding"))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "embedding", "label")))
+    dialogues = turns.join(gold, ["conv_id", "turn"]).groupBy("conv_id").agg(ordered.alias("x"))
+    both = F.struct(F.col("x.embedding").alias("embeddings"), F.col("x.label").alias("pseudo_labels"))
+    dialogues.select(F.to_json(both)).write.text(path)
+    vectors, labels = sl.calibration_set(spark, path, lines=True)
+    rows = vectors.join(labels, ["conv_id", "turn"])
+    return rows.select("turn", F.col("label").cast("bigint").alias("label"), _r(F.col("embedding")[0]).alias("first"))
+
+
+def _evaluation_json(spark, folder):
+    """Write label sequences as JSON lines, read those and evaluate them."""
+    path = new_path(spark, "evaluation")
+    pairs, longest = _pairs(spark, folder)
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "gold", "pred")))
+    dialogues = pairs.groupBy("conv_id").agg(ordered.alias("x"))
+    both = F.struct(F.col("x.gold").alias("gold"), F.col("x.pred").alias("pred"))
+    dialogues.select(F.to_json(both)).write.text(path)
+    gold, pred = sl.evaluation_set(spark, path, lines=True)
+    return _rounded(sl.evaluate(gold, pred, longest=longest))
+
+
 def _numbered_turns(spark, folder):
     """Positions of a customer's orders, whose keys have gaps."""
     orders = _table(spark, folder, "orders").select(
@@ -159,16 +240,20 @@ def _invalid_embeddings(spark, folder):
 
 
 def _invalid_text_turns(spark, folder):
-    """Lines of each document, and those of them without a token."""
+    """Lines of each document, and those of them without a token, in one pass."""
     turns = _document_lines(spark, folder)
-    bad = sl.invalid_embeddings(turns, dim=256, encoder=sl.hash_encoder())
-    bad = bad.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_invalid"))
-    lines = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return lines.join(bad, "conv_id", "left").select(
-        "conv_id", "n", F.coalesce("n_invalid", F.lit(0)).alias("n_invalid")
+    marked = turns.withColumn("reason", problem_by_batch(sl.hash_encoder()(F.col("text")), 256))
+    return marked.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("reason").alias("n_invalid")
     )
 
 
+def _mixed_dimensions(spark, folder):
+    """Dialogues of which some vectors have been cut short."""
+    short = F.when(F.col("label") == 1, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return sl.mixed_dimensions(_embeddings(spark, folder).withColumn("embedding", short))
+
+
 def _label_violations(spark, folder):
     """Gold labels against a copy with wrong values and missing turns."""
     turns = _embeddings(spark, folder)
@@ -267,7 +352,7 @@ def _segments_json(spark, folder):
     return spark.read.schema(done.schema).json(path)
 
 
-def _dialogue_summary(spark, folder):
+def _dialogue_summary(spark, folder, part_turns=reports.PART_TURNS):
     """The arrays as text; scores in millionths."""
 
     def joined(items: Column) -> Column:
@@ -277,8 +362,9 @@ def _dialogue_summary(spark, folder):
         return joined(F.transform(items, lambda x: F.round(x * 1e6).cast("bigint")))
 
     spans = F.transform("segments", lambda s: F.concat_ws("-", s["start"], s["end_exclusive"]))
-    return _segmented(spark, folder).summary().select(
+    return _segmented(spark, folder).summary(part_turns).select(
         "conv_id",
+        "part",
         joined(F.col("boundaries")).alias("boundaries"),
         F.array_join(spans, ",").alias("segments"),
         millionths("scores").alias("scores"),
@@ -294,11 +380,12 @@ def _conversation_segments(spark, folder):
     return _conversation_segmentation(spark, folder).segments()
 
 
-def _segment_text(spark, folder):
-    rows = _conversation_segmentation(spark, folder, keep=["text"]).segment_text()
+def _segment_text(spark, folder, part_turns=reports.PART_TURNS):
+    rows = _conversation_segmentation(spark, folder, keep=["text"]).segment_text(part_turns)
     return rows.select(
         "conv_id",
         "topic_id",
+        "part",
         "start",
         "end_exclusive",
         F.array_join("texts", "\n").alias("text"),
@@ -327,7 +414,7 @@ def _metric_window_size(spark, folder):
 
 def _per_dialogue(spark, folder, metric):
     pairs, longest = _pairs(spark, folder)
-    rows = dialogue_metrics(pairs, ["pred"], longest=longest)
+    rows = dialogue_metrics(pairs, ["pred"], metrics=[metric], longest=longest)
     return _rounded(rows.select("conv_id", F.col(f"{metric}_pred").alias(metric)))
 
 
@@ -346,13 +433,15 @@ def _calibration(spark, folder, metric="score"):
     return sl.calibrate(scored, _gold(spark, folder)[0], metric=metric, longest=longest)
 
 
-def _stream_segment(spark, folder):
-    """Feed the vectors to the online operator until the source is exhausted."""
-    sl.ship(spark)
-    schema = spark.read.parquet(f"{folder}/embeddings.parquet").schema
-    feed = spark.readStream.schema(schema).parquet(f"{folder}/embeddings*.parquet")
-    out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
-    decided = sl.segment_stream(_as_dialogues(feed), EMB)
+def _streamed(spark, folder, vectors):
+    """Feed vectors to the online operator file by file, five turns of a dialogue at a time."""
+    source, out, state = (new_path(spark, name) for name in ("feed", "stream", "stream-state"))
+    for first in range(0, 20, 5):
+        some = vectors.where(F.col("turn").between(first, first + 4)).select("conv_id", "turn", "embedding")
+        some.repartition("conv_id").write.mode("append").parquet(source)
+    schema = spark.read.parquet(source).schema
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
+    decided = sl.segment_stream(feed, EMB, unfit="aside")
     query = (
         decided.writeStream.format("parquet")
         .option("checkpointLocation", state)
@@ -362,22 +451,43 @@ def _stream_segment(spark, folder):
     if not query.awaitTermination(1800):
         query.stop()
         raise TimeoutError("the stream did not finish")
-    return _rounded(spark.read.schema(decided.schema).parquet(out).where("NOT late").drop("late", "input_turn"))
+    return _rounded(spark.read.schema(decided.schema).parquet(out))
+
+
+def _stream_segment(spark, folder):
+    """Several micro-batches, so that decisions rest on carried state; late rows would show."""
+    return _streamed(spark, folder, _embeddings(spark, folder)).drop("input_turn", "reason")
+
+
+def _stream_set_aside(spark, folder):
+    """The stream with zero vectors in it: reported, and nothing else changed by them."""
+    spoilt = F.when((F.col("conv_id") * 20 + F.col("turn")) % 13 == 5, scaled(F.col("embedding"), F.lit(0.0)))
+    vectors = _embeddings(spark, folder)
+    vectors = vectors.withColumn("embedding", F.coalesce(spoilt, F.col("embedding").cast("array<double>")))
+    return _streamed(spark, folder, vectors).select("conv_id", "input_turn", "turn", "topic_id", "delta_eff", "reason")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _own_queries() | ({"pipeline": corpus_pipeline.run} | llm_queries.queries() if corpus_pipeline else {})
+    found = _own_queries()
+    if corpus_pipeline:
+        found |= {"pipeline": corpus_pipeline.run} | llm_queries.queries()
+    return {name: _prepared(query) for name, query in found.items()}
 
 
 def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "turns_from_text": _turns_from_text,
         "text_file_turns": _text_file_turns,
+        "session_turns": _session_turns,
+        "matrix_turns": _matrix_turns,
+        "calibration_json": _calibration_json,
+        "evaluation_json": _evaluation_json,
         "numbered_turns": _numbered_turns,
         "hash_encode": _hash_encode,
         "invalid_embeddings": _invalid_embeddings,
         "invalid_text_turns": _invalid_text_turns,
         "label_violations": _label_violations,
+        "mixed_dimensions": _mixed_dimensions,
         "unit_vectors": _unit_vectors,
         "adjacent_distance": _adjacent_distance,
         "context_distance": _context_distance,
@@ -395,8 +505,10 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "segments": _segments,
         "segments_json": _segments_json,
         "dialogue_summary": _dialogue_summary,
+        "dialogue_summary_parts": lambda spark, folder: _dialogue_summary(spark, folder, 6),
         "conversation_segments": _conversation_segments,
         "segment_text": _segment_text,
+        "segment_text_parts": lambda spark, folder: _segment_text(spark, folder, 3),
         "document_segments": _document_segments,
         "corpus_counts": _corpus_counts,
         "end_turn_labels": _end_turn_labels,
@@ -410,4 +522,5 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "calibrate_score": lambda spark, folder: _rounded(_calibration(spark, folder).selected),
         "calibrate_f1": lambda spark, folder: _rounded(_calibration(spark, folder, "f1").selected),
         "stream_segment": _stream_segment,
+        "stream_set_aside": _stream_set_aside,
     }

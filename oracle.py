@@ -156,14 +156,53 @@ def _evaluated(metric: str) -> str:
                SELECT conv_id, round({metric}, 6) AS {metric} FROM dialogues"""
 
 
+def _summary(part_turns: int) -> str:
+    return f"""
+        {_EMB}, spans AS ({_SEGMENTS}),
+        listed AS (
+            SELECT conv_id, start // {part_turns} AS part,
+                   string_agg(start || '-' || end_exclusive, ',' ORDER BY start) AS segments
+            FROM spans GROUP BY ALL),
+        parts AS (
+            SELECT conv_id, turn // {part_turns} AS part,
+                   coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE is_boundary), '') AS boundaries,
+                   string_agg(round(delta_eff * 1e6)::BIGINT::VARCHAR, ',' ORDER BY turn) AS scores,
+                   string_agg(round(graded_score * 1e6)::BIGINT::VARCHAR, ',' ORDER BY turn) AS graded_scores
+            FROM history GROUP BY ALL)
+        SELECT conv_id, part, boundaries, coalesce(segments, '') AS segments, scores, graded_scores
+        FROM parts LEFT JOIN listed USING (conv_id, part)"""
+
+
+def _texts(part_turns: int) -> str:
+    return f"""
+        {_CONV}, starts AS (SELECT *, min(turn) OVER (PARTITION BY conv_id, topic_id) AS first FROM history)
+        SELECT conv_id, topic_id, (turn - first) // {part_turns} AS part, min(turn) AS start,
+               max(turn) + 1 AS end_exclusive, string_agg(text, chr(10) ORDER BY turn) AS text
+        FROM starts GROUP BY ALL"""
+
+
+_FIT = _EMBEDDINGS.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 13 <> 5").replace(
+    "label,", "vec_id % 20 AS input_turn,"
+)
+
+
 def statements() -> dict[str, str]:
     return {
         "turns_from_text": f"WITH {_LINES} SELECT conv_id, turn, text FROM lines",
         "text_file_turns": r"""
-            SELECT conv_id % 16 AS bucket,
-                   row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn) - 1 AS turn,
+            SELECT conv_id // 64 AS bucket,
+                   row_number() OVER (PARTITION BY conv_id // 64 ORDER BY conv_id, turn) - 1 AS turn,
                    regexp_replace(text, '[\r\n]+', ' ', 'g') AS text
             FROM conversations""",
+        "session_turns": """
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text
+            FROM conversations WHERE role = 'user'""",
+        "matrix_turns": f"""
+            WITH {_EMBEDDINGS} SELECT conv_id, turn, len(v)::INT AS dim, round(v[1], 6) AS first FROM raw""",
+        "calibration_json": f"""
+            WITH {_EMBEDDINGS},{_GOLD}
+            SELECT turn, gold.label::BIGINT AS label, round(v[1], 6) AS first FROM raw JOIN gold USING (conv_id, turn)""",
+        "evaluation_json": f"{_EMB},{_GOLD},{_ONE_PRED},{_METRICS} SELECT {_FIGURES} FROM corpus",
         "numbered_turns": """
             SELECT o_custkey AS conv_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS turn,
                    o_orderkey FROM orders""",
@@ -183,6 +222,10 @@ def statements() -> dict[str, str]:
             SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE label = 0) AS bad_labels,
                    count(*) FILTER (WHERE label = 1) AS unpaired
             FROM raw GROUP BY conv_id HAVING count(*) < 2 OR count(*) FILTER (WHERE label IN (0, 1)) > 0""",
+        "mixed_dimensions": f"""
+            WITH {_EMBEDDINGS}
+            SELECT conv_id, min(if(label = 1, 63, len(v)))::INT AS shortest, max(if(label = 1, 63, len(v)))::INT AS longest
+            FROM raw GROUP BY conv_id HAVING shortest <> longest""",
         "unit_vectors": """
             WITH u AS (
                 SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
@@ -203,7 +246,12 @@ def statements() -> dict[str, str]:
         "history": _HISTORY,
         "history_jvm": _HISTORY,
         "history_split": _HISTORY,
-        "stream_segment": _HISTORY,
+        "stream_segment": _HISTORY.replace("SELECT conv_id, turn, topic_id", "SELECT false AS late, conv_id, turn, topic_id"),
+        "stream_set_aside": f"""
+            WITH {_FIT},{_scores(extra=", input_turn")}
+            SELECT conv_id, input_turn, turn, topic_id, round(delta_eff, 6) AS delta_eff, NULL AS reason FROM history
+            UNION ALL
+            SELECT vec_id // 20, vec_id % 20, NULL, NULL, NULL, 'zero' FROM embeddings WHERE vec_id % 13 = 5""",
         "strength_bands": f"{_EMB} SELECT conv_id, turn, {_BAND} AS band FROM flags",
         "strength_histogram": f"""
             {_EMB} SELECT conv_id, {_STRENGTH} FROM (SELECT *, {_BAND} AS band FROM flags) GROUP BY conv_id""",
@@ -212,21 +260,11 @@ def statements() -> dict[str, str]:
             GROUP BY GROUPING SETS ((conv_id), ())""",
         "segments": f"{_EMB} {_SEGMENTS}",
         "segments_json": f"{_EMB} {_SEGMENTS}",
-        "dialogue_summary": f"""
-            {_EMB}, spans AS ({_SEGMENTS}),
-            joined AS (
-                SELECT conv_id, string_agg(start || '-' || end_exclusive, ',' ORDER BY start) AS segments
-                FROM spans GROUP BY conv_id)
-            SELECT conv_id, coalesce(string_agg(turn::VARCHAR, ',' ORDER BY turn) FILTER (WHERE is_boundary), '') AS boundaries,
-                   any_value(segments) AS segments,
-                   string_agg(round(delta_eff * 1e6)::BIGINT::VARCHAR, ',' ORDER BY turn) AS scores,
-                   string_agg(round(graded_score * 1e6)::BIGINT::VARCHAR, ',' ORDER BY turn) AS graded_scores
-            FROM history JOIN joined USING (conv_id) GROUP BY conv_id""",
+        "dialogue_summary": _summary(16384),
+        "dialogue_summary_parts": _summary(6),
         "conversation_segments": f"{_CONV} {_SEGMENTS}",
-        "segment_text": f"""
-            {_CONV} SELECT conv_id, topic_id, min(turn) AS start, max(turn) + 1 AS end_exclusive,
-                           string_agg(text, chr(10) ORDER BY turn) AS text
-            FROM history GROUP BY conv_id, topic_id""",
+        "segment_text": _texts(16384),
+        "segment_text_parts": _texts(3),
         "document_segments": f"""
             WITH {_LINES}, texts AS (SELECT * FROM lines), {_COUNTS},{_scores(delta=TEXT_DELTA)} {_SEGMENTS}""",
         "corpus_counts": "SELECT count(DISTINCT conv_id) AS n_sessions, count(*) AS n_exchanges FROM conversations",

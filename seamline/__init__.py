@@ -24,6 +24,7 @@ from seamline.sources.json_files import as_json, calibration_set, evaluation_set
 from seamline.sources.matrix import turns_from_matrices
 from seamline.sources.sessions import turns_from_arrays, turns_from_sessions
 from seamline.sources.text import turns_from_documents, turns_from_text
+from seamline.storage import drop_stored
 from seamline.streaming.online import segment_stream
 
 __all__ = [
@@ -37,6 +38,7 @@ __all__ = [
     "corpus_counts",
     "dense_turns",
     "dialogue_summary",
+    "drop_stored",
     "end_turn_labels",
     "evaluate",
     "evaluation_set",

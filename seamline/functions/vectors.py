@@ -48,12 +48,13 @@ def problem_by_batch(vector: Column, dim: int | None = None) -> Column:
 
     @F.arrow_udf("string")
     def check(vectors: pa.Array) -> pa.Array:
-        return pa.array(_problems(vectors, dim), pa.string())
+        return pa.array(problems(vectors, dim), pa.string())
 
     return check(vector)
 
 
-def _problems(vectors: pa.Array, dim: int | None) -> np.ndarray:
+def problems(vectors: pa.Array, dim: int | None) -> np.ndarray:
+    """The reasons for the vectors of one Arrow array."""
     sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     squares = np.zeros(len(sizes))

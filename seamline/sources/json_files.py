@@ -1,9 +1,10 @@
 """JSON files of calibration and evaluation sets, and results as JSON.
 
 A calibration file is a list of ``{"embeddings": [[..]], "pseudo_labels": [..]}``
-and an evaluation file one ``{"golds": [[..]], "preds": [[..]]}``. One task reads
-one such file; sets too large for that belong in turn and label tables
-(Parquet), which is the form these readers return.
+and an evaluation file one ``{"golds": [[..]], "preds": [[..]]}``. One task parses
+one such file. With ``lines`` a file has one dialogue per line instead -
+``{"embeddings": .., "pseudo_labels": ..}`` or ``{"gold": [..], "pred": [..]}`` - and
+is split like any text. Files are parsed once; the dialogues are stored.
 """
 
 from __future__ import annotations
@@ -11,33 +12,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CALIBRATION_SCHEMA = "array<struct<embeddings:array<array<double>>,pseudo_labels:array<int>>>"
-EVALUATION_SCHEMA = "struct<golds:array<array<int>>,preds:array<array<int>>>"
+from seamline.sources.text import file_path, turns_from_text
+from seamline.storage import store
 
 
-def calibration_set(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def calibration_set(
+    spark: SparkSession, paths: str | list[str], *, lines: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """The turn table and the label table of calibration files."""
-    files = _documents(spark, paths, CALIBRATION_SCHEMA)
-    dialogues = files.select("path", F.posexplode("content").alias("at", "x")).select(
-        _dialogue_key().alias("conv_id"), "x.*"
-    )
-    _refuse(dialogues, F.size("embeddings") != F.size("pseudo_labels"), "each turn needs one label")
-    return (
-        _turns(dialogues, "embeddings", "embedding"),
-        _turns(dialogues, "pseudo_labels", "label"),
-    )
-
-
-def evaluation_set(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    if lines:
+        dialogues = _json_lines(spark, paths, _DIALOGUE)
+    else:
+        dialogues = _documents(spark, paths, f"array<{_DIALOGUE}>").select(
+            "path", F.posexplode("content").alias("at", "x")
+        )
+    turns = F.size("x.embeddings") == F.size("x.pseudo_labels")
+    dialogues = _stored(dialogues, turns, "each turn needs one label")
+    return _turns(dialogues, "embeddings", "embedding"), _turns(dialogues, "pseudo_labels", "label")
+
+
+def evaluation_set(
+    spark: SparkSession, paths: str | list[str], *, lines: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Gold and predicted label tables of evaluation files."""
-    files = _documents(spark, paths, EVALUATION_SCHEMA).select("path", "content.*")
-    _refuse(files, F.size("golds") != F.size("preds"), "gold and predicted dialogues must match")
-
-    def table(column: str) -> DataFrame:
-        dialogues = files.select("path", F.posexplode(column).alias("at", "labels"))
-        return _turns(dialogues.select(_dialogue_key().alias("conv_id"), "labels"), "labels", "label")
-
-    return table("golds"), table("preds")
+    if lines:
+        dialogues = _json_lines(spark, paths, "struct<gold:array<int>,pred:array<int>>")
+        paired = F.col("x.gold").isNotNull() & F.col("x.pred").isNotNull()
+    else:
+        files = _documents(spark, paths, "struct<golds:array<array<int>>,preds:array<array<int>>>")
+        # The longer list decides how many dialogues there are, the other is then short of one.
+        pairs = F.arrays_zip(F.col("content.golds").alias("gold"), F.col("content.preds").alias("pred"))
+        same = F.size("content.golds") == F.size("content.preds")
+        dialogues = files.select("path", same.alias("same"), F.posexplode_outer(pairs).alias("at", "x"))
+        paired = F.col("same")
+    dialogues = _stored(dialogues, paired, "gold and predicted dialogues must match")
+    return _turns(dialogues, "gold", "label"), _turns(dialogues, "pred", "label")
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -50,23 +59,32 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+_DIALOGUE = "struct<embeddings:array<array<double>>,pseudo_labels:array<int>>"
+
+
 def _documents(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """One row per file, which one task parses."""
     parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
-    return spark.read.text(paths, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), parsed.alias("content")
-    )
+    return spark.read.text(paths, wholetext=True).select(file_path().alias("path"), parsed.alias("content"))
 
 
-def _dialogue_key() -> Column:
-    return F.concat_ws("#", "path", F.col("at").cast("string"))
+def _json_lines(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """One row per line that is not blank."""
+    lines = turns_from_text(spark, paths).where("trim(text) <> ''")
+    parsed = F.from_json("text", schema, {"mode": "FAILFAST"})
+    return lines.select(F.col("conv_id").alias("path"), F.col("turn").alias("at"), parsed.alias("x"))
+
+
+def _stored(dialogues: DataFrame, sound: Column, complaint: str) -> DataFrame:
+    """The dialogues, checked while they are written."""
+    checked = F.when(F.coalesce(sound, F.lit(False)), F.col("x")).otherwise(
+        F.raise_error(F.lit(complaint)).cast(dialogues.schema["x"].dataType)
+    )
+    key = F.concat_ws("#", "path", F.col("at").cast("string")).alias("conv_id")
+    return store(dialogues.select(key, checked.alias("x")).select("conv_id", "x.*"), "dialogues")
 
 
 def _turns(dialogues: DataFrame, column: str, name: str) -> DataFrame:
     return dialogues.select("conv_id", F.posexplode(column).alias("turn", name)).withColumn(
         "turn", F.col("turn").cast("bigint")
     )
-
-
-def _refuse(df: DataFrame, wrong: Column, message: str) -> None:
-    if not df.where(F.coalesce(wrong, F.lit(True))).isEmpty():
-        raise ValueError(message)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a matrix read by one call.
 RANGE_BYTES = 16 << 20
@@ -25,6 +26,9 @@ def turns_from_matrices(
     so a large matrix is read by many tasks. Pickled files are refused.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    for (scheme,) in files.select(F.regexp_extract("path", "^([a-z0-9+.-]+):", 1)).distinct().collect():
+        if _SCHEMES.get(scheme, scheme) not in _READABLE:
+            raise ValueError(f"matrices cannot be read from {scheme}: paths")
     size = files.agg({"length": "sum"}).first()[0] or 0
     ranges = files.select("path").mapInPandas(
         lambda parts: _list_ranges(parts, range_bytes), "path string, start bigint, stop bigint"
@@ -35,12 +39,18 @@ def turns_from_matrices(
     return spread.mapInArrow(_read_ranges, "conv_id string, turn bigint, embedding array<double>")
 
 
+#: Schemes of Hadoop that name a file system Arrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "": "file"}
+_READABLE = {"file", "s3", "gs", "gcs", "hdfs", "viewfs", "abfs", "abfss"}
+
+
 def _open(path: str):
     from pyarrow import fs
 
     if path.startswith("file:"):
         return fs.LocalFileSystem().open_input_file("/" + path[len("file:") :].lstrip("/"))
-    filesystem, inner = fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition(":")
+    filesystem, inner = fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
     return filesystem.open_input_file(inner)
 
 

@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Files up to this size are read whole by one task; larger ones are split.
-WHOLE_FILE_BYTES = 64 << 20
-
-_PATH = "_metadata.file_path"
-
 
 def lines_of(text: Column) -> Column:
     """The lines of a text. Blank lines count, and the end of the last line
@@ -32,31 +27,31 @@ def turns_from_documents(df: DataFrame, key: str, text: str = "text") -> DataFra
     ).withColumn("turn", F.col("turn").cast("bigint"))
 
 
-def turns_from_text(
-    spark: SparkSession, paths: str | list[str], whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
+def turns_from_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``(conv_id, turn, text)`` of UTF-8 text files; ``conv_id`` is the path.
 
-    If a file is larger than ``whole_file_bytes`` all are read split by split.
-    ``turn`` then increases with the line but has gaps between splits;
-    ``dense_turns``, which ``segment`` calls, closes them.
+    ``turn`` numbers the lines of a file from 0 without gaps. Files of any size are
+    read alike: Spark splits them as it does any text, lines are numbered within
+    their split, and the splits before it, counted first, say where it starts. A
+    file's splits are few, and a split is bounded.
     """
-    largest = spark.read.format("binaryFile").load(paths).agg(F.max("length")).first()[0] or 0
-    if largest <= whole_file_bytes:
-        files = spark.read.text(paths, wholetext=True).select(F.col(_PATH).alias("path"), "value")
-        return turns_from_documents(files, "path", "value")
-    return _turns_from_splits(spark, paths)
-
-
-def _turns_from_splits(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    # A split has fewer lines than bytes, so its offset plus the number of the
-    # line in the split increases over the file.
     lines = spark.read.text(paths).select(
-        F.col(_PATH).alias("conv_id"),
-        F.col("_metadata.file_block_start").alias("offset"),
+        file_path().alias("conv_id"),
+        F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("read"),
         F.col("value").alias("text"),
     )
-    in_split = Window.partitionBy("conv_id", "offset").orderBy("read")
-    turn = F.col("offset") + F.row_number().over(in_split) - 1
-    return lines.select("conv_id", turn.cast("bigint").alias("turn"), "text")
+    counts = lines.groupBy("conv_id", "split").agg(F.count(F.lit(1)).alias("lines"))
+    earlier = Window.partitionBy("conv_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("conv_id", "split", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("start"))
+    in_split = Window.partitionBy("conv_id", "split").orderBy("read")
+    numbered = lines.withColumn("at", F.row_number().over(in_split) - 1)
+    return numbered.join(starts, ["conv_id", "split"]).select(
+        "conv_id", (F.col("start") + F.col("at")).cast("bigint").alias("turn"), "text"
+    )
+
+
+def file_path() -> Column:
+    """The plain path of the file a row comes from, without the escapes of a URL."""
+    # A plus sign is one in a path, unlike in a form.
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

@@ -8,33 +8,28 @@ and later passes read only the columns they need.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+#: Paths written by each application and not dropped yet.
+_WRITTEN: dict[str, list[str]] = {}
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
 
-    What a job leaves there may be deleted once its results are read. Only a
-    local session may do without the setting; it then gets a folder of its own,
-    because every task runs on the same machine.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all executors share."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_DIR} must name a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="seamline-"))
-        folder = context.getCheckpointDir()
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -43,3 +38,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete what this application has stored so far; how many tables that was.
+
+    For long sessions, once the results made of these tables are written or read:
+    a frame that still reads one fails afterwards.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    settings = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(settings).delete(place, True)
+    return len(paths)

@@ -62,16 +62,32 @@ def test_lines_of_split_files(spark, folder):
     (folder / "long.txt").write_text("\n".join(long) + "\n")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
-        turns = turns_from_text(spark, str(folder / "*.txt"), whole_file_bytes=10)
-        assert turns.select(F.spark_partition_id()).distinct().count() > 1
-        dense, longest = dense_turns(turns)
-        got = by_file(dense)
+        turns = turns_from_text(spark, str(folder / "*.txt"))
+        assert spark.read.text(str(folder / "*.txt")).select(F.spark_partition_id()).distinct().count() > 1
+        same, longest = dense_turns(turns)
+        assert same is turns
+        got = by_file(turns)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert longest == 3000
     assert got == {name: text.splitlines() for name, text in {**TEXTS, "long": "\n".join(long)}.items() if text}
 
 
+@pytest.mark.parametrize("size", (1, 7, 100))
+def test_blank_lines_of_splits_are_numbered_once(spark, tmp_path, size):
+    (tmp_path / "a b+c%.txt").write_text("\n" * 500 + "end")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = turns_from_text(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(r.turn for r in rows) == list(range(501))
+    assert {r.conv_id.rpartition("/")[2] for r in rows} == {"a b+c%.txt"}
+    assert [r.turn for r in rows if r.text] == [500]
+
+
 def test_documents_as_dialogues(spark):
     table = spark.createDataFrame(list(TEXTS.items()), "name string, text string")
     got = models.gather(turns_from_documents(table, "name"), "text")
@@ -112,8 +128,12 @@ def test_calibration_file(spark, tmp_path):
     best = calibrate(score_turns(turns, SegmenterConfig(ctx_window=1)), labels, [50, 75]).selected.first()
     assert (best.percentile, best.score, best.n) == (75, 1.0, 2)
     path.write_text(json.dumps([{**dialogue, "pseudo_labels": [0, 1]}]))
-    with pytest.raises(ValueError):
+    with pytest.raises(PySparkException, match="one label"):
         calibration_set(spark, str(path))
+    path.write_text("\n".join(["", json.dumps(dialogue), " ", json.dumps(dialogue), ""]))
+    turns, labels = calibration_set(spark, str(path), lines=True)
+    assert turns.count() == labels.count() == 8
+    assert turns.select("conv_id").distinct().count() == 2
 
 
 def test_evaluation_file(spark, tmp_path):
@@ -123,8 +143,32 @@ def test_evaluation_file(spark, tmp_path):
     row = evaluate(*evaluation_set(spark, str(path))).first()
     assert {k: row[k] for k in ("pk", "wd", "f1", "score")} == pytest.approx(models.corpus(golds, preds))
     path.write_text(json.dumps({"golds": golds, "preds": preds[:1]}))
-    with pytest.raises(ValueError):
+    with pytest.raises(PySparkException, match="must match"):
         evaluation_set(spark, str(path))
+    path.write_text("\n".join(json.dumps({"gold": g, "pred": p}) for g, p in zip(golds, preds)))
+    row = evaluate(*evaluation_set(spark, str(path), lines=True)).first()
+    assert {k: row[k] for k in ("pk", "wd", "f1", "score")} == pytest.approx(models.corpus(golds, preds))
+    path.write_text(json.dumps({"gold": [0, 1]}))
+    with pytest.raises(PySparkException, match="must match"):
+        evaluation_set(spark, str(path), lines=True)
+
+
+def test_matrices_of_unknown_stores_are_refused(spark):
+    from seamline.sources import matrix
+
+    assert matrix._SCHEMES["s3a"] in matrix._READABLE and "ftp" not in matrix._READABLE
+
+
+def test_stored_tables_can_be_dropped(spark, tmp_path):
+    from seamline import drop_stored
+    from seamline.storage import store
+
+    kept = store(spark.range(3), "kept")
+    assert kept.count() == 3
+    assert drop_stored(spark) > 0 and drop_stored(spark) == 0
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):
+        kept.count()
 
 
 def test_sessions_and_json_results(spark, tmp_path):
