@@ -1,5 +1,7 @@
 """Small sequential models the Spark results are compared with."""
 
+from fractions import Fraction
+
 import numpy as np
 
 
@@ -22,32 +24,46 @@ def score(vectors, m=2, rho=0.7, a=0.5, legacy=False):
 
 
 def topics(scores, delta):
-    out, topic = [], 0
-    for t, s in enumerate(scores):
-        topic += int(t > 0 and s >= delta)
-        out.append(topic)
-    return out
+    """Each turn's topic: how many boundaries lie at or before it."""
+    boundaries = {t for t, s in enumerate(scores) if t and s >= delta}
+    return [sum(b <= t for b in boundaries) for t in range(len(scores))]
 
 
 def end_labels(scores, delta):
-    return [int(s >= delta) for s in scores[1:]] + [0]
+    """1 on the turns that close a segment: those a boundary comes right after."""
+    closing = {t - 1 for t in range(1, len(scores)) if scores[t] >= delta}
+    return [int(t in closing) for t in range(len(scores))]
+
+
+#: Weights of the composite, and whether a measure counts as it is or by what it lacks to 1.
+COMPOSITE = {"f1": (Fraction(1, 2), False), "pk": (Fraction(1, 4), True), "wd": (Fraction(1, 4), True)}
+
+
+def cuts(labels):
+    """Turns that end a segment, but for the last one, which every dialogue ends with."""
+    return {t for t, label in enumerate(labels[:-1]) if label}
 
 
 def metrics(gold, pred):
-    g, p = [*gold[:-1], 0], [*pred[:-1], 0]
-    n = len(g)
-    k = max(2, round(n / (sum(g) + 1) / 2))
-    starts = range(n - k + 1)
-    pk = np.mean([(sum(g[i : i + k]) > 0) != (sum(p[i : i + k]) > 0) for i in starts])
-    wd = np.mean([sum(g[i : i + k]) != sum(p[i : i + k]) for i in starts])
-    both = sum(g) + sum(p)
-    f1 = 2 * sum(x * y for x, y in zip(g, p)) / both if both else 0.0
-    return pk, wd, f1
+    """Pk, WindowDiff and F1 from the sets of cuts, in exact fractions."""
+    g, p, n = cuts(gold), cuts(pred), len(gold)
+    half_mean = Fraction(n, 2 * (len(g) + 1))
+    low = half_mean.numerator // half_mean.denominator
+    beyond = half_mean - low
+    up = beyond > Fraction(1, 2) or (beyond == Fraction(1, 2) and low % 2)
+    k = max(2, low + int(up))
+    windows = [set(range(i, i + k)) for i in range(n - k + 1)]
+    pk = Fraction(sum(bool(g & w) != bool(p & w) for w in windows), len(windows))
+    wd = Fraction(sum(len(g & w) != len(p & w) for w in windows), len(windows))
+    f1 = Fraction(2 * len(g & p), len(g) + len(p)) if g or p else Fraction(0)
+    return float(pk), float(wd), float(f1)
 
 
 def corpus(golds, preds):
-    pk, wd, f1 = np.mean([metrics(g, p) for g, p in zip(golds, preds)], axis=0)
-    return {"pk": pk, "wd": wd, "f1": f1, "score": 0.5 * f1 + 0.25 * (1 - pk) + 0.25 * (1 - wd)}
+    rows = [dict(zip(("pk", "wd", "f1"), metrics(g, p))) for g, p in zip(golds, preds)]
+    means = {name: sum(row[name] for row in rows) / len(rows) for name in COMPOSITE}
+    total = sum(weight * (1 - means[m] if lacking else means[m]) for m, (weight, lacking) in COMPOSITE.items())
+    return means | {"score": float(total)}
 
 
 def turn_table(spark, dialogues):

@@ -9,6 +9,7 @@ from seamline import (
     assign_topics,
     corpus_counts,
     end_turn_labels,
+    number_turns,
     score_turns,
     segment,
     segment_text,
@@ -17,7 +18,8 @@ from seamline import (
 )
 from seamline.operators.validation import mixed_dimensions
 
-TURN = [[1, 0], [1, 0], [0, 1], [0, 1]]
+#: Two steps along one axis, three along a second, one back at 120 degrees.
+TURN = [[3, 0, 0], [5, 0, 0], [0, 0, 2], [0, 0, 1], [0, 0, 4], [-1, 0, -(3**0.5)]]
 ENGINES = ("arrow", "jvm")
 
 
@@ -34,21 +36,26 @@ def turns(spark, dialogues):
 
 @pytest.mark.parametrize("engine", ENGINES)
 def test_hand_example(spark, engine):
-    config = SegmenterConfig(ctx_window=1, delta_star=0.5, engine=engine)
+    """With one turn of context the score is one minus the cosine of neighbours:
+    0 along an axis, 1 at a right angle, and 1 + sqrt(3)/2 at 150 degrees."""
+    config = SegmenterConfig(ctx_window=1, delta_star=0.8, engine=engine)
     done = segment(models.turn_table(spark, [TURN]), config)
     row = done.summary().first()
-    assert row["boundaries"] == [2]
-    assert [tuple(s) for s in row["segments"]] == [(0, 2), (2, 4)]
-    assert row["graded_scores"] == [0, 0, 2, 0]
-    assert row["scores"] == [0, 0, 1, 0]
+    assert row["boundaries"] == [2, 5]
+    assert [tuple(s) for s in row["segments"]] == [(0, 2), (2, 5), (5, 6)]
+    turn = 1 + 3**0.5 / 2
+    assert row["scores"] == pytest.approx([0, 0, 1, 0, 0, turn], abs=1e-12)
+    assert row["graded_scores"] == pytest.approx([0, 0, 1.25, 0, 0, turn / 0.8], abs=1e-12)
     histogram = done.strength_histogram().first()
-    assert (histogram.very_weak, histogram.weak, histogram.normal, histogram.strong) == (3, 0, 0, 1)
-    assert [r.label for r in done.end_turn_labels().orderBy("turn").collect()] == [0, 1, 0, 0]
+    assert (histogram.very_weak, histogram.weak, histogram.normal, histogram.strong) == (4, 0, 1, 1)
+    assert [r.label for r in done.end_turn_labels().orderBy("turn").collect()] == [0, 1, 0, 0, 1, 0]
 
 
 def test_defaults_by_hand(spark):
-    scores = models.gather(score_turns(models.turn_table(spark, [TURN])), "delta_eff")[0]
-    assert scores == pytest.approx([0, 0, 1, 0.5 * (1 - 1 / np.sqrt(1.49))], abs=1e-15)
+    """Weights 1 and 0.7 on the last two turns: at the third the context lies along the
+    first axis, at the fourth at the angle whose cosine is 1 / sqrt(1 + 0.7^2)."""
+    scores = models.gather(score_turns(models.turn_table(spark, [TURN[:4]])), "delta_eff")[0]
+    assert scores == pytest.approx([0, 0, 1, 0.5 * (1 - 1 / np.sqrt(1 + 0.7**2))], abs=1e-12)
 
 
 @pytest.mark.parametrize("engine", ENGINES)
@@ -71,15 +78,74 @@ def test_scores_match_the_sequential_model(turns, dialogues, engine, warmup, m,
         assert got[c] == pytest.approx(want, abs=1e-12)
 
 
-def test_scores_of_a_prefix_do_not_change(spark):
-    vectors = np.random.default_rng(31).normal(size=(12, 8))
-    config = SegmenterConfig(ctx_window=4)
-    prefixes = [vectors[:n] for n in range(1, 13)]
-    got = models.gather(score_turns(models.turn_table(spark, prefixes), config), "delta_eff")
-    for n in range(1, 13):
-        assert got[n - 1] == got[11][:n]
-    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    assert got[11][2] == pytest.approx(1 - units[1] @ units[2], abs=1e-12)
+@pytest.mark.parametrize("engine", ENGINES)
+@pytest.mark.parametrize("warmup", ("paper", "legacy"))
+def test_later_turns_never_change_a_score(spark, engine, warmup):
+    """Every prefix of several dialogues, cut anywhere, scores as the whole does."""
+    rng = np.random.default_rng(2024)
+    whole = [rng.uniform(-1, 1, (n, 5)) for n in (1, 4, 7, 9)]
+    cut = [(d, n) for d, vectors in enumerate(whole) for n in range(1, len(vectors) + 1)]
+    config = SegmenterConfig(ctx_window=3, warmup=warmup, chunk_turns=4, engine=engine)
+    got = models.gather(score_turns(models.turn_table(spark, [whole[d][:n] for d, n in cut]), config), "delta_eff")
+    full = {d: got[i] for i, (d, n) in enumerate(cut) if n == len(whole[d])}
+    assert all(got[i] == pytest.approx(full[d][:n], abs=1e-13) for i, (d, n) in enumerate(cut))
+
+
+@pytest.mark.parametrize("engine", ENGINES)
+@pytest.mark.parametrize("longest", (3, 4, 9))
+def test_an_understated_length_is_no_silent_loss(spark, engine, longest):
+    table = models.turn_table(spark, [np.eye(10)])
+    config = SegmenterConfig(chunk_turns=4, engine=engine)
+    if longest > 4:  # split anyway: nothing depends on how long it is
+        assert score_turns(table, config, longest=longest).count() == 10
+        return
+    with pytest.raises(PySparkException, match="longer than"):
+        score_turns(table, config, longest=longest).collect()
+    scored = score_turns(table, config)
+    with pytest.raises(PySparkException, match="longer than"):
+        end_turn_labels(scored, 0.5, longest=longest, chunk_turns=4).collect()
+
+
+@pytest.mark.parametrize("partitions", ("1", "7"))
+@pytest.mark.parametrize("engine,chunk", (("arrow", 16384), ("arrow", 4), ("jvm", 16384), ("jvm", 3)))
+def test_results_do_not_depend_on_execution(spark, engine, chunk, partitions):
+    """Dialogues of several vector lengths; engines, chunks and partitions all agree."""
+    rng = np.random.default_rng(5)
+    whole = [rng.normal(size=(n, d)) for n, d in ((9, 2), (1, 3), (6, 3), (8, 5), (5, 2))]
+    config = SegmenterConfig(delta_star=0.9, chunk_turns=chunk, engine=engine)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        done = segment(models.turn_table(spark, whole), config)
+        scores = models.gather(done.topics, "delta_eff")
+        parts = sorted((r.conv_id, r.part, tuple(r.boundaries), len(r.scores)) for r in done.summary(5).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(scores[c] == pytest.approx(models.score(v), abs=1e-12) for c, v in enumerate(whole))
+    labels = {c: models.topics(models.score(v), 0.9) for c, v in enumerate(whole)}
+    assert parts == sorted(
+        (c, p, tuple(t for t in range(p * 5, min(p * 5 + 5, len(x))) if t and x[t] != x[t - 1]), len(x[p * 5 : p * 5 + 5]))
+        for c, x in labels.items()
+        for p in range(-(-len(x) // 5))
+    )
+
+
+@pytest.mark.parametrize("engine", ENGINES)
+@pytest.mark.parametrize("at", (1, 4, 5))
+def test_a_dialogue_has_one_vector_length(spark, engine, at):
+    vectors = [[1.0, 0.0]] * at + [[1.0, 0.0, 0.0]] * (8 - at)
+    for chunk in (16384, 4):
+        with pytest.raises(PySparkException):
+            score_turns(models.turn_table(spark, [vectors]), SegmenterConfig(chunk_turns=chunk, engine=engine)).collect()
+
+
+@pytest.mark.parametrize("key", ((None, 3), (1, None)))
+def test_null_keys_are_refused(spark, key):
+    table = spark.createDataFrame([(1, 0, [1.0]), (*key, [1.0])], "conv_id bigint, turn bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="must not be null"):
+        segment(table)
+    with pytest.raises(PySparkException, match="must not be null"):
+        number_turns(table).collect()
 
 
 def test_batches_smaller_than_a_dialogue(spark, turns, dialogues):
@@ -141,17 +207,17 @@ def test_topics_and_reports(spark, turns, dialogues, engine, chunk):
     assert bands[None].strong == sum(bands[c].strong for c in range(len(dialogues)))
 
 
-@pytest.mark.parametrize("chunk", (16384, 3))
-def test_segment_text_keeps_every_exchange(spark, chunk):
+@pytest.mark.parametrize("chunk,part", ((16384, 3), (3, 16384), (3, 4)))
+def test_segment_text_keeps_every_exchange(spark, chunk, part):
     vectors = [[1, 0]] * 7 + [[0, 1]] * 2
     table = models.turn_table(spark, [vectors, [[1, 1]]]).withColumn(
         "text", F.concat_ws("-", "conv_id", "turn")
     )
     config = SegmenterConfig(ctx_window=1, delta_star=0.5, chunk_turns=chunk)
-    rows = segment(table, config, keep=["text"]).segment_text().orderBy("conv_id", "start").collect()
+    rows = segment(table, config, keep=["text"]).segment_text(part).orderBy("conv_id", "start").collect()
     joined = {}
     for r in rows:
-        assert len(r.texts) == r.end_exclusive - r.start <= chunk
+        assert len(r.texts) == r.end_exclusive - r.start <= part
         joined.setdefault((r.conv_id, r.topic_id), []).extend(r.texts)
     assert joined == {
         (0, 0): [f"0-{t}" for t in range(7)],
@@ -160,13 +226,13 @@ def test_segment_text_keeps_every_exchange(spark, chunk):
     }
 
 
-def test_one_topic_per_session_state(spark):
-    # The second session starts where the first ended and still begins at topic 0.
-    table = models.turn_table(spark, [TURN, [[1, 0], [0, 1]]])
+def test_every_dialogue_starts_at_topic_zero(spark):
+    # The second dialogue starts where the first ended.
+    table = models.turn_table(spark, [TURN[:5], [[0, 0, 7], [2, 0, 0], [1, 0, 0]]])
     done = segment(table, SegmenterConfig(ctx_window=1, delta_star=0.5))
-    assert models.gather(done.topics, "topic_id") == {0: [0, 0, 1, 1], 1: [0, 1]}
+    assert models.gather(done.topics, "topic_id") == {0: [0, 0, 1, 1, 1], 1: [0, 1, 1]}
     counts = corpus_counts(table).first()
-    assert (counts.n_sessions, counts.n_exchanges) == (2, 6)
+    assert (counts.n_sessions, counts.n_exchanges) == (2, 8)
 
 
 def test_threshold_is_inclusive(spark):
