@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seamline.llm.common import if_small
+
 #: The answer for texts without a letter.
 UNDETERMINED = "und"
 #: Code points of one text that are hashed at a time.
@@ -114,7 +116,8 @@ def fit(
     share = max(8, config.sample // total)
     # Twice the share and a few more by hash, then exactly the share by rank.
     chance = (F.lit(2.0 * share) + 64) / F.col("rows")
-    drawn = rows.join(counts, F.col("lang") == F.col("of")).where(
+    # One row per language: handed out, so that only what is drawn is shuffled.
+    drawn = rows.join(if_small(counts, 10_000), F.col("lang") == F.col("of")).where(
         F.pmod("hash", F.lit(1 << 30)) < chance * float(1 << 30)
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
