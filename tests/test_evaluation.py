@@ -19,6 +19,12 @@ from seamline.operators.validation import paired_labels
 from seamline.plans.quantiles import exact_percentiles
 
 
+#: Two steps east, two north, one east: neighbours score 0, 1, 0, 1, whose 20th
+#: percentile is 0 and whose 60th is 0.8.
+STEPS = [[2, 0], [1, 0], [0, 3], [0, 1], [5, 0]]
+TURNS_END = [0, 1, 0, 1, 0]
+
+
 def labels(rng, sizes, share):
     return [[int(x) for x in rng.random(n) < share] for n in sizes]
 
@@ -43,12 +49,24 @@ def test_metrics_match_the_loops(spark, chunk):
 
 
 def test_hand_examples(spark):
-    table = models.label_table(spark, [[0, 1, 0, 0]])
+    table = models.label_table(spark, [[0, 0, 1, 0, 1]])
     assert tuple(evaluate(table, table).first()) == (0.0, 0.0, 1.0, 1.0, 1)
-    table = models.label_table(spark, [[0, 0, 0]])
+    table = models.label_table(spark, [[0, 0, 0, 0, 0, 1]])
     assert tuple(evaluate(table, table).first()) == (0.0, 0.0, 0.0, 0.5, 1)
 
 
+def test_f1_alone_is_the_same_without_windows(spark):
+    rng = np.random.default_rng(8)
+    golds, preds = labels(rng, [2, 9, 30], 0.3), labels(rng, [2, 9, 30], 0.3)
+    pairs = paired_labels(models.label_table(spark, golds), models.label_table(spark, preds))
+    alone = dialogue_metrics(pairs, ["pred"], metrics=["f1"])
+    assert alone.columns == ["conv_id", "n", "k", "f1_pred"]
+    for r in alone.collect():
+        assert r.f1_pred == pytest.approx(models.metrics(golds[r.conv_id], preds[r.conv_id])[2], abs=1e-12)
+    with pytest.raises(ValueError):
+        dialogue_metrics(pairs, ["pred"], metrics=["score"])
+
+
 def test_window_size_rounds_halves_to_even(spark):
     # 5 turns, no boundary: 2.5 -> 2; 7 turns: 3.5 -> 4.
     table = models.label_table(spark, [[0] * 5, [0] * 7])
@@ -112,12 +130,12 @@ def test_percentiles_are_those_of_numpy(spark, digits, few_values):
 
 
 def test_calibration_by_hand(spark):
-    table = models.turn_table(spark, [[[1, 0], [1, 0], [0, 1], [0, 1]]])
+    table = models.turn_table(spark, [STEPS])
     scored = score_turns(table, SegmenterConfig(ctx_window=1))
-    gold = models.label_table(spark, [[0, 1, 0, 0]])
-    result = calibrate(scored, gold, percentiles=[50, 75])
+    gold = models.label_table(spark, [TURNS_END])
+    result = calibrate(scored, gold, percentiles=[20, 60])
     best = result.selected.first()
-    assert (best.percentile, best.delta_star, best.score) == (75, 0.5, 1.0)
+    assert (best.percentile, best.delta_star, best.score) == (60, pytest.approx(0.8), 1.0)
     assert result.candidates.count() == 1
 
 
@@ -147,18 +165,18 @@ def test_calibration_grid_matches_the_loops(spark, metric, longest, chunk):
 
 
 def test_turns_and_labels_are_matched_by_position(spark):
-    table = models.turn_table(spark, [[[1, 0], [1, 0], [0, 1], [0, 1]]]).withColumn("turn", F.col("turn") * 3 + 1)
-    gold = models.label_table(spark, [[0, 1, 0, 0]])
+    table = models.turn_table(spark, [STEPS]).withColumn("turn", F.col("turn") * 3 + 1)
+    gold = models.label_table(spark, [TURNS_END])
     config = SegmenterConfig(ctx_window=1)
-    result = calibrate_turns(table, gold, config, percentiles=[50, 75])
+    result = calibrate_turns(table, gold, config, percentiles=[20, 60])
     assert result.selected.first().score == 1.0 and result.config == config
 
 
 def test_first_percentile_wins_a_tie(spark):
-    table = models.turn_table(spark, [[[1, 0], [1, 0], [0, 1], [0, 1]]])
+    table = models.turn_table(spark, [STEPS])
     scored = score_turns(table, SegmenterConfig(ctx_window=1))
-    gold = models.label_table(spark, [[0, 1, 0, 0]])
-    assert calibrate(scored, gold, percentiles=[90, 75, 80]).selected.first().percentile == 90
+    gold = models.label_table(spark, [TURNS_END])
+    assert calibrate(scored, gold, percentiles=[70, 60, 65]).selected.first().percentile == 70
 
 
 def test_calibration_refuses(spark):

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import oracle
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ("conversations", "documents", "embeddings", "orders")
@@ -23,10 +24,11 @@ def close(one, two):
     return one == two
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", oracle.statements())
 def test_query_equals_its_sql(spark, database, name):
     got = entry.queries()[name](spark, FOLDER)
-    want = database.execute(entry.oracle_sql()[name])
+    assert entry.oracle_sql()[name] == oracle.statements()[name]
+    want = database.execute(oracle.statements()[name])
     names = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(names)
     ours = sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr)
@@ -37,3 +39,7 @@ def test_query_equals_its_sql(spark, database, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_every_own_query_has_its_sql():
+    assert set(entry._own_queries()) == set(oracle.statements())

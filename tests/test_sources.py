@@ -121,24 +121,24 @@ def test_unusable_matrices(spark, tmp_path, array):
 
 def test_calibration_file(spark, tmp_path):
     path = tmp_path / "calibration.json"
-    dialogue = {"embeddings": [[1, 0], [1, 0], [0, 1], [0, 1]], "pseudo_labels": [0, 1, 0, 0]}
+    dialogue = {"embeddings": [[2, 0], [1, 0], [0, 3], [0, 1], [5, 0]], "pseudo_labels": [0, 1, 0, 1, 0]}
     path.write_text(json.dumps([dialogue, dialogue], indent=1))
     turns, labels = calibration_set(spark, str(path))
-    assert turns.count() == labels.count() == 8
-    best = calibrate(score_turns(turns, SegmenterConfig(ctx_window=1)), labels, [50, 75]).selected.first()
-    assert (best.percentile, best.score, best.n) == (75, 1.0, 2)
+    assert turns.count() == labels.count() == 10
+    best = calibrate(score_turns(turns, SegmenterConfig(ctx_window=1)), labels, [20, 60]).selected.first()
+    assert (best.percentile, best.score, best.n) == (60, 1.0, 2)
     path.write_text(json.dumps([{**dialogue, "pseudo_labels": [0, 1]}]))
     with pytest.raises(PySparkException, match="one label"):
         calibration_set(spark, str(path))
     path.write_text("\n".join(["", json.dumps(dialogue), " ", json.dumps(dialogue), ""]))
     turns, labels = calibration_set(spark, str(path), lines=True)
-    assert turns.count() == labels.count() == 8
+    assert turns.count() == labels.count() == 10
     assert turns.select("conv_id").distinct().count() == 2
 
 
 def test_evaluation_file(spark, tmp_path):
     path = tmp_path / "evaluation.json"
-    golds, preds = [[0, 1, 0, 0], [0, 0, 1, 0, 0]], [[0, 1, 0, 0], [0, 1, 0, 0, 0]]
+    golds, preds = [[0, 0, 1, 0, 1, 0], [1, 0, 0, 0]], [[0, 1, 0, 0, 1, 0], [1, 0, 1, 0]]
     path.write_text(json.dumps({"golds": golds, "preds": preds}))
     row = evaluate(*evaluation_set(spark, str(path))).first()
     assert {k: row[k] for k in ("pk", "wd", "f1", "score")} == pytest.approx(models.corpus(golds, preds))
