@@ -41,7 +41,10 @@ _DIGITAL = re.compile(
     r"|(?P<phone>(?<![\w.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-]))"
     r"|(?P<intl>(?<!\w)\+\d{8,15}(?!\w))"
 )
-_ANCHOR = re.compile(r"[0-9@=:]+")
+#: Every match but a name has one of these in it.
+_ANCHOR = re.compile(r"[\d@=:]|AKIA")
+#: The rest of a word, and the next word.
+_ONWARD = re.compile(r"(\S*)(?:\s+\S+)?")
 _TITLES = {
     "m": ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Господин"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Госпожа"),
@@ -89,27 +92,43 @@ def entities(text: str) -> list[Entity]:
 
 
 def _windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches about digits and signs without which no pattern but a name fits,
-    widened to the white space before the last 100 characters and after the next 100."""
-    end = start = -1
-    for anchor in _ANCHOR.finditer(text):
-        if anchor.start() < end:
-            continue
-        if end < 0 or anchor.start() > end + 200:
-            if end >= 0:
-                yield start, end
-            start = max(text.rfind(c, 0, max(0, anchor.start() - 100)) for c in " \n") + 1
-        stop = min((p for c in " \n" if (p := text.find(c, anchor.end() + 100)) >= 0), default=len(text))
-        end = stop
-    if end >= 0:
+    """Stretches of whole words that hold every match but names, and all of each match.
+
+    A match is of words with an anchor each, or of a keyword, a sign and a value, where
+    the sign is an anchor. So a word with an anchor brings the words next to it, and
+    stretches that meet are one. Between stretches is white space, as at the end of a text.
+    """
+    start = end = 0
+    found = _ANCHOR.search(text)
+    while found:
+        left = found.start()
+        if left >= end:
+            left = _word_start(text, _word_start(text, left, end), end)
+            if left > end:
+                if end:
+                    yield start, end
+                start = left
+        onward = _ONWARD.match(text, found.end())
+        end = onward.end()
+        found = _ANCHOR.search(text, onward.end(1))
+    if end:
         yield start, end
 
 
+def _word_start(text: str, at: int, least: int) -> int:
+    """Start of the word before ``at``, past the white space next to it."""
+    while at > least and text[at - 1].isspace():
+        at -= 1
+    while at > least and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def _digital(text: str, start: int, end: int) -> Iterator[Entity]:
     for match in _DIGITAL.finditer(text, start, end):
         kind, value = match.lastgroup, match.group()
         first, last = match.span()
-        digits = re.sub(r"\D", "", value)
+        digits = "".join(str(int(c)) for c in re.findall(r"\d", value))
         if kind == "value":
             kind, value, first = "secret", match["value"].rstrip(".)]}"), match.start("value")
             last, key = first + len(value), value
@@ -127,7 +146,7 @@ def _digital(text: str, start: int, end: int) -> Iterator[Entity]:
             key = value
         elif kind in ("phone", "intl"):
             country = re.match(r"\+(\d{1,3})(?=[ .(-])", value)
-            kind, lead = "phone", country[1] if country else ""
+            kind, lead = "phone", digits[: len(country[1])] if country else ""
             key = f"{lead}:{digits[len(lead):]}"
             if not 7 <= len(digits) <= 15:
                 continue
