@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ _ODD = np.array(
 )
 #: Words whose hash a Python worker remembers before it starts afresh.
 _KNOWN_WORDS = 400_000
+#: Probability that two sets agree by chance on more halves than allowed for.
+_EXCEEDED = 1e-12
 
 
 @dataclass(frozen=True)
@@ -307,10 +310,11 @@ def _pairs_left(shared: DataFrame, links: DataFrame, sets: DataFrame, config: Ne
     Up to three members of a bucket are all paired by ``_star_pairs``. Larger
     buckets whose members are not yet one component are compared here, whole: the
     members are dealt into blocks, every pair of blocks is one group of at most two
-    blocks, and a group's sets are compared by matrix products on the 32-bit halves,
-    which may find too much in common but never too little. Of the pairs found only
-    a spanning forest over the components and the pairs next to the bound leave the
-    group, to be confirmed on the full sets.
+    blocks, and a group's sets are compared by matrix products on the 32-bit halves.
+    Halves that meet by chance make the count too small within a set and too large
+    between sets; both are bounded. Of the pairs found only a spanning forest over
+    the components and the pairs that these bounds leave open leave the group, to be
+    confirmed on the full sets.
     """
     roots = components(links)
     members = shared.where("size > 3").join(roots, "node", "left")
@@ -371,6 +375,22 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str,
         yield rows()
 
 
+def _chance(sizes: np.ndarray) -> np.ndarray:
+    """Halves on which different members of two sets agree, for each pair of sets:
+    as many as are exceeded with a probability of ``_EXCEEDED`` at most.
+
+    With m = product of the sizes / 2^32 expected, k are reached with m^k / k! at most.
+    """
+    logs = np.log(np.maximum(sizes, 1).astype(float))
+    expected = logs[:, None] + logs[None, :] - 32 * log(2)
+    most = np.zeros(expected.shape)
+    k = 1
+    while (likely := k * expected - lgamma(k + 1) > log(_EXCEEDED)).any():
+        most[likely] = k
+        k += 1
+    return most
+
+
 def _forest(nodes, roots, shorts, first, own: bool, config: NearDuplicates) -> pa.RecordBatch:
     """Pairs of similar sets that join components: one for each merger, and all unclear ones."""
     sizes = np.array([len(s) // 4 for s in shorts], np.int64)
@@ -396,9 +416,11 @@ def _forest(nodes, roots, shorts, first, own: bool, config: NearDuplicates) -> p
     paired = roots[:, None] != roots[None, :]
     paired &= np.triu(np.ones_like(paired), 1) if own else first[:, None] & ~first[None, :]
     # Halves may agree by chance, so counts next to the bound decide nothing here:
-    # those pairs all leave the group, and only clear ones are thinned out.
-    clear = similar(common - 1) & paired
-    unclear = similar(common + 1) & ~similar(common - 1) & paired
+    # those pairs all leave the group, and only clear ones are thinned out. What sets
+    # share beyond the common halves meets in halves that are repeated in both.
+    repeated = sizes - [len(s) for s in sets]
+    clear = similar(common - _chance(sizes)) & paired
+    unclear = similar(common + np.minimum(repeated[:, None], repeated[None, :])) & ~clear & paired
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:

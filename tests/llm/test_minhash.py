@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from seamline.llm.graph import components
-from seamline.llm.minhash import NearDuplicates, WordHashes, near_duplicates, shingle_set, sketches
+from seamline.llm.minhash import NearDuplicates, WordHashes, _chance, _forest, near_duplicates, shingle_set, sketches
 
 DOCS = "doc_id bigint, text string, n_shingles int, component_id string, node int"
 
@@ -77,6 +77,35 @@ def test_crowded_buckets_lose_no_link(spark, block):
     assert answer(spark, rows, config) == brute_force(rows, config)
 
 
+def forest(sets, roots):
+    shorts = [(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in sets]
+    found = _forest(np.arange(len(sets)), np.array(roots), shorts, np.ones(len(sets), bool), True, NearDuplicates())
+    return set(zip(*(c.to_pylist() for c in found.columns)))
+
+
+def test_halves_repeated_within_sets_lose_no_link():
+    one = np.concatenate((np.arange(80), np.arange(20) + 2**32)).astype(np.uint64)
+    two = np.where((one >= 60) & (one < 74), one + np.uint64(1000), one)
+    assert len(np.intersect1d(one, two)) == 86
+    assert forest([one, two], [0, 1]) == {(0, 1)}
+
+
+def test_halves_shared_by_chance_hide_no_link():
+    """The second set is just unlike the first, the third of its component just like it."""
+    n = 200_000
+    least = -(-150 * n // 175)
+    drawn = np.random.default_rng(1).integers(0, 2**64, 3 * n, dtype=np.uint64)
+    one = drawn[:n]
+    two, three = (np.concatenate((one[:c], drawn[at : at + n - c])) for c, at in ((least - 1, n), (least, 2 * n)))
+    assert (0, 2) in forest([one, two, three], [0, 1, 1])
+
+
+def test_bound_on_chance_grows_with_the_sets():
+    bound = _chance(np.array([1, 300, 100_000, 1_000_000]))
+    assert (bound == bound.T).all() and (np.diff(bound.diagonal()) > 0).all()
+    assert bound[0, 0] == 1 and bound[1, 1] == 2 and 10 < bound[2, 2] < 30 and 232 < bound[3, 3] < 1000
+
+
 def test_empty_table(spark):
     assert answer(spark, []) == []
 
