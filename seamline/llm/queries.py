@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import seamline as sl
-from seamline.llm import language, quality, toxicity
+from seamline.llm import language, merkle, quality, toxicity
 from seamline.llm.common import remainder, table
 from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
@@ -88,6 +88,24 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document proved; the n_chars of one in seven are altered in the copy that is checked."""
+    docs = table(spark, folder, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = F.when(remainder("doc_id", 7) == 0, 1).otherwise(0)
+    altered = [F.col(c) + more if c == "n_chars" else F.col(c) for c in fields]
+    tree = merkle.manifest(docs, fields, "doc_id", "lang", altered)
+    return merkle.prove(tree).select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.col("proof").cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 _QUERIES = {
     "op1_packing": _op1,
     "op2_language": _op2,
@@ -99,6 +117,7 @@ _QUERIES = {
     "op8_toxicity": _op8,
     "op9_minhash": _op9,
     "op10_warc": _op10,
+    "op13_merkle": _op13,
 }
 
 

@@ -156,5 +156,80 @@ FROM judged j LEFT JOIN blocked b ON b.host = j.host
 """
 
 
+#: CRC-32 of an ASCII text, from a table of 256 remainders that its rule makes.
+CRC = r"""
+crc_table AS (
+    SELECT list_transform(range(256), lambda i: list_reduce([i] || [j FOR j IN range(8)],
+        lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+
+
+def _crc(text: str) -> str:
+    """The CRC-32 of a text, beside a table ``crc_table``."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    step = "lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, {step}), 4294967295::BIGINT)"
+
+
+def _field(name: str, value: str | None = None) -> str:
+    text = f"({value or name})::VARCHAR"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+_LEAF = "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", "text"))) + ")"
+_ALTERED = _LEAF.replace(_field("n_chars"), _field("n_chars", "n_chars + 1"))
+
+OP13 = rf"""
+WITH RECURSIVE {CRC.strip()}, leaves AS MATERIALIZED (
+    SELECT doc_id, lang, {_LEAF} AS leaf,
+        CASE WHEN coalesce({_crc("doc_id::VARCHAR")} % 7 = 0, false) THEN {_ALTERED} ELSE {_LEAF} END AS copied
+    FROM documents, crc_table
+), placed AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY lang) AS total FROM leaves
+), nodes AS (
+    SELECT lang, 0 AS level, pos AS idx, total, leaf AS hash FROM placed
+    UNION ALL SELECT lang, level + 1, idx // 2, any_value((total + 1) // 2), sha256(string_agg(hash, '' ORDER BY idx))
+    FROM nodes WHERE total > 1 GROUP BY lang, level, idx // 2
+), kept_nodes AS MATERIALIZED (SELECT * FROM nodes
+), subroots AS MATERIALIZED (
+    SELECT lang, hash, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS total
+    FROM kept_nodes WHERE total = 1
+), tops AS (
+    SELECT 0 AS level, place AS idx, total, hash FROM subroots
+    UNION ALL SELECT level + 1, idx // 2, any_value((total + 1) // 2), sha256(string_agg(hash, '' ORDER BY idx))
+    FROM tops WHERE total > 1 GROUP BY level, idx // 2
+), kept_tops AS MATERIALIZED (SELECT * FROM tops
+), ways AS (
+    SELECT p.doc_id, p.lang, p.pos, 0 AS tree, n.level, n.idx, n.hash
+    FROM placed p JOIN kept_nodes n ON n.lang IS NOT DISTINCT FROM p.lang AND n.total > 1
+        AND n.idx = xor(p.pos >> n.level, 1)
+    UNION ALL SELECT p.doc_id, p.lang, p.pos, 1, n.level, n.idx, n.hash
+    FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+    JOIN kept_tops n ON n.total > 1 AND n.idx = xor(s.place >> n.level, 1)
+), proofs AS (
+    SELECT lang, pos, sha256(string_agg(hash, '' ORDER BY tree, level)) AS proof FROM ways GROUP BY lang, pos
+), folds AS (
+    SELECT p.lang, p.pos, 0 AS tree, 0 AS level, p.pos AS idx, p.total, p.copied AS hash, s.place, s.total AS langs
+    FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+    UNION ALL
+    SELECT f.lang, f.pos, f.tree + (f.total = 1)::INT, CASE WHEN f.total = 1 THEN 0 ELSE f.level + 1 END,
+        CASE WHEN f.total = 1 THEN f.place ELSE f.idx // 2 END,
+        CASE WHEN f.total = 1 THEN f.langs ELSE (f.total + 1) // 2 END,
+        CASE WHEN f.total = 1 THEN f.hash
+            WHEN f.idx % 2 = 1 THEN sha256(w.hash || f.hash) ELSE sha256(f.hash || coalesce(w.hash, '')) END,
+        f.place, f.langs
+    FROM folds f LEFT JOIN ways w ON w.lang IS NOT DISTINCT FROM f.lang AND w.pos = f.pos AND w.tree = f.tree
+        AND w.level = f.level WHERE NOT (f.tree = 1 AND f.total = 1)
+)
+SELECT p.doc_id, p.leaf, s.hash AS subroot, r.hash AS root, coalesce(w.proof, sha256('')) AS proof_sha256,
+    f.hash AS folded_root, f.hash = r.hash AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+JOIN (SELECT hash FROM kept_tops WHERE total = 1) r ON true
+JOIN folds f ON f.lang IS NOT DISTINCT FROM p.lang AND f.pos = p.pos AND f.tree = 1 AND f.total = 1
+LEFT JOIN proofs w ON w.lang IS NOT DISTINCT FROM p.lang AND w.pos = p.pos
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op3_urls": _op3(), "op5_vectors": OP5, "op9_minhash": OP9, "op10_warc": OP10}
+    return {"op4_mixing": OP4, "op3_urls": _op3(), "op5_vectors": OP5, "op9_minhash": OP9, "op10_warc": OP10, "op13_merkle": OP13}
