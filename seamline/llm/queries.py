@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import seamline as sl
-from seamline.llm import language, merkle, quality, toxicity
+from seamline.llm import dialogues, language, merkle, quality, toxicity
 from seamline.llm.common import remainder, table
 from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
@@ -88,6 +88,42 @@ def _op10(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with a fault put into one row in four, by a checksum of its place."""
+    place = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fault = F.crc32(F.concat(place[0], F.lit(":"), place[1]).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    unended = F.translate(text, "".join(dialogues.ENDINGS), "")
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), fault.alias("fault"))
+    return rows.where("fault <> 0").select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, unended).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def _op11(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    done = dialogues.repair_conversations(damaged(conversations))
+    report = done.report.withColumnRenamed("conv_id", "of")
+    digests = dialogues.line_digests(done.lines).withColumnRenamed("conv_id", "lines_of")
+    found = (
+        conversations.select("conv_id")
+        .distinct()
+        .join(report, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+        .join(digests, F.col("conv_id").eqNullSafe(F.col("lines_of")), "left")
+    )
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def _op13(spark: SparkSession, folder: str) -> DataFrame:
     """Every document proved; the n_chars of one in seven are altered in the copy that is checked."""
     docs = table(spark, folder, "documents")
@@ -117,6 +153,7 @@ _QUERIES = {
     "op8_toxicity": _op8,
     "op9_minhash": _op9,
     "op10_warc": _op10,
+    "op11_repair": _op11,
     "op13_merkle": _op13,
 }
 

@@ -231,5 +231,91 @@ LEFT JOIN proofs w ON w.lang IS NOT DISTINCT FROM p.lang AND w.pos = p.pos
 """
 
 
+#: Repair as shortest ways through the four states of a finite automaton (o: start, s: after
+#: the system's turn, u: after a user's, c: after an assistant's), up to two inserts a time.
+OP11 = rf"""
+WITH RECURSIVE {CRC.strip()}, filled AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k
+    FROM conversations, crc_table
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+        CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM filled, (VALUES (0), (1)) c(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)
+), named AS (
+    SELECT *, sha256(strlen(role) || ':' || role || text) AS same, role[1] AS letter,
+        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM damaged
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, same) AS i FROM named
+), copies AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM ranked
+), faults AS MATERIALIZED (
+    SELECT conv_id, turn, role, text, letter, i, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+        WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+        lag(letter) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM copies
+), moves(q, x, q2) AS (
+    VALUES ('o', 's', 's'), ('o', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'c'), ('c', 'u', 'u')
+), inserts(q, n, q2) AS (
+    SELECT q, 0, q FROM (VALUES ('o'), ('s'), ('u'), ('c')) t(q)
+    UNION ALL SELECT q, 1, q2 FROM moves WHERE x <> 's'
+    UNION ALL SELECT a.q, 2, b.q2 FROM moves a JOIN moves b ON a.q2 = b.q WHERE a.x <> 's' AND b.x <> 's'
+), edits AS MATERIALIZED (
+    SELECT conv_id, i, q, 'D' AS edit, q AS q2, 4 AS cost FROM faults, (VALUES ('o'), ('s'), ('u'), ('c')) t(q)
+    UNION ALL SELECT conv_id, i, q, 'K', q2, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END
+    FROM faults f JOIN moves m ON m.x = f.letter WHERE fault IN ('none', 'truncated')
+    UNION ALL SELECT conv_id, i, q, 'R', q2, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END
+    FROM faults, moves m WHERE m.x <> 's' AND fault IN ('none', 'truncated')
+), walks AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, 'o' AS q, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM faults
+    UNION ALL
+    SELECT w.conv_id, e.i, e.q2, min({{'cost': (w.best.cost + 3 * s.n + e.cost)::BIGINT,
+        'audit': w.best.audit || repeat('I', s.n) || e.edit}})
+    FROM walks w JOIN inserts s ON s.q = w.q
+    JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.q = s.q2
+    GROUP BY w.conv_id, e.i, e.q2
+), sizes AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (i > 1 AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faults GROUP BY conv_id
+), ends AS MATERIALIZED (
+    SELECT w.conv_id, min({{'cost': (w.best.cost + 3 * s.n)::BIGINT, 'audit': w.best.audit || repeat('I', s.n)}}) AS best
+    FROM walks w JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND z.n = w.i
+    JOIN inserts s ON s.q = w.q WHERE s.q2 IN ('o', 'c') GROUP BY w.conv_id
+), letters AS (
+    SELECT conv_id, unnest(string_split(best.audit, '')) AS edit, unnest(range(1, length(best.audit) + 1)) AS pos
+    FROM ends
+), counted AS (
+    SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS place
+    FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), placed AS (
+    SELECT c.conv_id, c.pos, c.edit, c.place, f.role, f.text,
+        bool_or(c.edit = 'K' AND f.letter = 's') OVER (PARTITION BY c.conv_id) AS opened
+    FROM counted c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = c.i AND c.edit <> 'I'
+    WHERE c.edit <> 'D'
+), repaired AS (
+    SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role
+        WHEN (place - opened::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10)
+        ORDER BY pos)) AS digest FROM placed GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(z.gaps, 0) AS gaps, coalesce(z.blank, 0) AS blank, coalesce(z.duplicate, 0) AS duplicate,
+    coalesce(z.truncated, 0) AS truncated, coalesce(z.illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost,
+    coalesce(e.best.audit, '') AS audit, coalesce(r.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN sizes z ON z.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op3_urls": _op3(), "op5_vectors": OP5, "op9_minhash": OP9, "op10_warc": OP10, "op13_merkle": OP13}
+    return {
+        "op3_urls": _op3(),
+        "op4_mixing": OP4,
+        "op5_vectors": OP5,
+        "op9_minhash": OP9,
+        "op10_warc": OP10,
+        "op11_repair": OP11,
+        "op13_merkle": OP13,
+    }
