@@ -31,6 +31,8 @@ from seamline.storage import store
 
 #: Parts between spaces that a worker remembers.
 _REMEMBERED = 1_000_000
+#: Bytes of texts encoded at a time.
+_BYTES = 4 << 20
 #: The encoder of a worker, by the path of its tokenizer: it outlives a task.
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -68,10 +70,11 @@ class Encoder:
 
     The tokenizers this is for never merge across white space, so a text's ids are those
     of its space-separated parts one after another, and most parts occur again and
-    again. Parts of up to sixteen bytes are two numbers; a sorted table of them says
-    which have been encoded before, and only new ones meet the tokenizer. Hashes order
-    the table, equality is decided on the bytes. A full table keeps what was used last,
-    so a worker's memory is bounded.
+    again. Where runs of letters stand alone and only their case changes, parts end with
+    a run of letters too, and are looked up in lower case. A part of up to 32 bytes is four numbers; a longer one is known by a 128-bit
+    hash of its bytes and its length. A hash table over these numbers, probed for all
+    parts of many texts together, says which parts have been encoded before; only new
+    ones meet the tokenizer. A full table is emptied, so a worker's memory is bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -85,13 +88,17 @@ class Encoder:
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = None
             self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: Bytes of each known part, place and number of its ids, and when it was last met.
-        self.low, self.high = np.empty((2, 0), np.uint64)
-        self.size, self.at, self.count, self.met = np.empty((4, 0), np.int64)
-        self.pool = np.empty(0, np.uint32)
-        #: Hashes in order, and whose they are.
-        self.hashes, self.order = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.now = 0
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._clear()
+
+    def _clear(self) -> None:
+        self.used = self.filled = 0
+        #: Per known part its four numbers, hash and number of bytes, and the place and number of its ids.
+        self.words, self.hashes = np.empty((4, 1024), np.uint64), np.empty(1024, np.uint64)
+        self.size, self.at, self.count = np.empty((3, 1024), np.int64)
+        self.pool = np.empty(4096, np.uint32)
+        #: The part that each slot of the table holds, or -1.
+        self.slots = np.full(4096, -1, np.int32)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         ends = np.cumsum([0, *map(len, texts)])
@@ -103,117 +110,92 @@ class Encoder:
 
         With a separator each text is followed by it.
         """
-        self.now += 1
-        start, stop, first = _parts(data, ends)
+        split = self.bare is not None
+        if split:
+            lower = _lowered(data)
+            # A token of its own, whatever its letters, must not be taken apart nor made by lower case.
+            split = not any(token in lower.tobytes() for token in self.special)
+            data = lower if split else data
+        start, stop, first = _parts(data, ends, split)
         entry = self._known(data, start, stop)
-        if separator is not None:
-            # A part of no bytes stands for the separator and has its id alone.
-            sign = len(self.size)
-            self._append([b""], [np.array([separator], "<u4").tobytes()])
-            entry = np.insert(entry, first[1:], sign)
-            first = first + np.arange(len(first))
         count = self.count[entry]
-        before = np.cumsum(count) - count
-        ids = self.pool[np.repeat(self.at[entry] - before, count) + np.arange(count.sum())]
-        stops = np.append(before, count.sum())[first[1:]]
+        upto = np.cumsum(count)
+        total = int(upto[-1]) if len(upto) else 0
+        ids = self.pool[np.repeat(self.at[entry] - upto + count, count) + np.arange(total)]
+        stops = np.append(0, upto)[first[1:]]
         if separator is not None:
-            self._drop_last()
+            ids = np.insert(ids, stops, separator)
+            stops = stops + np.arange(1, len(stops) + 1)
         return ids, stops
 
     def _known(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """The entry of every part, after new ones have been encoded."""
         size = stop - start
-        padded = np.concatenate((data, np.zeros(16, np.uint8)))
-        # Eight bytes from each place, though places are not aligned.
-        eight = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
-        low = eight[start] & _MASKS[np.minimum(size, 8)]
-        high = eight[np.minimum(start + 8, len(data))] & _MASKS[np.clip(size - 8, 0, 8)]
-        hashed = _hashed(low, high, size)
-        long = np.flatnonzero(size > 16)
-        if len(long):
-            # The rest of a long part enters through a hash of the whole of it.
-            whole = [xxhash.xxh3_128_intdigest(data[a:b].tobytes()) for a, b in zip(start[long], stop[long])]
-            low[long] = [w >> 64 for w in whole]
-            high[long] = [w & (1 << 64) - 1 for w in whole]
-            hashed[long] = _hashed(low[long], high[long], size[long])
-        distinct, where, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-        exact = all((x[where][inverse] == x).all() for x in (low, high, size))
-        if not exact:  # two parts with one hash: tell them apart by their bytes
-            keys = np.stack((low, high, size.astype(np.uint64)), axis=1)
-            _, where, inverse = np.unique(keys, axis=0, return_index=True, return_inverse=True)
-            inverse, distinct = inverse.reshape(-1), hashed[where]
-        entry = np.full(len(where), -1, np.int64)
-        place = np.searchsorted(self.hashes, distinct)
-        fits = place < len(self.hashes)
-        candidate = self.order[place[fits]]
-        own = where[fits]
-        same = (self.low[candidate] == low[own]) & (self.high[candidate] == high[own])
-        entry[fits] = np.where(same & (self.size[candidate] == size[own]), candidate, -1)
-        new = np.flatnonzero(entry < 0)
+        words, long = _words(data, start, size)
+        hashed = _hashed(words[0], words[1], size)
+        hashed[long] = _hashed(hashed[long] ^ words[2][long], words[3][long], size[long])
+        entry = np.full(len(size), -1, np.int64)
+        open_, new = np.arange(len(size)), []
+        slot = hashed.astype(np.int64)
+        while len(open_):
+            found = self.slots[slot & (len(self.slots) - 1)].astype(np.int64)
+            empty = found < 0
+            new.append(open_[empty])
+            open_, slot, found = open_[~empty], slot[~empty], found[~empty]
+            same = self.size[found] == size[open_]
+            for word, own in zip(self.words[:2], words):
+                same &= word[found] == own[open_]
+            wide = np.flatnonzero(same & (size[open_] > 16))
+            for word, own in zip(self.words[2:], words[2:]):
+                same[wide] &= word[found[wide]] == own[open_[wide]]
+            entry[open_[same]] = found[same]
+            open_, slot = open_[~same], slot[~same] + 1
+        new = np.concatenate(new) if new else np.empty(0, np.int64)
         if len(new):
-            if len(self.size) + len(new) > _REMEMBERED:
-                entry = self._forget(entry)
-            at = where[new]
+            keys = np.stack([size[new].astype(np.uint64), *[w[new] for w in words]], axis=1)
+            _, where, inverse = np.unique(hashed[new], return_index=True, return_inverse=True)
+            if (keys[where][inverse] != keys).any():  # parts that differ have one hash
+                _, where, inverse = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+            if self.used and self.used + len(where) > _REMEMBERED:
+                self._clear()
+                return self._known(data, start, stop)
+            at = new[where]
             parts = [data[a:b].tobytes() for a, b in zip(start[at].tolist(), stop[at].tolist())]
-            entry[new] = len(self.size) + np.arange(len(new))
-            self._append(parts, self._learn(parts), low[at], high[at], size[at])
-            order = np.argsort(distinct[new], kind="stable")
-            spot = np.searchsorted(self.hashes, distinct[new][order])
-            self.hashes = np.insert(self.hashes, spot, distinct[new][order])
-            self.order = np.insert(self.order, spot, entry[new][order])
-        self.met[entry] = self.now
-        return entry[inverse]
-
-    def _append(self, parts, ids: list[bytes], low=(0,), high=(0,), size=(0,)) -> None:
+            self._append(self._learn(parts), [w[at] for w in words], size[at], hashed[at])
+            entry[new] = self.used - len(where) + inverse.reshape(-1)
+        return entry
+
+    def _append(self, ids: list[bytes], words: list[np.ndarray], size: np.ndarray, hashed: np.ndarray) -> None:
+        old, self.used = self.used, self.used + len(ids)
         count = np.array([len(i) // 4 for i in ids], np.int64)
-        self.at = np.append(self.at, len(self.pool) + np.cumsum(count) - count)
-        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4").astype(np.uint32))
-        self.count, self.size = np.append(self.count, count), np.append(self.size, np.asarray(size, np.int64))
-        self.low = np.append(self.low, np.asarray(low, np.uint64))
-        self.high = np.append(self.high, np.asarray(high, np.uint64))
-        self.met = np.append(self.met, np.full(len(ids), self.now))
-
-    def _drop_last(self) -> None:
-        self.pool = self.pool[: len(self.pool) - self.count[-1]]
-        for name in ("at", "count", "size", "low", "high", "met"):
-            setattr(self, name, getattr(self, name)[:-1])
-
-    def _forget(self, entry: np.ndarray) -> np.ndarray:
-        """Keep the half of the table met last, and what ``entry`` needs now."""
-        keep = np.zeros(len(self.size), bool)
-        keep[np.argsort(-self.met, kind="stable")[: _REMEMBERED // 2]] = True
-        keep[entry[entry >= 0]] = True
-        number = np.cumsum(keep) - 1
-        count = self.count[keep]
-        before = np.cumsum(count) - count
-        self.pool = self.pool[np.repeat(self.at[keep] - before, count) + np.arange(count.sum())]
-        self.at, self.count = before, count
-        for name in ("size", "low", "high", "met"):
-            setattr(self, name, getattr(self, name)[keep])
-        held = keep[self.order]
-        self.hashes, self.order = self.hashes[held], number[self.order[held]]
-        return np.where(entry >= 0, number[entry], -1)
+        filled, self.filled = self.filled, self.filled + int(count.sum())
+        self.pool = _grown(self.pool, self.filled)
+        self.pool[filled : self.filled] = np.frombuffer(b"".join(ids), "<u4")
+        self.words = _grown(self.words, self.used)
+        for name, values in (("at", filled + np.cumsum(count) - count), ("count", count), ("size", size), ("hashes", hashed)):
+            setattr(self, name, _grown(getattr(self, name), self.used))
+            getattr(self, name)[old : self.used] = values
+        for word, values in zip(self.words, words):
+            word[old : self.used] = values
+        if self.used * 4 > len(self.slots):
+            self.slots = np.full(1 << (self.used * 8).bit_length(), -1, np.int32)
+            old = 0
+        # Of the parts that want one slot the last one written gets it, the others try the next.
+        part, slot = np.arange(old, self.used), self.hashes[old : self.used].astype(np.int64)
+        while len(part):
+            place = slot & (len(self.slots) - 1)
+            free = self.slots[place] < 0
+            self.slots[place[free]] = part[free]
+            lost = self.slots[place] != part
+            part, slot = part[lost], slot[lost] + 1
 
     def _learn(self, words: list[bytes]) -> list[bytes]:
-        """Ids of new parts; those of letters, with a comma or stop at most, by their letters."""
-        odd, simple, stems = [], [], {}
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            end = text[-1] if text[-1] in ",." else ""
-            stem = text.removesuffix(end) if end else text
-            if self.bare and stem.isalpha() and _plain(stem):
-                stem = stem.lower()
-                simple.append((stem, end))
-                stems[stem] = b""
-            else:
-                simple.append(None)
-                odd.append(text)
-        found = self._ids(self.tokenizer, odd + [",", "."])
-        ends = {"": b"", ",": found[-2], ".": found[-1]}
-        if stems:
-            stems = dict(zip(stems, self._ids(self.bare, list(stems))))
-        rest = iter(found)
-        return [next(rest) if s is None else stems[s[0]] + ends[s[1]] for s in simple]
+        """Ids of new parts; those of lower-case letters by their letters."""
+        texts = [word.decode("utf-8", "replace") for word in words]
+        plain = [bool(self.bare) and text.isalpha() and _plain(text) for text in texts]
+        stems = iter(self._ids(self.bare, [t.lower() for t, p in zip(texts, plain) if p]) if any(plain) else [])
+        rest = iter(self._ids(self.tokenizer, [t for t, p in zip(texts, plain) if not p]) if not all(plain) else [])
+        return [next(stems if p else rest) for p in plain]
 
     @staticmethod
     def _ids(tokenizer, texts: list[str]) -> list[bytes]:
@@ -224,16 +206,68 @@ class Encoder:
         return [raw[start:end] for start, end in zip([0, *ends], ends)]
 
 
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    """``values`` with room for ``size`` of them, twice as many if it has to be moved."""
+    if values.shape[-1] >= size:
+        return values
+    more = np.empty((*values.shape[:-1], 2 * size), values.dtype)
+    more[..., : values.shape[-1]] = values
+    return more
+
+
+def _words(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bytes of each part as four numbers, and which parts have more than two."""
+    padded = np.concatenate((data, np.zeros(32, np.uint8)))
+    # Eight bytes from each place, though places are not aligned.
+    eight = np.ndarray(len(data) + 24, "<u8", padded, strides=(1,))
+    words = [eight[start] & _MASKS[np.minimum(size, 8)], np.zeros(len(size), np.uint64)]
+    words += [np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)]
+    more = np.flatnonzero(size > 8)
+    words[1][more] = eight[start[more] + 8] & _MASKS[np.minimum(size[more] - 8, 8)]
+    long = more[size[more] > 16]
+    for number in (2, 3):
+        words[number][long] = eight[start[long] + 8 * number] & _MASKS[np.clip(size[long] - 8 * number, 0, 8)]
+    for at in long[size[long] > 32].tolist():
+        whole = xxhash.xxh3_128_intdigest(data[start[at] : start[at] + size[at]].tobytes())
+        words[2][at], words[3][at] = whole >> 64, whole & (1 << 64) - 1
+    return words, long
+
+
 #: Low bytes of a number, by how many.
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _parts(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and stop of each part between white space, and the number of parts before each text."""
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_MARK = ~_SPACE & ~_LETTER & (np.arange(256) < 128)
+#: Lower case of ASCII letters, and of what follows the first byte of U+00C0 to U+00DE.
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_LOWER_SECOND = np.array([b + 32 if 0x80 <= b <= 0x9E and b != 0x97 else b for b in range(256)], np.uint8)
+#: The second bytes of U+00C0 to U+00FF that are letters.
+_LETTER_SECOND = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """The texts with the letters of ASCII and Latin-1 in lower case, which are of the same length."""
+    lower = _LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    lower[second] = _LOWER_SECOND[data[second]]
+    return lower
+
+
+def _parts(data: np.ndarray, ends: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and stop of each part between white space, and the number of parts before each text.
+
+    With ``split`` a letter and a mark or digit after it belong to two parts.
+    """
     solid = ~_SPACE[data]
     joined = np.zeros(len(data) + 1, bool)
     joined[1:-1] = solid[1:] & solid[:-1]
+    if split:
+        letter = _LETTER[data]
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        letter[second] = _LETTER_SECOND[data[second]]
+        joined[1:-1] &= ~(letter[:-1] & _MARK[data[1:]])
     # A part ends with its text.
     joined[ends] = False
     start = np.flatnonzero(solid & ~joined[:-1])
@@ -298,40 +332,53 @@ def pieces(
     last = "ids_crc32 bigint" if digest else "ids array<int>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(tokenizer) or Encoder(tokenizer)
-        _ENCODERS[tokenizer] = encoder
-        for batch in batches:
-            for first in range(0, batch.num_rows, 1000):
-                part = batch.slice(first, 1000)
-                # One copy without gaps for null texts, whose places may hold anything.
-                texts = pc.fill_null(part.column(1).cast(pa.large_binary()), b"")
-                data, ends = _bytes_of(texts)
-                ids, stops = encoder.flat(data, ends, separator)
-                begins = np.append(0, stops[:-1])
-                sizes = stops - begins
-                counts = -(-sizes // capacity)
-                owner = np.repeat(np.arange(len(sizes)), counts)
-                number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                start = number * capacity
-                length = np.minimum(sizes[owner] - start, capacity)
-                if digest:
-                    view = memoryview(ids.astype("<u4")).cast("B")
-                    cuts = zip(((begins[owner] + start) * 4).tolist(), ((begins[owner] + start + length) * 4).tolist())
-                    values = pa.array([zlib.crc32(view[a:b]) for a, b in cuts], pa.int64())
-                else:
-                    bounds = np.append(0, np.cumsum(length)).astype(np.int32)
-                    values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(start)]
-                    + [pa.array(length), values],
-                    [id_column, "piece", "start", "length", last.split()[0]],
-                )
+        for part, ids, stops in encoded(batches, tokenizer, separator):
+            begins = np.append(0, stops[:-1])
+            sizes = stops - begins
+            counts = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), counts)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = number * capacity
+            length = np.minimum(sizes[owner] - start, capacity)
+            if digest:
+                view = memoryview(ids.astype("<u4")).cast("B")
+                cuts = zip(((begins[owner] + start) * 4).tolist(), ((begins[owner] + start + length) * 4).tolist())
+                values = pa.array([zlib.crc32(view[a:b]) for a, b in cuts], pa.int64())
+            else:
+                bounds = np.append(0, np.cumsum(length)).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(start)]
+                + [pa.array(length), values],
+                [id_column, "piece", "start", "length", last.split()[0]],
+            )
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(id_column, F.col(text_column).cast("string"))
     return rows.mapInArrow(cut, f"{id_column} {kind}, piece int, start bigint, length bigint, {last}")
 
 
+def encoded(
+    batches: Iterator[pa.RecordBatch], tokenizer: str, separator: int
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """For some rows (id, text) at a time: the rows, all their ids, and where each one's end."""
+    encoder = _ENCODERS.get(tokenizer) or Encoder(tokenizer)
+    _ENCODERS[tokenizer] = encoder
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1000):
+            part = batch.slice(first, 1000)
+            # One copy without gaps for null texts, whose places may hold anything.
+            texts = pc.fill_null(part.column(1).cast(pa.large_binary()), b"")
+            data, ends = _bytes_of(texts)
+            # Rows up to some bytes at a time, long ones alone.
+            begin = 0
+            while begin < len(texts):
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + _BYTES, side="right")) - 1)
+                ids, stops = encoder.flat(data[ends[begin] : ends[end]], ends[begin : end + 1] - ends[begin], separator)
+                yield part.slice(begin, end - begin), ids, stops
+                begin = end
+
+
 # -------------------------------------------------------------------- packing
 
 
