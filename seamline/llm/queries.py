@@ -14,6 +14,7 @@ from seamline.llm.mixing import mix
 from seamline.llm.minhash import near_duplicates
 from seamline.llm.packing import pack, pieces
 from seamline.llm.pii import replace_entities
+from seamline.llm.slack import pack_tightly
 from seamline.llm.urls import filter_urls
 from seamline.llm.vectors import similar_vectors
 from seamline.llm.warc import read_archives, with_originals, write_archives
@@ -124,6 +125,12 @@ def _op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _op12(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_tightly(table(spark, folder, "documents"), tokenizer_path())
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset")
+
+
 def _op13(spark: SparkSession, folder: str) -> DataFrame:
     """Every document proved; the n_chars of one in seven are altered in the copy that is checked."""
     docs = table(spark, folder, "documents")
@@ -154,6 +161,7 @@ _QUERIES = {
     "op9_minhash": _op9,
     "op10_warc": _op10,
     "op11_repair": _op11,
+    "op12_slack": _op12,
     "op13_merkle": _op13,
 }
 
