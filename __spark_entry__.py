@@ -6,6 +6,7 @@ from __future__ import annotations
 import sys
 import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -392,11 +393,29 @@ def _segment_text(spark, folder, part_turns=reports.PART_TURNS):
     )
 
 
-def _document_segments(spark, folder):
-    """Segments of the documents' lines, lines without a token set aside."""
-    encoder = sl.hash_encoder()
-    turns, _ = sl.set_aside(_document_lines(spark, folder), TEXT.dim, encoder=encoder)
-    return sl.segment(turns, TEXT, encoder=encoder).segments()
+def _document_segments(spark, folder, chunk_turns=sl.SegmenterConfig().chunk_turns):
+    """Segments of the documents' lines, lines without a token set aside on the way."""
+    config = replace(TEXT, chunk_turns=chunk_turns)
+    lines = _document_lines(spark, folder)
+    return sl.segment(lines, config, encoder=sl.hash_encoder(), unfit="aside").segments()
+
+
+def _with_zeros(spark, folder):
+    """The dialogues with some vectors replaced by zeros."""
+    spoilt = F.when((F.col("conv_id") * 20 + F.col("turn")) % 13 == 5, scaled(F.col("embedding"), F.lit(0.0)))
+    vectors = _embeddings(spark, folder)
+    return vectors.withColumn("embedding", F.coalesce(spoilt, F.col("embedding").cast("array<double>")))
+
+
+def _turns_set_aside(spark, folder):
+    """The zero vectors that the pass meets."""
+    return sl.segment(_with_zeros(spark, folder), EMB, unfit="aside").unfit
+
+
+def _history_set_aside(spark, folder):
+    """The history without zero vectors, every dialogue spread over chunks of seven turns."""
+    config = sl.SegmenterConfig(delta_star=0.95, chunk_turns=7)
+    return _rounded(sl.segment(_with_zeros(spark, folder), config, unfit="aside").history())
 
 
 def _corpus_counts(spark, folder):
@@ -461,9 +480,7 @@ def _stream_segment(spark, folder):
 
 def _stream_set_aside(spark, folder):
     """The stream with zero vectors in it: reported, and nothing else changed by them."""
-    spoilt = F.when((F.col("conv_id") * 20 + F.col("turn")) % 13 == 5, scaled(F.col("embedding"), F.lit(0.0)))
-    vectors = _embeddings(spark, folder)
-    vectors = vectors.withColumn("embedding", F.coalesce(spoilt, F.col("embedding").cast("array<double>")))
+    vectors = _with_zeros(spark, folder)
     return _streamed(spark, folder, vectors).select("conv_id", "input_turn", "turn", "topic_id", "delta_eff", "reason")
 
 
@@ -510,6 +527,9 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "segment_text": _segment_text,
         "segment_text_parts": lambda spark, folder: _segment_text(spark, folder, 3),
         "document_segments": _document_segments,
+        "document_segments_split": lambda spark, folder: _document_segments(spark, folder, 4),
+        "turns_set_aside": _turns_set_aside,
+        "history_set_aside": _history_set_aside,
         "corpus_counts": _corpus_counts,
         "end_turn_labels": _end_turn_labels,
         "metric_window_size": _metric_window_size,

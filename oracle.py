@@ -185,6 +185,9 @@ _FIT = _EMBEDDINGS.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 13
     "label,", "vec_id % 20 AS input_turn,"
 )
 
+_DOCUMENT_SEGMENTS = f"""
+    WITH {_LINES}, texts AS (SELECT * FROM lines), {_COUNTS},{_scores(delta=TEXT_DELTA)} {_SEGMENTS}"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -265,8 +268,11 @@ def statements() -> dict[str, str]:
         "conversation_segments": f"{_CONV} {_SEGMENTS}",
         "segment_text": _texts(16384),
         "segment_text_parts": _texts(3),
-        "document_segments": f"""
-            WITH {_LINES}, texts AS (SELECT * FROM lines), {_COUNTS},{_scores(delta=TEXT_DELTA)} {_SEGMENTS}""",
+        "document_segments": _DOCUMENT_SEGMENTS,
+        "document_segments_split": _DOCUMENT_SEGMENTS,
+        "turns_set_aside": """
+            SELECT vec_id // 20 AS conv_id, vec_id % 20 AS turn, 'zero' AS reason FROM embeddings WHERE vec_id % 13 = 5""",
+        "history_set_aside": _HISTORY.replace(_EMBEDDINGS, _FIT),
         "corpus_counts": "SELECT count(DISTINCT conv_id) AS n_sessions, count(*) AS n_exchanges FROM conversations",
         "end_turn_labels": f"{_EMB},{_ONE_PRED} SELECT conv_id, turn, label FROM pred",
         "metric_window_size": f"WITH {_EMBEDDINGS},{_GOLD} SELECT conv_id, n, b, k FROM sizes",

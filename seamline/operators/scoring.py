@@ -100,27 +100,33 @@ def _score_arrow(
     fields = [placed.schema["conv_id"], placed.schema["turn"], *[placed.schema[c] for c in payload]]
     fields += [T.StructField(d, T.DoubleType()) for d in DISTANCES]
     fields += [T.StructField(name, T.LongType()) for name in MARKS if mark]
-    return placed.mapInArrow(_Scorer(config, mark), T.StructType(fields))
+    return placed.mapInArrow(Scorer(config, mark), T.StructType(fields))
 
 
-class _Scorer:
+class Scorer:
     """Scores the sorted rows of one task, batch by batch.
 
-    What it holds between two blocks is the last m vectors of the open chunk.
+    Its columns are conv_id, chunk, turn, embedding and others to pass on. With ``local``
+    turns count from 0 in every chunk and no chunk gets turns of another. What it holds
+    between two blocks is the last m vectors of the open chunk.
     """
 
-    def __init__(self, config: SegmenterConfig, mark: bool = False) -> None:
+    def __init__(self, config: SegmenterConfig, mark: bool = False, local: bool = False) -> None:
         self.config = config
         self.mark = mark
+        self.local = local
+        self.tail: dict | None = None
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
         for batch in batches:
-            for start, stop, width in _runs(batch.column(3)):
-                step = max(64, BLOCK_VALUES // max(width, 1))
-                for begin in range(start, stop, step):
-                    scored, tail = self._block(batch.slice(begin, min(step, stop - begin)), tail)
-                    yield scored
+            yield from self.blocks(batch)
+
+    def blocks(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start, stop, width in _runs(batch.column(3)):
+            step = max(64, BLOCK_VALUES // max(width, 1))
+            for begin in range(start, stop, step):
+                scored, self.tail = self._block(batch.slice(begin, min(step, stop - begin)), self.tail)
+                yield scored
 
     def _block(self, block: pa.RecordBatch, tail: dict | None) -> tuple[pa.RecordBatch, dict]:
         cfg, n = self.config, block.num_rows
@@ -141,7 +147,7 @@ class _Scorer:
             raise ValueError(BAD_VECTOR)
 
         follows = np.concatenate(([last_turn], turn[:-1])) + 1
-        expected = np.where(opens, np.maximum(chunk * size - m, 0), follows)
+        expected = np.where(opens, 0 if self.local else np.maximum(chunk * size - m, 0), follows)
         if not np.array_equal(turn, expected):
             raise ValueError(NOT_DENSE)
 
@@ -152,7 +158,7 @@ class _Scorer:
         depth = np.minimum(row - group, m)
 
         d_prev, d_ctx, delta = distances(window, units, depth, cfg)
-        own = turn // size == chunk
+        own = np.ones(n, dtype=bool) if self.local else turn // size == chunk
         # Only the last m turns before a chunk come with it; anything else would be lost.
         if not (own | ((turn < chunk * size) & (turn >= chunk * size - m))).all():
             raise ValueError(TOO_LONG)
