@@ -20,7 +20,8 @@ from seamline.functions.vectors import norm, problem_by_batch, scaled  # noqa: E
 from seamline.operators import topics as reports  # noqa: E402
 from seamline.operators.evaluation import dialogue_metrics, dialogue_stats  # noqa: E402
 from seamline.operators.validation import paired_labels  # noqa: E402
-from seamline.storage import CHECKPOINT_DIR, new_path  # noqa: E402
+from seamline.storage import CHECKPOINT_DIR, new_path, store  # noqa: E402
+from seamline.streaming.ordered import STORE, STORE_SETTING  # noqa: E402
 
 try:
     import corpus_pipeline  # noqa: E402
@@ -454,13 +455,19 @@ def _calibration(spark, folder, metric="score"):
 
 def _streamed(spark, folder, vectors):
     """Feed vectors to the online operator file by file, five turns of a dialogue at a time."""
-    source, out, state = (new_path(spark, name) for name in ("feed", "stream", "stream-state"))
+    source = new_path(spark, "feed")
     for first in range(0, 20, 5):
         some = vectors.where(F.col("turn").between(first, first + 4)).select("conv_id", "turn", "embedding")
         some.repartition("conv_id").write.mode("append").parquet(source)
     schema = spark.read.parquet(source).schema
     feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
-    decided = sl.segment_stream(feed, EMB, unfit="aside")
+    return _rounded(_finished(sl.segment_stream(feed, EMB, unfit="aside")))
+
+
+def _finished(decided):
+    """All that a stream over a finished source writes."""
+    spark = decided.sparkSession
+    out, state = (new_path(spark, name) for name in ("stream", "stream-state"))
     query = (
         decided.writeStream.format("parquet")
         .option("checkpointLocation", state)
@@ -470,7 +477,7 @@ def _streamed(spark, folder, vectors):
     if not query.awaitTermination(1800):
         query.stop()
         raise TimeoutError("the stream did not finish")
-    return _rounded(spark.read.schema(decided.schema).parquet(out))
+    return spark.read.schema(decided.schema).parquet(out)
 
 
 def _stream_segment(spark, folder):
@@ -484,6 +491,57 @@ def _stream_set_aside(spark, folder):
     return _streamed(spark, folder, vectors).select("conv_id", "input_turn", "turn", "topic_id", "delta_eff", "reason")
 
 
+def _out_of_order(spark, turns, segmenter):
+    """Feed turns file by file, each up to six places later than its turn, and run the segmenter over them.
+
+    A second a turn; a last row, far later than all others, lets their timers run out.
+    """
+    source = new_path(spark, "feed")
+    second = F.timestamp_seconds(F.col("turn") + 1_000_000)
+    rows = turns.select("*", second.alias("time"), F.expr("(turn + pmod(hash(conv_id, turn), 7)) div 5").alias("file"))
+    rows = store(rows, "late")
+    for file in range(rows.agg(F.max("file")).first()[0] + 1):
+        rows.where(F.col("file") == file).drop("file").repartition(1).write.mode("append").parquet(source)
+    last = rows.limit(1).select(
+        *[F.lit(-1).cast("bigint").alias(c) if c == "conv_id" else F.col(c) for c in turns.columns],
+        F.timestamp_seconds(F.lit(10**9)).alias("time"),
+    )
+    last.write.mode("append").parquet(source)
+    feed = spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    before = spark.conf.get(STORE_SETTING)
+    spark.conf.set(STORE_SETTING, STORE)
+    try:
+        return _finished(segmenter(feed.withWatermark("time", "10 seconds"))).where("conv_id >= 0")
+    finally:
+        spark.conf.set(STORE_SETTING, before)
+
+
+def _stream_in_order(spark, folder):
+    """Turns that come in other micro-batches than their neighbours, decided on in order."""
+    vectors = _embeddings(spark, folder).select("conv_id", "turn", "embedding")
+    done = _out_of_order(spark, vectors, lambda feed: sl.segment_stream_in_order(feed, EMB, idle_ms=60_000))
+    return _rounded(done.drop("input_turn", "reason"))
+
+
+def _stream_segments(spark, folder):
+    """Segments as they close: of every other dialogue the last turn is marked, the others fall silent."""
+    ends = (F.col("turn") == 19) & (F.col("conv_id") % 2 == 0)
+    vectors = _embeddings(spark, folder).select("conv_id", "turn", "embedding", ends.alias("ends"))
+    return _out_of_order(spark, vectors, lambda feed: sl.segments_from_stream(feed, EMB, idle_ms=60_000, end="ends"))
+
+
+def _stream_segment_text(spark, folder):
+    """The same with texts, encoded as they come, three turns a part."""
+    encoder = sl.hash_encoder()
+
+    def segmenter(feed):
+        coded = feed.withColumn("embedding", encoder(F.col("text")))
+        return sl.segments_from_stream(coded, TEXT, idle_ms=60_000, text="text", part_turns=3, unfit="aside")
+
+    rows = _out_of_order(spark, _conversations(spark, folder), segmenter)
+    return rows.select("conv_id", "topic_id", "part", "start", "end_exclusive", F.array_join("texts", "\n").alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = _own_queries()
     if corpus_pipeline:
@@ -543,4 +601,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "calibrate_f1": lambda spark, folder: _rounded(_calibration(spark, folder, "f1").selected),
         "stream_segment": _stream_segment,
         "stream_set_aside": _stream_set_aside,
+        "stream_in_order": _stream_in_order,
+        "stream_segments": _stream_segments,
+        "stream_segment_text": _stream_segment_text,
     }

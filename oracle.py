@@ -255,6 +255,9 @@ def statements() -> dict[str, str]:
             SELECT conv_id, input_turn, turn, topic_id, round(delta_eff, 6) AS delta_eff, NULL AS reason FROM history
             UNION ALL
             SELECT vec_id // 20, vec_id % 20, NULL, NULL, NULL, 'zero' FROM embeddings WHERE vec_id % 13 = 5""",
+        "stream_in_order": _HISTORY.replace("SELECT conv_id, turn, topic_id", "SELECT false AS late, conv_id, turn, topic_id"),
+        "stream_segments": f"{_EMB} {_SEGMENTS}",
+        "stream_segment_text": _texts(3),
         "strength_bands": f"{_EMB} SELECT conv_id, turn, {_BAND} AS band FROM flags",
         "strength_histogram": f"""
             {_EMB} SELECT conv_id, {_STRENGTH} FROM (SELECT *, {_BAND} AS band FROM flags) GROUP BY conv_id""",

@@ -26,6 +26,7 @@ from seamline.sources.sessions import turns_from_arrays, turns_from_sessions
 from seamline.sources.text import turns_from_documents, turns_from_text
 from seamline.storage import drop_stored
 from seamline.streaming.online import segment_stream
+from seamline.streaming.ordered import segment_stream_in_order, segments_from_stream
 
 __all__ = [
     "SegmenterConfig",
@@ -52,8 +53,10 @@ __all__ = [
     "score_turns",
     "segment",
     "segment_stream",
+    "segment_stream_in_order",
     "segment_text",
     "segments",
+    "segments_from_stream",
     "sentence_encoder",
     "set_aside",
     "ship",

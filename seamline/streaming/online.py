@@ -85,6 +85,49 @@ def _reasons(vectors: list, dim: int | None) -> np.ndarray:
     return found
 
 
+#: What a dialogue that has not begun remembers: turns seen, topic, last turn, vector length, recent vectors.
+START = (0, 0, None, 0, [])
+
+
+def decide(memory: tuple, rows: pd.DataFrame, config: SegmenterConfig, unfit: str) -> tuple[tuple, pd.DataFrame]:
+    """Decide on turns in the order given, after what ``memory`` holds; the new memory and a row per turn."""
+    seen, topic, last_turn, dim, flat = memory
+    turn = rows["turn"].to_numpy()
+    sound = np.ones(len(turn), dtype=bool)
+    reasons = np.full(len(turn), None, dtype=object)
+    if unfit == "aside":
+        reasons = _reasons(rows["embedding"].tolist(), config.dim or dim or None)
+        sound = reasons == None  # noqa: E711  elementwise
+    # A turn set aside leaves no trace: the next one may even repeat its number.
+    fresh = sound.copy()
+    before = np.maximum.accumulate(np.where(sound, turn, np.iinfo(np.int64).min))
+    fresh[1:] &= turn[1:] > before[:-1]
+    if last_turn is not None:
+        fresh &= turn > last_turn
+    out = pd.DataFrame({"conv_id": rows["conv_id"].to_numpy(), "input_turn": turn})
+    out = out.reindex(columns=COLUMNS).astype(NULLABLE)
+    out["late"] = sound & ~fresh
+    out["reason"] = reasons
+    count = int(fresh.sum())
+    if count:
+        m = config.ctx_window
+        units = unit_rows(pa.array(rows["embedding"][fresh].tolist()), config.dim or dim or None)
+        past = np.reshape(flat, (-1, units.shape[1]))
+        window = np.concatenate([np.zeros((m - len(past), units.shape[1])), past, units])
+        place = seen + np.arange(count)
+        _, _, delta = distances(window, units, np.minimum(place, m), config)
+        boundary = (place > 0) & (delta >= config.delta_star)
+        topics = topic + np.cumsum(boundary)
+        out.loc[fresh, "turn"] = place
+        out.loc[fresh, "topic_id"] = topics
+        out.loc[fresh, "is_boundary"] = boundary
+        out.loc[fresh, "delta_eff"] = delta
+        out.loc[fresh, "graded_score"] = delta / config.delta_star
+        recent = window[len(window) - min(m, seen + count) :]
+        memory = (seen + count, int(topics[-1]), int(turn[fresh][-1]), units.shape[1], recent.ravel().tolist())
+    return memory, out
+
+
 def _stepper(
     config: SegmenterConfig, unfit: str, idle_timeout_ms: int | None
 ) -> Callable[..., Iterator[pd.DataFrame]]:
@@ -92,43 +135,11 @@ def _stepper(
         if state.hasTimedOut:
             state.remove()
             return
-        seen, topic, last_turn, dim, flat = state.get if state.exists else (0, 0, None, 0, [])
+        memory = state.get if state.exists else START
         rows = pd.concat(batches).sort_values("turn", kind="stable")
-        turn = rows["turn"].to_numpy()
-        sound = np.ones(len(turn), dtype=bool)
-        reasons = np.full(len(turn), None, dtype=object)
-        if unfit == "aside":
-            reasons = _reasons(rows["embedding"].tolist(), config.dim or dim or None)
-            sound = reasons == None  # noqa: E711  elementwise
-        # A turn set aside leaves no trace: the next one may even repeat its number.
-        fresh = sound.copy()
-        before = np.maximum.accumulate(np.where(sound, turn, np.iinfo(np.int64).min))
-        fresh[1:] &= turn[1:] > before[:-1]
-        if last_turn is not None:
-            fresh &= turn > last_turn
-        out = pd.DataFrame({"conv_id": rows["conv_id"].to_numpy(), "input_turn": turn})
-        out = out.reindex(columns=COLUMNS).astype(NULLABLE)
-        out["late"] = sound & ~fresh
-        out["reason"] = reasons
-        count = int(fresh.sum())
-        if count:
-            m = config.ctx_window
-            units = unit_rows(pa.array(rows["embedding"][fresh].tolist()), config.dim or dim or None)
-            past = np.reshape(flat, (-1, units.shape[1]))
-            window = np.concatenate([np.zeros((m - len(past), units.shape[1])), past, units])
-            place = seen + np.arange(count)
-            _, _, delta = distances(window, units, np.minimum(place, m), config)
-            boundary = (place > 0) & (delta >= config.delta_star)
-            topics = topic + np.cumsum(boundary)
-            out.loc[fresh, "turn"] = place
-            out.loc[fresh, "topic_id"] = topics
-            out.loc[fresh, "is_boundary"] = boundary
-            out.loc[fresh, "delta_eff"] = delta
-            out.loc[fresh, "graded_score"] = delta / config.delta_star
-            recent = window[len(window) - min(m, seen + count) :]
-            state.update(
-                (seen + count, int(topics[-1]), int(turn[fresh][-1]), units.shape[1], recent.ravel().tolist())
-            )
+        after, out = decide(memory, rows, config, unfit)
+        if after is not memory:
+            state.update(after)
         if idle_timeout_ms is not None:
             state.setTimeoutDuration(idle_timeout_ms)
         yield out
