@@ -160,29 +160,11 @@ def _session_turns(spark, folder):
     return sl.turns_from_arrays(sessions.select("session_id", F.col("items.text").alias("exchanges")))
 
 
-def _matrix_turns(spark, folder):
-    """Write each dialogue's vectors as a matrix file and read those."""
+def _matrix_turns(spark, folder, part_turns=reports.PART_TURNS):
+    """Write each dialogue's vectors as matrix files and read those."""
     path = new_path(spark, "matrices")
-
-    def write(rows):
-        from io import BytesIO
-
-        import numpy as np
-        from pyarrow import fs
-
-        rows = rows.sort_values("turn")
-        content = BytesIO()
-        np.save(content, np.stack(rows["embedding"].to_list()).astype("float32"))
-        name = f"{path}/{rows['conv_id'].iloc[0]}.npy"
-        system, place = fs.FileSystem.from_uri(name if ":" in name else f"file://{name}")
-        system.create_dir(place.rpartition("/")[0])
-        with system.open_output_stream(place) as out:
-            out.write(content.getvalue())
-        return rows[["conv_id"]].head(1)
-
-    written = _embeddings(spark, folder).groupBy("conv_id").applyInPandas(write, "conv_id bigint")
-    written.write.format("noop").mode("overwrite").save()
-    turns = sl.turns_from_matrices(spark, f"{path}/*.npy")
+    sl.write_matrices(_embeddings(spark, folder), path, part_turns=part_turns, dtype="float32")
+    turns = sl.turns_from_matrices(spark, path)
     conv = F.regexp_extract("conv_id", r"(\d+)\.npy$", 1).cast("bigint")
     return turns.select(conv.alias("conv_id"), "turn", F.size("embedding").alias("dim"), _r(F.col("embedding")[0]).alias("first"))
 
@@ -555,6 +537,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "text_file_turns": _text_file_turns,
         "session_turns": _session_turns,
         "matrix_turns": _matrix_turns,
+        "matrix_turns_parts": lambda spark, folder: _matrix_turns(spark, folder, 7),
         "calibration_json": _calibration_json,
         "evaluation_json": _evaluation_json,
         "numbered_turns": _numbered_turns,

@@ -185,6 +185,7 @@ _FIT = _EMBEDDINGS.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 13
     "label,", "vec_id % 20 AS input_turn,"
 )
 
+_MATRIX_TURNS = f"WITH {_EMBEDDINGS} SELECT conv_id, turn, len(v)::INT AS dim, round(v[1], 6) AS first FROM raw"
 _DOCUMENT_SEGMENTS = f"""
     WITH {_LINES}, texts AS (SELECT * FROM lines), {_COUNTS},{_scores(delta=TEXT_DELTA)} {_SEGMENTS}"""
 
@@ -200,8 +201,8 @@ def statements() -> dict[str, str]:
         "session_turns": """
             SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text
             FROM conversations WHERE role = 'user'""",
-        "matrix_turns": f"""
-            WITH {_EMBEDDINGS} SELECT conv_id, turn, len(v)::INT AS dim, round(v[1], 6) AS first FROM raw""",
+        "matrix_turns": _MATRIX_TURNS,
+        "matrix_turns_parts": _MATRIX_TURNS,
         "calibration_json": f"""
             WITH {_EMBEDDINGS},{_GOLD}
             SELECT turn, gold.label::BIGINT AS label, round(v[1], 6) AS first FROM raw JOIN gold USING (conv_id, turn)""",

@@ -21,7 +21,7 @@ from seamline.operators.validation import invalid_embeddings, label_violations,
 from seamline.plans.calibration import calibrate, calibrate_turns, threshold_candidates
 from seamline.plans.segmentation import Segmentation, segment
 from seamline.sources.json_files import as_json, calibration_set, evaluation_set, write_json
-from seamline.sources.matrix import turns_from_matrices
+from seamline.sources.matrix import turns_from_matrices, write_matrices
 from seamline.sources.sessions import turns_from_arrays, turns_from_sessions
 from seamline.sources.text import turns_from_documents, turns_from_text
 from seamline.storage import drop_stored
@@ -69,4 +69,5 @@ __all__ = [
     "turns_from_sessions",
     "turns_from_text",
     "write_json",
+    "write_matrices",
 ]

@@ -24,6 +24,7 @@ from seamline import (
     turns_from_sessions,
     turns_from_text,
     write_json,
+    write_matrices,
 )
 
 TEXTS = {
@@ -119,6 +120,42 @@ def test_unusable_matrices(spark, tmp_path, array):
         turns_from_matrices(spark, str(tmp_path / "bad.npy")).collect()
 
 
+@pytest.mark.parametrize("part_turns, dtype", [(16_384, "float64"), (5, "float32"), (1, "float64")])
+def test_matrices_are_written_and_read_again(spark, tmp_path, part_turns, dtype):
+    rng = np.random.default_rng(8)
+    dialogues = [rng.normal(size=(n, 3)).astype(dtype) for n in (1, 5, 11, 30)]
+    turns = models.turn_table(spark, dialogues).withColumn("conv_id", F.concat(F.lit("a/b "), "conv_id")).repartition(6)
+    path = f"{tmp_path}/out"
+    write_matrices(turns, path, part_turns=part_turns, dtype=dtype)
+    files = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert len(files) == sum(-(-len(d) // part_turns) for d in dialogues) and "a%2Fb%203.npy" in files
+    first = np.load(tmp_path / "out" / "a%2Fb%203.npy")
+    assert first.dtype == dtype and first.tolist() == dialogues[3][:part_turns].tolist()
+    got = turns_from_matrices(spark, path, range_bytes=100)
+    assert got.count() == sum(map(len, dialogues))
+    named = got.withColumn("conv_id", F.regexp_extract("conv_id", r"(\d)\.npy$", 1).cast("int"))
+    assert {c: np.array(v).tolist() for c, v in models.gather(named, "embedding").items()} == {
+        c: d.astype(float).tolist() for c, d in enumerate(dialogues)
+    }
+    # Written over, only the new files are there; added to, files of the same name are replaced.
+    one = models.turn_table(spark, dialogues[:1])
+    write_matrices(one, path, mode="overwrite")
+    write_matrices(one, path)
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["0.npy"]
+
+
+def test_failed_writes_leave_nothing(spark, tmp_path):
+    rows = [(c, t, [1.0, float(t)]) for c in range(8) for t in range(9)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, embedding array<double>")
+    gap = turns.where("NOT (conv_id = 5 AND turn = 6)")
+    for bad in (gap.where("turn <> 0"), turns.withColumn("embedding", F.when(F.col("conv_id") != 3, F.col("embedding")))):
+        with pytest.raises(PySparkException):
+            write_matrices(bad, f"{tmp_path}/out", part_turns=4)
+    assert not (tmp_path / "out").exists() or not list((tmp_path / "out").iterdir())
+    with pytest.raises(PySparkException):
+        turns_from_matrices(spark, f"{tmp_path}/nowhere").collect()
+
+
 def test_calibration_file(spark, tmp_path):
     path = tmp_path / "calibration.json"
     dialogue = {"embeddings": [[2, 0], [1, 0], [0, 3], [0, 1], [5, 0]], "pseudo_labels": [0, 1, 0, 1, 0]}
