@@ -6,6 +6,7 @@ from __future__ import annotations
 import sys
 import tempfile
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import replace
 from pathlib import Path
 
@@ -195,6 +196,70 @@ def _evaluation_json(spark, folder):
     return _rounded(sl.evaluate(gold, pred, longest=longest))
 
 
+def _lines_of_document(rows, path):
+    """Write lines (dialogue, section, turn, value) as one document, a single file."""
+    ordered = rows.repartition(1).sortWithinPartitions("conv_id", "section", "turn")
+    ordered.select("value").write.text(path)
+
+
+@contextmanager
+def _small_splits(spark):
+    """Text read in parts of 64 KB, so that a document of a test table has several."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _listed(rows, value, opening, closing, first=0):
+    """Lines of the values of each dialogue, one after another with commas between, and what stands around."""
+    comma = F.when(F.col("turn") > 0, ",").otherwise("")
+    lines = rows.select("conv_id", F.lit(first + 1).alias("section"), "turn", F.concat(comma, value).alias("value"))
+    around = rows.select("conv_id").distinct()
+    for section, text in ((first, opening), (first + 2, closing)):
+        lines = lines.union(around.select("conv_id", F.lit(section), F.lit(0).cast("bigint"), F.lit(text)))
+    return lines
+
+
+def _line(spark, conv, text):
+    return spark.range(1).select(F.lit(conv).cast("bigint"), F.lit(0), F.lit(0).cast("bigint"), F.lit(text))
+
+
+def _calibration_document(spark, folder):
+    """Write dialogues as one JSON list of vectors and labels and read that, many tasks at a time."""
+    path = new_path(spark, "calibration")
+    gold, _ = _gold(spark, folder)
+    turns, _ = sl.dense_turns(_embeddings(spark, folder).select("conv_id", "turn", "embedding"))
+    rows = _listed(turns, F.to_json("embedding"), '{"embeddings": [', '], "pseudo_labels": [')
+    rows = rows.union(_listed(gold, F.col("label").cast("string"), "", "]},", 3))
+    empty = '{"embeddings": [], "pseudo_labels": []}]'
+    _lines_of_document(rows.union(_line(spark, -1, "[")).union(_line(spark, 2**62, empty)), path)
+    with _small_splits(spark):
+        vectors, labels = sl.calibration_set(spark, path)
+    rows = vectors.join(labels, ["conv_id", "turn"])
+    return rows.select("turn", F.col("label").cast("bigint").alias("label"), _r(F.col("embedding")[0]).alias("first"))
+
+
+def _evaluation_document(spark, folder):
+    """Write label sequences as one JSON object, read that and evaluate them."""
+    path = new_path(spark, "evaluation")
+    pairs, longest = _pairs(spark, folder)
+    rows = None
+    for key, base in (("gold", 0), ("pred", 2**60)):
+        some = pairs.select((F.col("conv_id") + base).alias("conv_id"), "turn", F.col(key).alias("label"))
+        some = _listed(some, F.col("label").cast("string"), "[", "],")
+        rows = some if rows is None else rows.union(some)
+    for at, text in ((-1, '{"golds": ['), (2**60 - 1, '[]], "preds": ['), (2**62, "[]]}")):
+        rows = rows.union(_line(spark, at, text))
+    _lines_of_document(rows, path)
+    with _small_splits(spark):
+        gold, pred = sl.evaluation_set(spark, path)
+    return _rounded(sl.evaluate(gold, pred, longest=longest))
+
+
 def _numbered_turns(spark, folder):
     """Positions of a customer's orders, whose keys have gaps."""
     orders = _table(spark, folder, "orders").select(
@@ -540,6 +605,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "matrix_turns_parts": lambda spark, folder: _matrix_turns(spark, folder, 7),
         "calibration_json": _calibration_json,
         "evaluation_json": _evaluation_json,
+        "calibration_document": _calibration_document,
+        "evaluation_document": _evaluation_document,
         "numbered_turns": _numbered_turns,
         "hash_encode": _hash_encode,
         "invalid_embeddings": _invalid_embeddings,

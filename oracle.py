@@ -186,6 +186,10 @@ _FIT = _EMBEDDINGS.replace("FROM embeddings", "FROM embeddings WHERE vec_id % 13
 )
 
 _MATRIX_TURNS = f"WITH {_EMBEDDINGS} SELECT conv_id, turn, len(v)::INT AS dim, round(v[1], 6) AS first FROM raw"
+_CALIBRATION_TURNS = f"""
+    WITH {_EMBEDDINGS},{_GOLD}
+    SELECT turn, gold.label::BIGINT AS label, round(v[1], 6) AS first FROM raw JOIN gold USING (conv_id, turn)"""
+_EVALUATION = f"{_EMB},{_GOLD},{_ONE_PRED},{_METRICS} SELECT {_FIGURES} FROM corpus"
 _DOCUMENT_SEGMENTS = f"""
     WITH {_LINES}, texts AS (SELECT * FROM lines), {_COUNTS},{_scores(delta=TEXT_DELTA)} {_SEGMENTS}"""
 
@@ -203,10 +207,10 @@ def statements() -> dict[str, str]:
             FROM conversations WHERE role = 'user'""",
         "matrix_turns": _MATRIX_TURNS,
         "matrix_turns_parts": _MATRIX_TURNS,
-        "calibration_json": f"""
-            WITH {_EMBEDDINGS},{_GOLD}
-            SELECT turn, gold.label::BIGINT AS label, round(v[1], 6) AS first FROM raw JOIN gold USING (conv_id, turn)""",
-        "evaluation_json": f"{_EMB},{_GOLD},{_ONE_PRED},{_METRICS} SELECT {_FIGURES} FROM corpus",
+        "calibration_json": _CALIBRATION_TURNS,
+        "calibration_document": _CALIBRATION_TURNS,
+        "evaluation_json": _EVALUATION,
+        "evaluation_document": _EVALUATION,
         "numbered_turns": """
             SELECT o_custkey AS conv_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS turn,
                    o_orderkey FROM orders""",
@@ -283,7 +287,7 @@ def statements() -> dict[str, str]:
         "pk": _evaluated("pk"),
         "windowdiff": _evaluated("wd"),
         "boundary_f1": _evaluated("f1"),
-        "evaluate_corpus": f"{_EMB},{_GOLD},{_ONE_PRED},{_METRICS} SELECT {_FIGURES} FROM corpus",
+        "evaluate_corpus": _EVALUATION,
         "threshold_candidates": f"{_EMB},{_POOL} SELECT percentile, round(delta_star, 6) AS delta_star FROM thresholds",
         "calibration_grid": f"{_GRID} {_CHOSEN}",
         "calibrate_score": f"{_GRID} {_CHOSEN} ORDER BY round(corpus.score, 12) DESC, cand LIMIT 1",

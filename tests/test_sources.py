@@ -173,6 +173,56 @@ def test_calibration_file(spark, tmp_path):
     assert turns.select("conv_id").distinct().count() == 2
 
 
+@pytest.fixture(params=(61, 150, 1 << 27))
+def split_bytes(spark, request):
+    """Sizes of the parts that Spark reads text in."""
+    settings = {"spark.sql.files.maxPartitionBytes": request.param, "spark.sql.files.openCostInBytes": 1}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, str(value))
+    yield request.param
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+ODD_KEYS = {"note]s": ["a]b", "[{", 'q"\\'], "more": {"embeddings": [[7]], "x": ["]", "\\\\"]}, "text": 'e " ]} é'}
+
+
+@pytest.mark.parametrize("indent", (None,))
+def test_documents_are_the_same_for_every_split(spark, tmp_path, split_bytes, indent):
+    rng = np.random.default_rng(4)
+    dialogues = []
+    for n in (3, 0, 4):
+        vectors, labels = rng.normal(size=(n, 2)).round(3).tolist(), rng.integers(0, 2, n).tolist()
+        parts = [("embeddings", vectors), ("pseudo_labels", labels), *ODD_KEYS.items()]
+        dialogues.append(dict(parts[i] for i in rng.permutation(len(parts))))
+    path = tmp_path / "calibration.json"
+    path.write_text(json.dumps(dialogues, indent=indent, ensure_ascii=False))
+    (tmp_path / "other.json").write_text(json.dumps(dialogues[:1]) + "\n")
+    turns, labels = calibration_set(spark, [str(path), str(tmp_path / "other.json")])
+    got = models.gather(turns.where("conv_id LIKE '%/calibration.json#%'"), "embedding")
+    assert {int(c.rpartition("#")[2]): v for c, v in got.items()} == {
+        i: d["embeddings"] for i, d in enumerate(dialogues) if d["embeddings"]
+    }
+    got = models.gather(labels.where("conv_id LIKE '%/calibration.json#%'"), "label")
+    assert {int(c.rpartition("#")[2]): v for c, v in got.items()} == {
+        i: d["pseudo_labels"] for i, d in enumerate(dialogues) if d["pseudo_labels"]
+    }
+    assert labels.count() == turns.count() == 10
+    path.write_text(json.dumps({**ODD_KEYS, "golds": [[0, 1], [0], []], "preds": [[1, 0], [1], []]}, indent=indent))
+    gold, pred = evaluation_set(spark, str(path))
+    assert [v for _, v in sorted(models.gather(gold, "label").items())] == [[0, 1], [0]]
+    assert [v for _, v in sorted(models.gather(pred, "label").items())] == [[1, 0], [1]]
+
+
+@pytest.mark.parametrize("text", ['[{"embeddings": [[1, 2]], "pseudo_labels": [0', '[{"embeddings": [[1, "a"]], "pseudo_labels": [0]}]'])
+def test_broken_documents(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(PySparkException):
+        turns, labels = calibration_set(spark, str(tmp_path / "bad.json"))
+        turns.collect()
+
+
 def test_evaluation_file(spark, tmp_path):
     path = tmp_path / "evaluation.json"
     golds, preds = [[0, 0, 1, 0, 1, 0], [1, 0, 0, 0]], [[0, 1, 0, 0, 1, 0], [1, 0, 1, 0]]
