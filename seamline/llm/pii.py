@@ -242,10 +242,17 @@ def surrogate(keyed: Keyed, kind: str, key: str, attempt: int = 0) -> str:
         for part in key.split("."):
             value = value << 8 | int(part)
         network = _network(value)
-        while True:
+        if network:
+            # Within a range set apart its own bits are permuted, however small it is.
+            prefix, bits = _RANGES[network - 1]
+            low = (1 << 32 - bits) - 1
+            value = prefix << 32 - bits | keyed.permuted(f"{tweak}|{prefix}/{bits}", value & low, low + 1)
+        else:
+            # Most addresses are public, so the walk is short.
             value = keyed.permuted(tweak, value, 1 << 32)
-            if _network(value) == network:
-                return ".".join(str(value >> shift & 255) for shift in (24, 16, 8, 0))
+            while _network(value):
+                value = keyed.permuted(tweak, value, 1 << 32)
+        return ".".join(str(value >> shift & 255) for shift in (24, 16, 8, 0))
     if kind == "card":
         body = keyed.characters(tweak, key[1:-1], [_DIGITS] * (len(key) - 2), len)
         offset = (int(key[-1]) - _luhn(key[:-1])) % 10
@@ -285,10 +292,13 @@ def _syllables(keyed: Keyed, tweak: str, key: str, script: str, count: int) -> s
     return "".join(of[keyed.number(f"{tweak}|s{i}", key, len(of))] for i in range(count))
 
 
+#: Prefixes of IPv4 ranges set apart, and their numbers of bits.
+_RANGES = ((0, 8), (10, 8), (127, 8), (0xA9FE, 16), (0xAC1, 12), (0xC0A8, 16), (0xE, 4), (0xF, 4))
+
+
 def _network(address: int) -> int:
     """Class of an IPv4 address: public, or one of the ranges set apart."""
-    ranges = ((0, 8), (10, 8), (127, 8), (0xA9FE, 16), (0xAC1, 12), (0xC0A8, 16), (0xE, 4), (0xF, 4))
-    return next((i for i, (prefix, bits) in enumerate(ranges, 1) if address >> 32 - bits == prefix), 0)
+    return next((i for i, (prefix, bits) in enumerate(_RANGES, 1) if address >> 32 - bits == prefix), 0)
 
 
 def _luhn(digits: str) -> int:
@@ -415,6 +425,8 @@ def _rewritten(
         keyed = Keyed(key)
         for batch in batches:
             own = attempts
+            # Mentions of one entity share its surrogate.
+            drawn: dict[tuple[str, str, int], str] = {}
             at = batch.schema.names.index(text_column)
             texts, counts = [], []
             for i, text in enumerate(batch.column(at)):
@@ -423,7 +435,10 @@ def _rewritten(
                     own = {(m["kind"], m["key"]): m["attempt"] for m in json.loads(held)}
                 spans = entities(text) if text else []
                 for start, end, kind, name in reversed(spans):
-                    new = surrogate(keyed, kind, name, own.get((kind, name), 0))
+                    which = (kind, name, own.get((kind, name), 0))
+                    if which not in drawn:
+                        drawn[which] = surrogate(keyed, *which)
+                    new = drawn[which]
                     text = text[:start] + rendered(kind, text[start:end], new) + text[end:]
                 texts.append(text)
                 counts.append(len(spans))

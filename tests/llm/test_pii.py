@@ -1,3 +1,4 @@
+import time
 import re
 
 import pytest
@@ -139,3 +140,18 @@ def test_permutations_are_bijections():
 
 def test_empty_table(spark):
     assert replace_entities(spark.createDataFrame([], SCHEMA), KEY).collect() == []
+
+
+def test_many_addresses_of_small_ranges_are_quick():
+    keyed = pii.Keyed(b"key")
+    ranges = ("192.168.{}.{}", "10.1.{}.{}", "172.20.{}.{}", "169.254.{}.{}", "8.8.{}.{}")
+    olds = [r.format(i // 250, i % 250) for r in ranges for i in range(2000)]
+    start = time.monotonic()
+    news = [pii.surrogate(keyed, "ip", old) for old in olds]
+    assert time.monotonic() - start < 0.001 * len(olds)
+    assert len(set(news)) == len(olds)
+
+    def network(address):
+        return pii._network(sum(int(p) << s for p, s in zip(address.split("."), (24, 16, 8, 0))))
+
+    assert list(map(network, olds)) == list(map(network, news))
