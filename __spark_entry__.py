@@ -28,8 +28,10 @@ try:
     import corpus_pipeline  # noqa: E402
     from seamline.llm import queries as llm_queries  # noqa: E402
     from seamline.llm import sql as llm_sql  # noqa: E402
-except ImportError:
-    # The subpackage and its pipeline are optional.
+except ImportError as missing:
+    # The subpackage and its pipeline are optional; a fault within them is not to be passed over.
+    if (missing.name or "").split(".")[:2] not in (["corpus_pipeline"], ["seamline", "llm"]):
+        raise
     corpus_pipeline = None
 
 #: Parameters of the queries on the ``embeddings`` table, whose vectors are far apart.
@@ -389,6 +391,17 @@ def _strength_rollup(spark, folder):
     return _segmented(spark, folder).strength_rollup()
 
 
+def _strength_totals(spark, folder):
+    """Strength counts of four calls, two of them made again, one after the rows have been put together."""
+    totals = sl.StrengthTotals(spark, new_path(spark, "totals"))
+    vectors = _embeddings(spark, folder)
+    for call in (0, 1, 0, 2, 3, 2):
+        totals.add(sl.segment(vectors.where(F.col("conv_id") % 4 == call), EMB).topics, call)
+        if call == 2:
+            totals.compact()
+    return totals.total()
+
+
 def _segments(spark, folder):
     return _segmented(spark, folder).segments()
 
@@ -627,6 +640,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "strength_bands": _strength_bands,
         "strength_histogram": _strength_histogram,
         "strength_rollup": _strength_rollup,
+        "strength_totals": _strength_totals,
         "segments": _segments,
         "segments_json": _segments_json,
         "dialogue_summary": _dialogue_summary,

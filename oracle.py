@@ -269,6 +269,7 @@ def statements() -> dict[str, str]:
         "strength_rollup": f"""
             {_EMB} SELECT conv_id, {_STRENGTH} FROM (SELECT *, {_BAND} AS band FROM flags)
             GROUP BY GROUPING SETS ((conv_id), ())""",
+        "strength_totals": f"{_EMB} SELECT {_STRENGTH} FROM (SELECT *, {_BAND} AS band FROM flags)",
         "segments": f"{_EMB} {_SEGMENTS}",
         "segments_json": f"{_EMB} {_SEGMENTS}",
         "dialogue_summary": _summary(16384),

@@ -20,6 +20,7 @@ from seamline.operators.topics import (
 from seamline.operators.validation import invalid_embeddings, label_violations, mixed_dimensions, set_aside
 from seamline.plans.calibration import calibrate, calibrate_turns, threshold_candidates
 from seamline.plans.segmentation import Segmentation, segment
+from seamline.plans.totals import StrengthTotals
 from seamline.sources.json_files import as_json, calibration_set, evaluation_set, write_json
 from seamline.sources.matrix import turns_from_matrices, write_matrices
 from seamline.sources.sessions import turns_from_arrays, turns_from_sessions
@@ -31,6 +32,7 @@ from seamline.streaming.ordered import segment_stream_in_order, segments_from_st
 __all__ = [
     "SegmenterConfig",
     "Segmentation",
+    "StrengthTotals",
     "as_json",
     "assign_topics",
     "calibrate",

@@ -39,13 +39,18 @@ def strength_band(graded: Column) -> Column:
 
 
 def assign_topics(
-    scored: DataFrame, config: SegmenterConfig = SegmenterConfig(), *, longest: int | None = None
+    scored: DataFrame,
+    config: SegmenterConfig = SegmenterConfig(),
+    *,
+    longest: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add ``is_boundary``, ``graded_score``, ``topic_id`` and ``topic_start``,
     the turn the topic began at.
 
     Dialogues longer than ``config.chunk_turns`` are summed chunk by chunk, for
-    which the scores are written once. Without ``longest`` that is assumed.
+    which the scores are written once, unless they are ``stored`` already. Without
+    ``longest`` that is assumed.
     Scores that were marked at the same threshold are not shuffled again.
     """
     marked = set(MARKS) <= set(scored.columns)
@@ -64,6 +69,7 @@ def assign_topics(
         longest=config.chunk_turns + 1 if longest is None else longest,
         chunk_turns=config.chunk_turns,
         folded=marked,
+        stored=stored,
     ).drop(*MARKS)
 
 

@@ -87,5 +87,5 @@ def segment(
         turns, config, longest=longest, encoder=encoder, keep=[*kept, _GIVEN], mark=True
     )
     aside = aside.select("conv_id", F.col(_GIVEN).alias("turn"), "reason")
-    topics = reports.assign_topics(scored.drop(_GIVEN), config, longest=longest)
+    topics = reports.assign_topics(scored.drop(_GIVEN), config, longest=longest, stored=True)
     return Segmentation(topics, longest, config, aside)
