@@ -20,9 +20,10 @@ from math import lgamma, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamline.llm.common import WORD
 from seamline.llm.graph import components
 from seamline.storage import store
 
@@ -75,21 +76,7 @@ def near_duplicates(
     component and is kept. Other columns are not read; an empty table gives an
     empty result.
     """
-    docs = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
-    signed = store(docs.mapInArrow(_signer(config), _SIGNED), "signed")
-    nodes = store(
-        signed.where("n > 0")
-        .groupBy("k1", "k2")
-        .agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-        .withColumn("node", F.monotonically_increasing_id()),
-        "nodes",
-    )
-    shared = _shared_buckets(nodes)
-    sets = _sets(docs, nodes, shared, config)
-    links = store(_confirmed(_star_pairs(shared), sets, config), "links")
-    missed = store(_confirmed(_pairs_left(shared, links, sets, config), sets, config), "links")
-    roots = components(links.union(missed))
-    placed = nodes.join(roots, "node", "left").select("k1", "k2", "least", F.coalesce("root", "node").alias("root"))
+    signed, placed = _classes(_named(docs, id_column, text_column), config)
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     answer = placed.join(smallest, "root").select("k1", "k2", "component_id")
     rows = signed.select("id", "n", "k1", "k2")
@@ -105,7 +92,68 @@ def near_duplicates(
     )
 
 
-_SIGNED = "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
+def without_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", config: NearDuplicates = NearDuplicates()
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, but one only of each component.
+
+    It is the row with the smallest id, null ids last; of rows with one id that with the
+    smallest digest of its text; of rows with one id and text any one, chosen by a hash
+    of the whole row. Components are those of ``near_duplicates``, whatever the ids: rows
+    of one id with different texts may both stay, and copies without an id do not. Rows
+    without a word are in no component and all stay. An empty table gives an empty result.
+    """
+    named = _named(docs, id_column, text_column)
+    _, placed = _classes(named, config)
+    first = placed.groupBy("root").agg(F.min("sample").alias("first")).select("first.id", "first.digest")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), *_name_columns(id_column, text_column))
+    chosen = rows.join(first, rows["id"].eqNullSafe(first["id"]) & (rows["digest"] == first["digest"]), "left_semi")
+    worded = chosen.where(F.col("text").rlike(WORD)).groupBy("id", "digest")
+    once = worded.agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    wordless = rows.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return once.select("row.*").union(wordless.select("row.*"))
+
+
+def _name_columns(id_column: str, text_column: str) -> list[Column]:
+    text = F.col(f"`{text_column}`").cast("string")
+    return [
+        F.col(f"`{id_column}`").cast("bigint").alias("id"),
+        text.alias("text"),
+        F.md5(text.cast("binary")).alias("digest"),
+    ]
+
+
+def _named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``(id, text, digest)``: id and digest find a text again where ids repeat or lack."""
+    return docs.select(*_name_columns(id_column, text_column))
+
+
+def _classes(docs: DataFrame, config: NearDuplicates) -> tuple[DataFrame, DataFrame]:
+    """The rows with their set's name, and every set's ``(k1, k2, least, sample, root)``.
+
+    ``least`` is the smallest id with that set, ``sample`` the id and digest of the row
+    that comes first, ids ascending and null last.
+    """
+    signed = store(docs.mapInArrow(_signer(config), _SIGNED), "signed")
+    sample = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")).alias("sample")
+    nodes = store(
+        signed.where("n > 0")
+        .groupBy("k1", "k2")
+        .agg(F.min("id").alias("least"), sample, F.first("n").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "nodes",
+    )
+    shared = _shared_buckets(nodes)
+    sets = _sets(docs, nodes, shared, config)
+    links = store(_confirmed(_star_pairs(shared), sets, config), "links")
+    missed = store(_confirmed(_pairs_left(shared, links, sets, config), sets, config), "links")
+    roots = components(links.union(missed))
+    placed = nodes.join(roots, "node", "left")
+    return signed, placed.select("k1", "k2", "least", "sample", F.coalesce("root", "node").alias("root"))
+
+
+_SIGNED = "id bigint, digest string, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
 
 
 # ------------------------------------------------------------ sets and sketches
@@ -208,9 +256,9 @@ def _signer(config: NearDuplicates):
                 flat = np.concatenate(bands).view(np.int64).reshape(-1) if bands else np.empty(0, np.int64)
                 ends = np.concatenate(([0], np.cumsum(np.where(n > 0, config.bands, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
+                    [part.column(0), part.column(2), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
                     + [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    ["id", "n", "k1", "k2", "bands"],
+                    ["id", "digest", "n", "k1", "k2", "bands"],
                 )
 
     return sign
@@ -242,8 +290,9 @@ def _shared_buckets(nodes: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, nodes: DataFrame, shared: DataFrame, config: NearDuplicates) -> DataFrame:
     """``(node, n, whole, short)`` of the nodes in shared buckets.
 
-    The texts of one document per node are read again. ``whole`` holds the sorted
-    64-bit hashes, ``short`` their lower halves in the same number.
+    The texts of one document per node are read again, found by id and digest, so that
+    rows without an id or with one id meet no node but their own. ``whole`` holds the
+    sorted 64-bit hashes, ``short`` their lower halves in the same number.
     """
 
     def build(batches):
@@ -264,8 +313,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, shared: DataFrame, config: NearDupl
                 ["node", "n", "whole", "short"],
             )
 
-    wanted = nodes.join(shared.select("node").distinct(), "node").select("node", "k1", "k2", "least")
-    texts = wanted.join(docs, F.col("least").eqNullSafe(F.col("id"))).select("node", "k1", "k2", "text")
+    wanted = nodes.join(shared.select("node").distinct(), "node").select(
+        "node", "k1", "k2", F.col("sample.id").alias("of"), F.col("sample.digest").alias("same")
+    )
+    found = F.col("id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same"))
+    texts = wanted.join(docs, found).select("node", "k1", "k2", "text")
     built = texts.mapInArrow(build, "node bigint, n bigint, whole binary, short binary")
     return store(built.dropDuplicates(["node"]), "sets")
 

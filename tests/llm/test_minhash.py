@@ -1,11 +1,22 @@
+import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from seamline.llm.graph import components
-from seamline.llm.minhash import NearDuplicates, WordHashes, _chance, _forest, near_duplicates, shingle_set, sketches
+from seamline.llm.minhash import (
+    NearDuplicates,
+    WordHashes,
+    _chance,
+    _forest,
+    near_duplicates,
+    shingle_set,
+    sketches,
+    without_near_duplicates,
+)
 
 DOCS = "doc_id bigint, text string, n_shingles int, component_id string, node int"
 
@@ -77,6 +88,48 @@ def test_crowded_buckets_lose_no_link(spark, block):
     assert answer(spark, rows, config) == brute_force(rows, config)
 
 
+def groups_of(texts, config=NearDuplicates()):
+    """Lists of places, one per component of texts with words."""
+    numbered = brute_force(list(enumerate(texts)), config)
+    groups = {}
+    for place, size, root, _ in numbered:
+        if size:
+            groups.setdefault(root, []).append(place)
+    return list(groups.values())
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    rng = random.Random(2)
+    texts = [t for _, t in corpus(4)]
+    rows = [(rng.choice([None, 1, 1, 2, i + 10]), t, i % 3) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, rows[1][1], 7), (1, None, 1), (1, None, 1), (None, " \n", 2)]
+    schema = "doc_id bigint, text string, row int"
+    found = without_near_duplicates(spark.createDataFrame(rows, schema))
+    assert found.columns == ["doc_id", "text", "row"]
+    rank = lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())
+    kept = [min((rows[i] for i in group), key=rank) for group in groups_of([r[1] for r in rows])]
+    kept += [r for r in rows if not (r[1] or "").split()]
+    assert len(kept) < len(rows)
+    got = sorted(((r[0], r[1]) for r in found.collect()), key=repr)
+    assert got == sorted((r[:2] for r in kept), key=repr)
+    assert {tuple(r) for r in found.collect()} <= set(rows)
+
+
+@pytest.mark.parametrize("name", [None, 7])
+def test_rows_without_an_id_of_their_own_take_linear_time(spark, name):
+    """Pairs of copies and near-copies, 5,000 rows, with one id or none."""
+    rows = []
+    for i in range(1250):
+        words = [f"w{i}x{j}" for j in range(30)]
+        rows += [(name, " ".join(words))] * 2 + [(name, " ".join(words + [end])) for end in ("one", "two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    began = time.monotonic()
+    found = near_duplicates(docs).groupBy("component_id", "n_shingles").count().collect()
+    assert sorted(map(tuple, found)) == [(name, 26, 2500), (name, 27, 2500)]
+    assert without_near_duplicates(docs).count() == 1250
+    assert time.monotonic() - began < 120
+
+
 def forest(sets, roots):
     shorts = [(s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() for s in sets]
     found = _forest(np.arange(len(sets)), np.array(roots), shorts, np.ones(len(sets), bool), True, NearDuplicates())
