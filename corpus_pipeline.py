@@ -6,12 +6,12 @@ rows repeated with one id are fine at every stage; deduplication keeps one of th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import seamline as sl
 from seamline.llm import quality
-from seamline.llm.minhash import near_duplicates
+from seamline.llm.minhash import without_near_duplicates
 from seamline.llm.mixing import mix
 from seamline.llm.packing import pack, pieces
 from seamline.llm.pii import replace_entities
@@ -26,18 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id.
+    """One document of each group of near-duplicates: that with the smallest id, null ids last.
 
-    Of rows with one id the one with the smallest text stays; rows without an id are
-    no group and all stay.
+    Groups are made by texts alone, so rows that share or lack an id are told apart.
     """
-    whole = _whole(docs, "doc_id", "text")
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    # Joined and counted by id: texts are shuffled once.
-    named = whole.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = named.select("row", nth.alias("nth")).where("nth = 1").select("row.*")
-    return once.union(docs.where("doc_id IS NULL"))
+    return without_near_duplicates(docs)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +47,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of the mixed documents and their places in the sequences."""
-    return pack(pieces(docs, tokenizer_path(), digest=True))
+    """The token ids of the mixed documents in pieces, and their places in the sequences."""
+    return pack(pieces(docs, tokenizer_path()))
 
 
 def _whole(docs: DataFrame, *columns: str) -> DataFrame:
