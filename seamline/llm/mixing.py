@@ -19,6 +19,8 @@ from seamline.storage import store
 
 #: Leading hex digits of the shuffle key that divide a source into parts.
 _PART_DIGITS = 3
+#: Tasks that rows of one source, id and text are dealt to.
+_SALTS = 256
 #: Ranges that a unit of virtual time is divided into.
 _SLOTS = 4096
 
@@ -82,37 +84,52 @@ def mix(
     ``size`` counts the words of the whole text, 0 for null. ``taken`` is ``size`` times
     the number of times the mix takes the document, from 0 to ``repeats``; documents
     are taken whole, so a source misses its target by less than a few documents. The
-    order within a source is that of md5 of seed and id; rows with one id are taken or
-    left together, a null id counts as one id, a null source as a source. The result
-    depends on the rows alone, not on their order or partitions. An empty table gives
-    an empty result; sources without a word have target 0.
+    order within a source is that of md5 of seed, id and text; rows with one id and text
+    follow one another, and the mix may end between them, so a source whose rows share an
+    id or have none is mixed like any other. A null id counts as one id, a null source as
+    a source. Up to the choice among rows of one source, id and text, the result depends
+    on the rows alone, not on their order or partitions. An empty table gives an empty
+    result; sources without a word have target 0.
     """
     keep = [id_column] if keep is None else keep
     id_ = F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("null"))
-    rows = docs.select(
+    text = text_of(F.col(f"`{text_column}`").cast("string"))
+    name = F.concat(F.lit(f"{config.seed}:"), id_, F.lit(":"), F.md5(text.cast("binary")))
+    sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.col(f"`{source_column}`").alias("source"),
-        F.md5(F.concat(F.lit(f"{config.seed}:"), id_).cast("binary")).alias("key"),
-        F.regexp_count(text_of(F.col(f"`{text_column}`")), F.lit(WORD)).cast("bigint").alias("size"),
+        F.md5(name.cast("binary")).alias("key"),
+        F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
     ).withColumn("part", F.substring("key", 1, _PART_DIGITS))
-    parts = store(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "parts")
+    # Written with a number per row: whatever is read again later has the same numbers.
+    numbered = sized.withColumn("spot", F.monotonically_increasing_id())
+    rows = store(numbered.withColumn("salt", F.pmod(F.xxhash64("spot"), F.lit(_SALTS))), "sized")
+    cell = ["source", "part", "key", "salt"]
+    cells = rows.groupBy(cell).agg(F.sum("size").alias("cell_size"))
+    parts = store(cells.groupBy("source", "part").agg(F.sum("cell_size").alias("part_size")), "parts")
     sizes = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
     sources = if_small(targets(sizes, config).withColumnRenamed("source", "of"), 10_000)
-    # Running totals in two levels: parts of a source, then documents of a part.
+    # Running totals in three levels: parts of a source, cells of a part, rows of a cell.
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)))
     starts = parts.join(sources, parts["source"].eqNullSafe(sources["of"])).select(
         "of", F.col("part").alias("p"), "ahead", "source_size", "target", "place"
     )
     starts = if_small(starts, 200_000)
-    within = Window.partitionBy("source", "part").orderBy("key")
+    before = Window.partitionBy("source", "part").orderBy("key", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
+    cells = cells.join(starts, cells["source"].eqNullSafe(starts["of"]) & (cells["part"] == starts["p"])).select(
+        "of", F.col("key").alias("k"), F.col("salt").alias("s"), "source_size", "target", "place",
+        (F.col("ahead") + F.col("before")).alias("ahead"),
+    )
+    same = rows["source"].eqNullSafe(cells["of"]) & (rows["key"] == cells["k"]) & (rows["salt"] == cells["s"])
+    within = Window.partitionBy("source", "key", "salt").orderBy("spot")
     timed = (
-        rows.join(starts, rows["source"].eqNullSafe(starts["of"]) & (rows["part"] == starts["p"]))
+        rows.join(cells, same)
         .withColumn("total", F.col("ahead") + F.sum("size").over(within))
         .select("row", "size", "source_size", "target", "place", "key", "total")
     )
-    timed = store(timed, "timed")
-    last = _last_taken(timed, config)
+    last = _last_taken(timed.drop("row"), config)
     takes = sum((_taken(round_, last).cast("bigint") for round_ in range(config.repeats)), F.lit(0).cast("bigint"))
     outcome = F.struct("size", "source_size", "target", (F.col("size") * takes).alias("taken"))
     return timed.select("row.*", outcome.alias("_mix"))
@@ -125,42 +142,43 @@ def _finish(round_: int) -> Column:
 
 
 def _order(round_: int) -> Column:
-    return F.struct(_finish(round_).alias("finish"), F.col("place").alias("place"), F.lit(round_).alias("round"), "key")
+    """Place in the queue: rows of one key follow one another by their running totals."""
+    return F.struct(
+        _finish(round_).alias("finish"), F.col("place").alias("place"), F.lit(round_).alias("round"), "key", "total"
+    )
 
 
 def _last_taken(timed: DataFrame, config: Mix) -> tuple | None:
     """Place in the order of the last document within the budget.
 
     Totals per range of virtual time say which range the cut falls into; only that
-    range, one in thousands, is put in order.
+    range, one in thousands, is put in order. All targets together are the budget and
+    every source reaches its own at time 1, so the cut lies there, but for the share of
+    a document per source by which sources overshoot; what comes after time 2 is one slot.
     """
-    turns = timed.select(
-        "size", "source_size", F.explode(F.array(*[_order(r) for r in range(config.repeats)])).alias("turn")
-    )
-    turns = turns.withColumn("slot", F.floor(F.col("turn.finish") * _SLOTS))
-    slots = turns.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    budget = timed.agg(F.sum("size")).first()[0]
-    if budget is None:
+    turns = timed.select("size", F.explode(F.array(*[_order(r) for r in range(config.repeats)])).alias("turn"))
+    turns = turns.withColumn("slot", F.floor(F.least(F.col("turn.finish"), F.lit(2.0)) * _SLOTS))
+    slots = store(turns.groupBy("slot").agg(F.sum("size").alias("slot_size")), "slots")
+    # Each document is in as many rounds as may be taken.
+    everything = slots.agg(F.sum("slot_size")).first()[0]
+    if everything is None:
         return None
-    budget = budget * config.share
+    budget = everything / config.repeats * config.share
     so_far = F.sum("slot_size").over(Window.orderBy("slot"))
     cut = slots.withColumn("so_far", so_far).where(F.col("so_far") > F.lit(budget)).orderBy("slot").first()
     if cut is None:
-        return (float("inf"), 0, 0, "")
+        return (float("inf"), 0, 0, "", 0)
     room = budget - (cut["so_far"] - cut["slot_size"])
     ordered = turns.where(F.col("slot") == cut["slot"]).withColumn(
         "sum", F.sum("size").over(Window.partitionBy("slot").orderBy("turn"))
     )
     last = ordered.where(F.col("sum") <= F.lit(room)).agg(F.max("turn")).first()[0]
-    return tuple(last) if last else (cut["slot"] / _SLOTS, 0, 0, "")
+    return tuple(last) if last else (cut["slot"] / _SLOTS, 0, 0, "", 0)
 
 
 def _taken(round_: int, last: tuple | None) -> Column:
     if last is None:
         return F.lit(False)
-    finish, place, number, key = last
-    limit = F.struct(
-        F.lit(finish).cast("double").alias("finish"), F.lit(place).alias("place"), F.lit(number).alias("round"),
-        F.lit(key).alias("key"),
-    )
+    names, kinds = ("finish", "place", "round", "key", "total"), ("double", "int", "int", "string", "bigint")
+    limit = F.struct(*[F.lit(value).cast(kind).alias(name) for value, kind, name in zip(last, kinds, names)])
     return _order(round_) <= limit

@@ -29,7 +29,7 @@ SELECT doc_id, n AS n_shingles, root AS component_id, doc_id = root AS kept FROM
 
 OP4 = r"""
 WITH sized AS (
-    SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key,
+    SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key,
         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), sources AS (
     SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place
@@ -45,17 +45,18 @@ WITH sized AS (
     SELECT source, source_size, place, least(most, weight * max(level) OVER ()) AS target FROM levels
 ), timed AS (
     SELECT d.*, t.source_size, t.target, t.place,
-        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key)::BIGINT AS total
+        sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS UNBOUNDED PRECEDING)::BIGINT AS total,
+        row_number() OVER (PARTITION BY d.source ORDER BY d.key) AS nth
     FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), turns AS (
     SELECT *, CASE WHEN target > 0 THEN (source_size * round + total) / target ELSE 0 END AS finish
     FROM timed, (VALUES (0), (1)) r(round)
 ), queued AS (
-    SELECT *, sum(size) OVER (ORDER BY finish, place, round, key) AS so_far,
+    SELECT *, sum(size) OVER (ORDER BY finish, place, round, key, total ROWS UNBOUNDED PRECEDING) AS so_far,
         1.5 * sum(size) OVER () / 2 AS budget FROM turns
 )
 SELECT doc_id, size, source_size, target, sum(CASE WHEN so_far <= budget THEN size ELSE 0 END)::BIGINT AS taken
-FROM queued GROUP BY doc_id, key, size, source, source_size, target
+FROM queued GROUP BY doc_id, key, nth, size, source, source_size, target
 """
 
 OP10 = r"""

@@ -34,13 +34,18 @@ def brute_force(rows, repeats=2):
         sizes[s] = sizes.get(s, 0) + n
     goal = fair_targets(sizes, repeats=repeats)
     places = {s: k for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
-    key = lambda i: hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest()
+
+    def key(number):
+        i, text, _ = rows[number]
+        digest = hashlib.md5((text or "").encode()).hexdigest()
+        return hashlib.md5(f"mix:{'null' if i is None else i}:{digest}".encode()).hexdigest(), number
+
     queue = []
     for number, (i, _, s) in enumerate(sized):
-        upto = sum(m for j, m, t in sized if t == s and key(j) <= key(i))
+        upto = sum(m for j, (_, m, t) in enumerate(sized) if t == s and key(j) <= key(number))
         for round_ in range(repeats):
             finish = float((sizes[s] * round_ + upto) / goal[s]) if goal[s] else 0.0
-            queue.append(((finish, places[s], round_, key(i)), number))
+            queue.append(((finish, places[s], round_, key(number)), number))
     taken = [0] * len(rows)
     budget = Fraction(3, 2) * sum(sizes.values())
     for place, number in queue:
@@ -73,6 +78,21 @@ def test_equals_brute_force_whatever_the_partitions(spark, seed):
     assert all(r[4] in (0, r[1], 2 * r[1]) for r in expected)
 
 
+@pytest.mark.parametrize("name", [None, 4])
+def test_rows_without_an_id_of_their_own_reach_their_targets(spark, name):
+    """Nine in ten rows of a source share an id or have none, many of them a text too."""
+    rng = random.Random(6)
+    rows = [(name if i % 10 else i, "w " * rng.choice([5, 90, 100]) + rng.choice(["", f"own{i}"]), "a") for i in range(300)]
+    rows += [(1000 + i, "w " * rng.randrange(100), "b") for i in range(300)]
+    expected = brute_force(rows)
+    docs = spark.createDataFrame([(*r, 1, "t", 2) for r in rows], SCHEMA).repartition(5)
+    found = sorted((tuple(r) for r in mix(docs).select("doc_id", "_mix.*").collect()), key=repr)
+    assert [(*r[:3], r[4]) for r in found] == [(*r[:3], r[4]) for r in expected]
+    for size in {r[2] for r in found}:
+        own = [r for r in found if r[2] == size]
+        assert abs(sum(r[4] for r in own) - own[0][3]) <= 200
+
+
 def test_targets_share_the_excess(spark):
     sizes = {"a": 10, "b": 1000, "c": 20, "d": 400, None: 0}
     rows = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
