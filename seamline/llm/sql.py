@@ -103,7 +103,8 @@ def _op3(iterations: int = 20) -> str:
     walk = "".join(
         f"""
 ), ranks{n + 1} AS MATERIALIZED (
-    SELECT s.kind, s.host, 0.15 * s.seed + 0.85 * coalesce(sum(e.share * r.rank), 0) AS rank
+    SELECT s.kind, s.host, 0.15 * s.seed + 0.85 * coalesce(sum(e.share * r.rank), 0) AS rank,
+        0.15 + 0.85 * coalesce(sum(e.share * r.reach), 0) AS reach
     FROM starts s LEFT JOIN shares e ON e.kind = s.kind AND e.goal = s.host
     LEFT JOIN ranks{n} r ON r.kind = e.kind AND r.host = e.origin GROUP BY s.kind, s.host, s.seed"""
         for n in range(iterations)
@@ -145,11 +146,11 @@ WITH rests AS (
     UNION ALL SELECT kind, host, host, 1 FROM starts s
     WHERE NOT EXISTS (SELECT 1 FROM steps e WHERE e.kind = s.kind AND e.origin = s.host)
 ), ranks0 AS MATERIALIZED (
-    SELECT kind, host, seed AS rank FROM starts{walk}
+    SELECT kind, host, seed AS rank, 1.0::DOUBLE AS reach FROM starts{walk}
 ), blocked AS (
     SELECT host FROM ranks{iterations} GROUP BY host
-    HAVING max(rank) FILTER (kind = 'distrust') > 0.5
-        AND max(rank) FILTER (kind = 'distrust') > max(rank) FILTER (kind = 'trust')
+    HAVING max(rank / reach) FILTER (kind = 'distrust') > 0.5
+        AND max(rank / reach) FILTER (kind = 'distrust') > max(rank / reach) FILTER (kind = 'trust')
 )
 SELECT page_id, j.host, path, r.rule AS rule,
     coalesce(r.verdict, CASE WHEN b.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict

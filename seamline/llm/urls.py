@@ -3,7 +3,10 @@
 Where no rule fits a page, its host decides. Hosts with allowed pages are seeds of
 trust, which a personalised PageRank carries along links; hosts with blocked pages are
 seeds of distrust, which the same walk carries against them, to those who link there.
-A page without a rule is blocked if its host has enough distrust and more than trust.
+Rank thins out with every link it is shared over, so a host is judged by its share: its
+rank divided by what the same walk brings it when every host is a seed of 1. That is a
+weighted mean of the seeds that reach the host, from 0 to 1. A page without a rule is
+blocked if its host's share of distrust is large enough and larger than that of trust.
 Everything is DataFrame functions.
 """
 
@@ -19,7 +22,7 @@ from seamline.storage import store
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Targets of links that name a host; relative links stay on theirs.
-_LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
+_LINK = r"""(?i)(?:^|[^0-9a-z_])href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 #: Hosts whose rules or ranks are handed to every task; more are joined by shuffle.
 _HANDED_OUT = 20_000
 
@@ -32,8 +35,8 @@ class UrlFilter:
                     the path starts with the rule's; the longest host and path win
     ``damping``     share of rank that follows links, the rest returns to the seeds
     ``iterations``  of the walk, the same for any input
-    ``threshold``   distrust from which a host is blocked, if it is more than its
-                    trust; a host that is not linked has the share of its blocked pages
+    ``threshold``   share of distrust above which a host is blocked, if it is more than
+                    that of trust; an unlinked host has the share of its blocked pages
     """
 
     rules: tuple[tuple[str, str, str], ...] = (
@@ -144,10 +147,11 @@ def host_links(pages: DataFrame, url_column: str = "url", html_column: str = "ht
 
 
 def host_ranks(seeds: DataFrame, links: DataFrame, config: UrlFilter = UrlFilter()) -> DataFrame:
-    """``(host, trust, distrust)`` of all seeds and linked hosts.
+    """``(host, trust, distrust)`` of all seeds and linked hosts, as shares from 0 to 1.
 
     ``seeds`` has ``host``, ``trust`` and ``distrust``. Both walks run in one table, with
-    the links of one reversed. A host without links to follow keeps its rank.
+    the links of one reversed, and ``reach`` is the rank of the same walk from seeds of 1
+    everywhere; a share is rank by reach. A host without links to follow keeps its rank.
     """
     links = store(links, "links")
     kinds = F.explode(
@@ -162,7 +166,7 @@ def host_ranks(seeds: DataFrame, links: DataFrame, config: UrlFilter = UrlFilter
     start = hosts.join(seeds, "host", "left").select("host", "trust", "distrust", both)
     value = F.when(F.col("kind") == "trust", F.col("trust")).otherwise(F.col("distrust"))
     start = store(start.select("kind", "host", F.coalesce(value, F.lit(0.0)).alias("seed")), "seeds")
-    ranks = start.select("kind", "host", F.col("seed").alias("rank"))
+    ranks = start.select("kind", "host", F.col("seed").alias("rank"), F.lit(1.0).alias("reach"))
     if not links.isEmpty():
         total = steps.groupBy("kind", "from").agg(F.sum("links").alias("total"))
         shares = steps.join(total, ["kind", "from"]).select(
@@ -174,13 +178,17 @@ def host_ranks(seeds: DataFrame, links: DataFrame, config: UrlFilter = UrlFilter
         for _ in range(config.iterations):
             moved = shares.join(ranks.withColumnRenamed("host", "from"), ["kind", "from"])
             moved = moved.groupBy("kind", F.col("to").alias("host")).agg(
-                F.sum(F.col("share") * F.col("rank")).alias("moved")
+                F.sum(F.col("share") * F.col("rank")).alias("rank_in"),
+                F.sum(F.col("share") * F.col("reach")).alias("reach_in"),
             )
-            rank = (1 - config.damping) * F.col("seed") + config.damping * F.coalesce("moved", F.lit(0.0))
-            ranks = store(
-                start.join(moved, ["kind", "host"], "left").select("kind", "host", rank.alias("rank")), "ranks"
+            rank, reach = (
+                (1 - config.damping) * seed + config.damping * F.coalesce(came, F.lit(0.0))
+                for seed, came in ((F.col("seed"), "rank_in"), (F.lit(1.0), "reach_in"))
             )
+            walked = start.join(moved, ["kind", "host"], "left")
+            ranks = store(walked.select("kind", "host", rank.alias("rank"), reach.alias("reach")), "ranks")
+    share = F.try_divide("rank", "reach")
     return ranks.groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"),
-        F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"),
+        F.sum(F.when(F.col("kind") == "trust", share)).alias("trust"),
+        F.sum(F.when(F.col("kind") == "distrust", share)).alias("distrust"),
     )

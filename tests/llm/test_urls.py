@@ -32,7 +32,7 @@ def brute_force(pages, config):
     edges = {}
     for page, url, html in pages:
         source = parts(url)[0]
-        for target in re.findall(r"""(?i)\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)""", html or ""):
+        for target in re.findall(r"""(?i)(?:^|[^0-9a-z_])href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)""", html or ""):
             target = re.sub("[A-Z]", lambda m: m[0].lower(), target)
             if source and source != target:
                 edges[source, target] = edges.get((source, target), 0) + 1
@@ -44,13 +44,16 @@ def brute_force(pages, config):
         out = {}
         for (a, _), n in walk.items():
             out[a] = out.get(a, 0) + n
-        rank = dict(seed)
-        for _ in range(config.iterations if edges else 0):
-            new = {h: (1 - config.damping) * seed[h] + (0 if h in out else config.damping * rank[h]) for h in names}
-            for (a, b), n in walk.items():
-                new[b] += config.damping * rank[a] * n / out[a]
-            rank = new
-        ranks[kind] = rank
+        walks = []
+        for start in (seed, dict.fromkeys(names, 1.0)):
+            rank = dict(start)
+            for _ in range(config.iterations if edges else 0):
+                new = {h: (1 - config.damping) * start[h] + (0 if h in out else config.damping * rank[h]) for h in names}
+                for (a, b), n in walk.items():
+                    new[b] += config.damping * rank[a] * n / out[a]
+                rank = new
+            walks.append(rank)
+        ranks[kind] = {h: walks[0][h] / walks[1][h] for h in names}
     for row in rows:
         if row[4] is None:
             bad = ranks["distrust"].get(row[1], 0)
@@ -103,6 +106,28 @@ def test_equals_brute_force(spark, threshold):
     assert min(walked["friend.com"], walked["hub.com"], walked["a.net"]) > walked["farm.com"] == 0
 
 
+def test_links_neither_save_a_bad_host_nor_condemn_a_good_one(spark):
+    """Hosts with 60 % blocked pages and 0, 1, 2 or 10 linkers are blocked, those who link there by their share."""
+    config = UrlFilter(rules=(("block", "com", "/bad/"), ("allow", "org", "/")))
+    pages = []
+    for linkers in (0, 1, 2, 10):
+        spam = f"http://spam{linkers}.com"
+        pages += [(f"{spam}/bad/{i}", None) for i in range(6)] + [(f"{spam}/{i}", None) for i in range(4)]
+        for i in range(linkers):
+            pages.append((f"http://only{linkers}x{i}.info/", link(spam)))
+            pages.append((f"http://mixed{linkers}x{i}.info/", link(spam, *[f"http://good{j}.org/" for j in range(9)])))
+    pages += [(f"http://good{j}.org/", link("http://blog.info/")) for j in range(9)] + [("http://blog.info/", None)]
+    # A page of its own counts as one seed; two blocked hosts that nobody else links to outweigh it.
+    pages += [(f"http://pit{i}.com/bad/", None) for i in range(3)]
+    pages += [("http://farm.info/", link("http://pit0.com", "http://pit1.com")), ("http://one.info/", link("http://pit2.com"))]
+    rows = [(i, *p) for i, p in enumerate(pages)]
+    expected, _ = brute_force(rows, config)
+    found = filter_urls(spark.createDataFrame([(*r, "h", "r", 1) for r in rows], SCHEMA), config=config).collect()
+    assert sorted(map(tuple, found), key=repr) == expected
+    blocked = {r["host"] for r in found if r["rule"] is None and r["verdict"] == "block"}
+    assert blocked == {"spam0.com", "spam1.com", "spam2.com", "spam10.com", "farm.info"}
+
+
 def test_long_rule_lists_and_ties(spark):
     rules = rule_table(spark, UrlFilter().rules + tuple(("block", f"d{i}.com", f"/p{i}/") for i in range(2000)) + (("allow", None, "/"),))
     pages = spark.createDataFrame([(1, "http://www.d7.com/p7/x", None, "h", "r", 1), (2, "http://d7.com/p8/", None, "h", "r", 1)], SCHEMA)
