@@ -271,7 +271,15 @@ def _numbered_turns(spark, folder):
 
 
 def _hash_encode(spark, folder):
-    encoded = _conversations(spark, folder).withColumn("embedding", sl.hash_encoder()(F.col("text")))
+    return _token_counts(_conversations(spark, folder).withColumn("embedding", sl.hash_encoder()(F.col("text"))))
+
+
+def _encode_distinct(spark, folder):
+    """The same vectors, each distinct text encoded once."""
+    return _token_counts(sl.encode_distinct(_conversations(spark, folder), sl.hash_encoder()))
+
+
+def _token_counts(encoded):
     cells = encoded.select("conv_id", "turn", F.posexplode("embedding").alias("bucket", "count"))
     return cells.where("count > 0").select(
         "conv_id", "turn", F.col("bucket").cast("bigint").alias("bucket"), F.col("count").cast("bigint").alias("count")
@@ -367,6 +375,13 @@ def _history(spark, folder):
     return _rounded(_segmented(spark, folder).history())
 
 
+def _history_sql(spark, folder):
+    """The history by the table function of SQL."""
+    sl.register_tables(spark)
+    call = "segment_turns(TABLE({turns}) PARTITION BY conv_id ORDER BY turn, delta_star => 0.95D)"
+    return _rounded(spark.sql(f"SELECT * FROM {call}", turns=_embeddings(spark, folder)))
+
+
 def _history_jvm(spark, folder):
     config = sl.SegmenterConfig(delta_star=0.95, engine="jvm")
     return _rounded(_segmented(spark, folder, config).history())
@@ -622,6 +637,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "evaluation_document": _evaluation_document,
         "numbered_turns": _numbered_turns,
         "hash_encode": _hash_encode,
+        "encode_distinct": _encode_distinct,
         "invalid_embeddings": _invalid_embeddings,
         "invalid_text_turns": _invalid_text_turns,
         "label_violations": _label_violations,
@@ -635,6 +651,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "boundary_flags": _boundary_flags,
         "topic_ids": _topic_ids,
         "history": _history,
+        "history_sql": _history_sql,
         "history_jvm": _history_jvm,
         "history_split": _history_split,
         "strength_bands": _strength_bands,

@@ -70,6 +70,9 @@ history AS (
 
 
 _EMB = f"WITH {_EMBEDDINGS},{_scores()}"
+_TOKEN_COUNTS = f"""
+WITH {_CONVERSATION_TEXTS}, cells AS (SELECT conv_id, turn, unnest({_TOKENS}) AS bucket FROM texts)
+SELECT conv_id, turn, bucket, count(*) AS count FROM cells GROUP BY conv_id, turn, bucket"""
 _CONV = f"WITH {_CONVERSATION_TEXTS},{_COUNTS},{_scores(delta=TEXT_DELTA, extra=', text')}"
 
 _BAND = """CASE WHEN graded_score < 0.7::DOUBLE THEN 'very_weak' WHEN graded_score < 1 THEN 'weak'
@@ -214,9 +217,8 @@ def statements() -> dict[str, str]:
         "numbered_turns": """
             SELECT o_custkey AS conv_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS turn,
                    o_orderkey FROM orders""",
-        "hash_encode": f"""
-            WITH {_CONVERSATION_TEXTS}, cells AS (SELECT conv_id, turn, unnest({_TOKENS}) AS bucket FROM texts)
-            SELECT conv_id, turn, bucket, count(*) AS count FROM cells GROUP BY conv_id, turn, bucket""",
+        "hash_encode": _TOKEN_COUNTS,
+        "encode_distinct": _TOKEN_COUNTS,
         "invalid_embeddings": f"""
             WITH {_EMBEDDINGS}
             SELECT conv_id, turn, CASE label WHEN 0 THEN 'zero' WHEN 1 THEN 'dimension' ELSE 'not_finite' END AS reason
@@ -252,6 +254,7 @@ def statements() -> dict[str, str]:
         "boundary_flags": f"{_EMB} SELECT conv_id, turn, is_boundary FROM flags",
         "topic_ids": f"{_EMB} SELECT conv_id, turn, topic_id FROM history",
         "history": _HISTORY,
+        "history_sql": _HISTORY,
         "history_jvm": _HISTORY,
         "history_split": _HISTORY,
         "stream_segment": _HISTORY.replace("SELECT conv_id, turn, topic_id", "SELECT false AS late, conv_id, turn, topic_id"),

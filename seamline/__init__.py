@@ -3,6 +3,8 @@
 from seamline.config import SegmenterConfig
 from seamline.deploy import ship
 from seamline.functions.encoders import hash_encoder, model_encoder, sentence_encoder
+from seamline.functions.tables import register_tables
+from seamline.operators.encoding import encode_distinct
 from seamline.operators.evaluation import evaluate
 from seamline.operators.prefix import dense_turns, number_turns
 from seamline.operators.scoring import score_turns
@@ -42,6 +44,7 @@ __all__ = [
     "dense_turns",
     "dialogue_summary",
     "drop_stored",
+    "encode_distinct",
     "end_turn_labels",
     "evaluate",
     "evaluation_set",
@@ -52,6 +55,7 @@ __all__ = [
     "mixed_dimensions",
     "model_encoder",
     "number_turns",
+    "register_tables",
     "score_turns",
     "segment",
     "segment_stream",
